@@ -22,7 +22,7 @@ def greedy_color(
     pairs = graph.edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     ).distinct()
-    oriented = PropertyGraph(graph.vertices.select("id"), pairs)
+    oriented = PropertyGraph(graph.vertices.select("id"), pairs, complete=graph.complete)
     layout = ArcLayout(oriented, "in", [], rows_per_piece)
     program = Program(
         gather=lambda t: t.src["color"],
@@ -34,5 +34,5 @@ def greedy_color(
     vertices = oriented.vertices.select("id", F.col("id").alias("color"), F.col("id").alias("prev"))
     result = run_gas(oriented.with_vertices(vertices), program, max_iter, on_limit, layout=layout)
     layout.release()
-    result.graph = PropertyGraph(result.graph.vertices, graph.edges)
+    result.graph = graph.with_vertices(result.graph.vertices)
     return result

@@ -29,7 +29,7 @@ def triangles(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFr
     a -> b -> c are then closed by a -> c; the middle vertex of many paths is
     cut into pieces.
     """
-    pairs = canonical_pairs(graph.edges)
+    pairs = cut(canonical_pairs(graph.edges))
     sizes = (
         pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from sparkgas.plans.skew import spread_join
+
 DIRECTIONS = ("none", "in", "out", "both")
 
 
@@ -17,16 +19,20 @@ class PropertyGraph:
     ``vertices`` has a unique ``id`` and any data columns; ``edges`` has
     ``src``, ``dst`` and any data columns, and may hold parallel edges and
     self-loops.  Edges with an end missing from ``vertices`` take part in
-    nothing; with ``validate=True`` they are an error.
+    nothing; with ``validate=True`` they are an error.  ``complete=True`` states
+    that there are none, which saves the joins that would look for them.
     """
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame, validate: bool = False):
+    def __init__(
+        self, vertices: DataFrame, edges: DataFrame, validate: bool = False, complete: bool = False
+    ):
         if "id" not in vertices.columns:
             raise ValueError("vertices need a column 'id'")
         if not {"src", "dst"} <= set(edges.columns):
             raise ValueError("edges need columns 'src' and 'dst'")
         self.vertices = vertices
         self.edges = edges
+        self.complete = complete or validate
         if validate:
             self.validate()
 
@@ -66,14 +72,27 @@ class PropertyGraph:
             raise ValueError("an edge has an end that is not a vertex")
 
     def with_vertices(self, vertices: DataFrame) -> PropertyGraph:
-        return PropertyGraph(vertices, self.edges)
+        """The same ids with other data."""
+        return PropertyGraph(vertices, self.edges, complete=self.complete)
 
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
-        return PropertyGraph(self.vertices, edges)
+        """Other edges among the same vertices."""
+        return PropertyGraph(self.vertices, edges, complete=self.complete)
+
+    def inner_edges(self) -> DataFrame:
+        """The edges with both ends among the vertices."""
+        if self.complete:
+            return self.edges
+        edges, ids = self.edges, self.vertices.select("id")
+        for end in ("src", "dst"):
+            edges = spread_join(edges, ids.withColumnRenamed("id", end), [end], "left_semi")
+        return edges.select(self.edges.columns)
 
     def cache(self) -> PropertyGraph:
         level = StorageLevel.MEMORY_AND_DISK
-        return PropertyGraph(self.vertices.persist(level), self.edges.persist(level))
+        return PropertyGraph(
+            self.vertices.persist(level), self.edges.persist(level), complete=self.complete
+        )
 
     def unpersist(self) -> None:
         self.vertices.unpersist()

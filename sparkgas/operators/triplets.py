@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.functions.triplet import Triplet
 from sparkgas.graph import PropertyGraph
-from sparkgas.plans.skew import hot_keys, spread_join
+from sparkgas.plans.skew import spread_join
 
 
 def _ends(vertices: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
@@ -63,28 +63,17 @@ def view_triplets(
         out += [c.alias(f"{center}_{n}") for n, c in exprs(t).items()]
         used |= t.used
         used_edge |= t.used_edge
-    edges = inner_edges_needed(graph, used, extra)
-    rows = _edge_rows(edges, sorted(used_edge))
+    rows = _edge_rows(graph.edges, sorted(used_edge))
     for prefix, end in (("s_", "src"), ("d_", "dst")):
         columns = sorted({n for p, n in used if p == prefix and n != "id"} | set(extra.get(end, [])))
-        if columns:
-            rows = spread_join(
-                rows, _ends(graph.vertices, prefix, columns), [f"{prefix}id"], rows_per_piece=rows_per_piece
-            )
+        if columns or not graph.complete:
+            ends = _ends(graph.vertices, prefix, columns)
+            how = "inner" if columns else "left_semi"
+            rows = spread_join(rows, ends, [f"{prefix}id"], how, rows_per_piece)
     carried = [f"`{p}{c}`" for p, e in (("s_", "src"), ("d_", "dst")) for c in extra.get(e, [])]
     return rows.select("s_id", "d_id", *carried, *out)
 
 
-def inner_edges_needed(graph, used, extra) -> DataFrame:
-    """The edges; ends that will be joined anyway need no separate check."""
-    edges, ids = graph.edges, graph.vertices.select("id")
-    for prefix, end in (("s_", "src"), ("d_", "dst")):
-        joined = extra.get(end) or any(p == prefix and n != "id" for p, n in used)
-        if not joined:
-            edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
-    return edges
-
-
 def by_direction(graph: PropertyGraph, direction: str) -> DataFrame:
     """``(center, other)`` of every edge visit along ``direction``."""
     if direction == "none":

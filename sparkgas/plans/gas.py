@@ -158,16 +158,6 @@ def active_count(state: DataFrame, flag: str = ACTIVE) -> DataFrame:
     return state.agg(F.count_if(F.col(flag)).alias("n_active"))
 
 
-def inner_edges(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Edges with both ends among the vertices."""
-    ids = vertices.select("id")
-    return (
-        edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        .select(edges.columns)
-    )
-
-
 # --------------------------------------------------------------------------- arc plan
 
 
@@ -298,9 +288,7 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout, rows_per_piece) ->
             converged = True
     if own_layout:
         layout.release()
-    vertices = state.drop(ACTIVE)
-    result = PropertyGraph(vertices, inner_edges(graph.edges, vertices))
-    return GasResult(result, iterations, history, converged)
+    return GasResult(graph.with_vertices(state.drop(ACTIVE)), iterations, history, converged)
 
 
 def _worth_a_frontier(program: Program, layout: ArcLayout, n_active: int, n_vertices: int) -> bool:
@@ -489,8 +477,8 @@ def _run_triplet_plan(graph, program, max_iter, on_limit, rows_per_piece) -> Gas
     edges = plan.finish(rows) if program.updates_edges else graph.edges
     if not program.updates_edges:
         edges_at_rest.unpersist()
-    vertices = state.drop(ACTIVE)
-    return GasResult(PropertyGraph(vertices, inner_edges(edges, vertices)), iterations, history, n_active == 0)
+    result = PropertyGraph(state.drop(ACTIVE), edges, complete=graph.complete or program.updates_edges)
+    return GasResult(result, iterations, history, n_active == 0)
 
 
 # ----------------------------------------------------------------------------- surface
@@ -529,9 +517,9 @@ def superstep(
     plan = _TripletPlan(graph, program, rows_per_piece)
     state = graph.vertices.withColumn(ACTIVE, flag)
     rows, state = plan.superstep(plan.start(graph.edges), state)
-    vertices = state.drop(ACTIVE)
     edges = plan.finish(rows) if program.updates_edges else graph.edges
-    return PropertyGraph(vertices, inner_edges(edges, vertices)), state.withColumnRenamed(ACTIVE, "active")
+    after = PropertyGraph(state.drop(ACTIVE), edges, complete=graph.complete or program.updates_edges)
+    return after, state.withColumnRenamed(ACTIVE, "active")
 
 
 def signal_frontier(
