@@ -12,7 +12,7 @@ from sparkgas.plans.layout import ArcLayout
 
 
 def greedy_color(
-    graph: PropertyGraph, max_iter: int | None = None, on_limit: str = "return", rows_per_piece: int | None = None
+    graph: PropertyGraph, max_iter: int | None = None, on_limit: str = "return"
 ) -> GasResult:
     """``color``: the smallest number no neighbour with a higher id has.
 
@@ -22,11 +22,13 @@ def greedy_color(
     pairs = graph.edges.where("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     ).distinct()
-    oriented = PropertyGraph(graph.vertices.select("id"), pairs, complete=graph.complete)
-    layout = ArcLayout(oriented, "in", [], rows_per_piece)
+    oriented = PropertyGraph(
+        graph.vertices.select("id"), pairs, complete=graph.complete, rows_per_piece=graph.rows_per_piece
+    )
+    layout = ArcLayout(oriented, "in", [])
     program = Program(
         gather=lambda t: t.src["color"],
-        reducer=Mex(layout.most_received()),
+        reducer=Mex(layout.most_received),
         default=0,
         apply=lambda v, acc: {"color": acc, "prev": v["color"]},
         signal=lambda t: changed(t.center["color"], t.center["prev"]),

@@ -20,7 +20,6 @@ def connected_components(
     max_iter: int | None = 100,
     edge_visits: bool = False,
     on_limit: str = "return",
-    rows_per_piece: int | None = None,
 ) -> GasResult:
     """Smallest vertex id of each weakly connected component, as ``label``.
 
@@ -50,25 +49,25 @@ def connected_components(
         accept=lambda v, acc: acc < v["label"],
     )
     rounds = [F.lit(0).cast("bigint").alias("rounds")] if edge_visits else []
-    result = run_gas(_labelled(graph, *rounds), program, max_iter, on_limit, rows_per_piece=rows_per_piece)
+    result = run_gas(_labelled(graph, *rounds), program, max_iter, on_limit)
     if edge_visits:
-        result.graph = _with_visits(graph, result.graph.vertices, rows_per_piece)
+        result.graph = _with_visits(graph, result.graph.vertices)
     return result
 
 
-def _with_visits(graph: PropertyGraph, vertices: DataFrame, rows_per_piece: int | None) -> PropertyGraph:
+def _with_visits(graph: PropertyGraph, vertices: DataFrame) -> PropertyGraph:
     edges = graph.edges
     for end in ("src", "dst"):
         ends = vertices.select(F.col("id").alias(end), F.col("rounds").alias(f"_{end}_rounds"))
-        edges = spread_join(edges, ends, [end], rows_per_piece=rows_per_piece)
+        edges = spread_join(edges, ends, [end], hot=graph.stats().hot(end))
     edges = edges.select(
         *graph.edges.columns, (F.col("_src_rounds") + F.col("_dst_rounds")).alias("visits")
     )
-    return PropertyGraph(vertices.drop("rounds"), edges)
+    return graph.with_edges(edges).with_vertices(vertices.drop("rounds"))
 
 
 def component_visits(
-    graph: PropertyGraph, edge_mode: str = "chained", max_iter: int | None = 100, rows_per_piece: int | None = None
+    graph: PropertyGraph, edge_mode: str = "chained", max_iter: int | None = 100
 ) -> GasResult:
     """Component labels by a program that counts, in the edge data, both its gather visits.
 
@@ -87,7 +86,7 @@ def component_visits(
         gather_edge_update=lambda t: {"visits": t.edge["visits"] + 1},
         edge_mode=edge_mode,
     )
-    return run_gas(_labelled(graph.with_edges(edges)), program, max_iter, rows_per_piece=rows_per_piece)
+    return run_gas(_labelled(graph.with_edges(edges)), program, max_iter)
 
 
 def neighborhood_min_id(graph: PropertyGraph) -> DataFrame:

@@ -16,7 +16,6 @@ def shortest_paths(
     weight: str = "w",
     max_iter: int | None = None,
     on_limit: str = "error",
-    rows_per_piece: int | None = None,
 ) -> GasResult:
     """Distance from ``source`` along edges in either direction, as ``dist``.
 
@@ -35,7 +34,7 @@ def shortest_paths(
     vertices = graph.vertices.select(
         "id", F.when(F.col("id") == source, 0.0).alias("dist"), F.lit(None).cast("double").alias("prev")
     )
-    return run_gas(graph.with_vertices(vertices), program, max_iter, on_limit, rows_per_piece=rows_per_piece)
+    return run_gas(graph.with_vertices(vertices), program, max_iter, on_limit)
 
 
 def distances(result: GasResult) -> DataFrame:

@@ -22,14 +22,13 @@ def pagerank(
     tol: float = 0.001,
     max_iter: int | None = None,
     initial: tuple[float, float] = (1.0, 5.0),
-    rows_per_piece: int | None = None,
 ) -> GasResult:
     """Un-normalised PageRank; vertices gain ``rank`` and ``prev``.
 
     A vertex signals its out-neighbours while its rank still moves by more
     than ``tol``.  ``initial`` is the starting rank and previous rank.
     """
-    layout = ArcLayout(graph, "in", [], rows_per_piece)
+    layout = ArcLayout(graph, "in", [])
     out_degree = layout.sent().select("id", F.col("n").alias("out_degree"))
     vertices = attach_vertex_data(graph.vertices.select("id"), out_degree, "left").select(
         "id",
@@ -61,7 +60,7 @@ def top_vertices(graph: PropertyGraph, by: str | Column, n: int = 12) -> DataFra
 
 
 def pagerank_blocked(
-    graph: PropertyGraph, rounds: int, block_size: int = 50_000, rows_per_piece: int | None = None
+    graph: PropertyGraph, rounds: int, block_size: int = 50_000
 ) -> PropertyGraph:
     """PageRank from 0 in id blocks that see each other's newest values.
 
@@ -76,10 +75,10 @@ def pagerank_blocked(
         return {"rank": rank, "share": F.when(v["out_degree"] > 0, rank / v["out_degree"]).otherwise(0.0)}
 
     program = Program(gather=lambda t: DAMPING * t.src["share"], reducer=F.sum, default=0.0, apply=apply)
-    return iterate_blocked(graph.with_vertices(cut(vertices)), program, rounds, block_size, rows_per_piece)
+    return iterate_blocked(graph.with_vertices(cut(vertices)), program, rounds, block_size)
 
 
-def linear_propagation(graph: PropertyGraph, rounds: int = 5, rows_per_piece: int | None = None) -> DataFrame:
+def linear_propagation(graph: PropertyGraph, rounds: int = 5) -> DataFrame:
     """``(id, value)`` after rounds of x_v = 0.15 + 0.85 * sum over in-edges of (x_u + x_v / 2).
 
     All values start at 1; a vertex without an in-edge from a vertex that is
@@ -93,5 +92,5 @@ def linear_propagation(graph: PropertyGraph, rounds: int = 5, rows_per_piece: in
     )
     vertices = graph.vertices.select("id", F.lit(1.0).alias("value"))
     return iterate_fixed(
-        graph.with_vertices(vertices), program, rounds, drop_unreached=True, rows_per_piece=rows_per_piece
+        graph.with_vertices(vertices), program, rounds, drop_unreached=True
     ).vertices

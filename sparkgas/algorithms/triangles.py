@@ -9,7 +9,7 @@ from sparkgas.functions.columns import half
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.messages import aggregate_messages, neighbor_pairs
 from sparkgas.plans.cluster import cut
-from sparkgas.plans.skew import spread_join
+from sparkgas.plans.skew import EdgeStats, spread_join
 
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def canonical_pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def triangles(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFrame:
+def triangles(graph: PropertyGraph) -> DataFrame:
     """Every triangle once, as ``(a, b, c)``.
 
     Pairs point from the end with fewer neighbours to the one with more, so no
@@ -30,13 +30,14 @@ def triangles(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFr
     cut into pieces.
     """
     pairs = cut(canonical_pairs(graph.edges))
+    stats = EdgeStats(pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst")), graph.rows_per_piece)
     sizes = (
         pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     )
     sized = pairs
-    for end in ("lo", "hi"):
+    for end, column in (("lo", "src"), ("hi", "dst")):
         ends = sizes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
-        sized = spread_join(sized, ends, [end], rows_per_piece=rows_per_piece)
+        sized = spread_join(sized, ends, [end], hot=stats.hot(column))
     lo_first = (F.col("lo_n") < F.col("hi_n")) | ((F.col("lo_n") == F.col("hi_n")) & (F.col("lo") < F.col("hi")))
     oriented = cut(
         sized.select(
@@ -45,19 +46,19 @@ def triangles(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFr
         )
     )
     onward = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    paths = spread_join(oriented, onward, ["b"], rows_per_piece=rows_per_piece)
+    paths = spread_join(oriented, onward, ["b"], rows_per_piece=graph.rows_per_piece)
     closing = oriented.select("a", F.col("b").alias("c"))
     return paths.join(closing, ["a", "c"]).select("a", "b", "c")
 
 
-def triangle_count(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFrame:
+def triangle_count(graph: PropertyGraph) -> DataFrame:
     """``(id, triangles)`` for every vertex."""
-    corners = triangles(graph, rows_per_piece).select(F.explode(F.array("a", "b", "c")).alias("id"))
+    corners = triangles(graph).select(F.explode(F.array("a", "b", "c")).alias("id"))
     counts = corners.groupBy("id").agg(F.count("*").alias("triangles"))
     return graph.vertices.select("id").join(counts, "id", "left").fillna(0, ["triangles"])
 
 
-def edge_common_neighbors(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFrame:
+def edge_common_neighbors(graph: PropertyGraph) -> DataFrame:
     """Every edge row with ``common``, the number of neighbours its two ends share.
 
     A self-loop makes a vertex its own neighbour.
@@ -67,17 +68,18 @@ def edge_common_neighbors(graph: PropertyGraph, rows_per_piece: int | None = Non
         for x, y in (("a", "b"), ("a", "c"), ("b", "c"))
     ])
     shared = (
-        triangles(graph, rows_per_piece)
+        triangles(graph)
         .select(F.explode(sides).alias("p"))
         .groupBy("p.lo", "p.hi")
         .agg(F.count("*").alias("n"))
     )
-    loops = graph.edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    looped = graph.edges.where("src = dst").select(F.col("src").alias("id")).distinct()
+    loops = cut(looped)
     # a looped end is itself shared by both ends of every edge it has
     pairs = canonical_pairs(graph.edges).join(shared, ["lo", "hi"], "left")
     for end in ("lo", "hi"):
         marks = loops.select(F.col("id").alias(end), F.lit(1).alias(f"{end}_loop"))
-        pairs = spread_join(pairs, marks, [end], "left", rows_per_piece)
+        pairs = spread_join(pairs, marks, [end], "left", graph.stats().hot("both"))
     zero = F.lit(0).cast("bigint")
     common = F.coalesce("n", zero) + F.coalesce("lo_loop", zero) + F.coalesce("hi_loop", zero)
     own = neighbor_pairs(graph).groupBy("id").agg(F.count("*").alias("common"))
@@ -85,12 +87,12 @@ def edge_common_neighbors(graph: PropertyGraph, rows_per_piece: int | None = Non
         loops.join(own, "id").select(F.col("id").alias("lo"), F.col("id").alias("hi"), "common")
     )
     rows = graph.edges.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
-    return spread_join(rows, table, ["lo", "hi"], rows_per_piece=rows_per_piece).drop("lo", "hi")
+    return spread_join(rows, table, ["lo", "hi"], rows_per_piece=graph.rows_per_piece).drop("lo", "hi")
 
 
-def edge_sum_to_vertices(graph: PropertyGraph, column: str, rows_per_piece: int | None = None) -> DataFrame:
+def edge_sum_to_vertices(graph: PropertyGraph, column: str) -> DataFrame:
     """``(id, total)``: half the sum of ``column`` over the edges of each vertex."""
-    sums = aggregate_messages(graph, lambda t: t.edge[column], F.sum, "both", rows_per_piece)
+    sums = aggregate_messages(graph, lambda t: t.edge[column], F.sum, "both")
     return graph.vertices.select("id").join(sums, "id", "left").select(
         "id", half(F.coalesce("acc", F.lit(0))).alias("total")
     )

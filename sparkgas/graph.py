@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from sparkgas.plans.skew import spread_join
+from sparkgas.plans.skew import ROWS_PER_PIECE, EdgeStats, spread_join
 
 DIRECTIONS = ("none", "in", "out", "both")
 
@@ -21,10 +21,17 @@ class PropertyGraph:
     self-loops.  Edges with an end missing from ``vertices`` take part in
     nothing; with ``validate=True`` they are an error.  ``complete=True`` states
     that there are none, which saves the joins that would look for them.
+    ``rows_per_piece`` is the number of edges above which the edges of one
+    vertex are spread over several tasks.
     """
 
     def __init__(
-        self, vertices: DataFrame, edges: DataFrame, validate: bool = False, complete: bool = False
+        self,
+        vertices: DataFrame,
+        edges: DataFrame,
+        validate: bool = False,
+        complete: bool = False,
+        rows_per_piece: int = ROWS_PER_PIECE,
     ):
         if "id" not in vertices.columns:
             raise ValueError("vertices need a column 'id'")
@@ -33,6 +40,8 @@ class PropertyGraph:
         self.vertices = vertices
         self.edges = edges
         self.complete = complete or validate
+        self.rows_per_piece = rows_per_piece
+        self._stats: EdgeStats | None = None
         if validate:
             self.validate()
 
@@ -73,11 +82,22 @@ class PropertyGraph:
 
     def with_vertices(self, vertices: DataFrame) -> PropertyGraph:
         """The same ids with other data."""
-        return PropertyGraph(vertices, self.edges, complete=self.complete)
+        graph = self._like(vertices, self.edges)
+        graph._stats = self._stats
+        return graph
 
     def with_edges(self, edges: DataFrame) -> PropertyGraph:
         """Other edges among the same vertices."""
-        return PropertyGraph(self.vertices, edges, complete=self.complete)
+        return self._like(self.vertices, edges)
+
+    def _like(self, vertices: DataFrame, edges: DataFrame) -> PropertyGraph:
+        return PropertyGraph(vertices, edges, complete=self.complete, rows_per_piece=self.rows_per_piece)
+
+    def stats(self) -> EdgeStats:
+        """Edge count and hot ids; counted once per edge table."""
+        if self._stats is None:
+            self._stats = EdgeStats(self.edges, self.rows_per_piece)
+        return self._stats
 
     def inner_edges(self) -> DataFrame:
         """The edges with both ends among the vertices."""
@@ -85,14 +105,14 @@ class PropertyGraph:
             return self.edges
         edges, ids = self.edges, self.vertices.select("id")
         for end in ("src", "dst"):
-            edges = spread_join(edges, ids.withColumnRenamed("id", end), [end], "left_semi")
+            edges = spread_join(
+                edges, ids.withColumnRenamed("id", end), [end], "left_semi", self.stats().hot(end)
+            )
         return edges.select(self.edges.columns)
 
     def cache(self) -> PropertyGraph:
         level = StorageLevel.MEMORY_AND_DISK
-        return PropertyGraph(
-            self.vertices.persist(level), self.edges.persist(level), complete=self.complete
-        )
+        return self._like(self.vertices.persist(level), self.edges.persist(level))
 
     def unpersist(self) -> None:
         self.vertices.unpersist()

@@ -20,11 +20,10 @@ def messages(
     graph: PropertyGraph,
     gather: Callable[[Triplet], Column],
     direction: str = "in",
-    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """``(id, msg)``: what every edge sends along ``direction``; NULL sends nothing."""
     centers = {"in": ("dst",), "out": ("src",), "both": ("dst", "src")}[direction]
-    rows = view_triplets(graph, centers, lambda t: {"msg": gather(t)}, rows_per_piece)
+    rows = view_triplets(graph, centers, lambda t: {"msg": gather(t)})
     pairs = [F.struct(F.col(f"{c[0]}_id").alias("id"), F.col(f"{c}_msg").alias("msg")) for c in centers]
     if len(pairs) == 1:
         sent = rows.select(F.col(f"{centers[0][0]}_id").alias("id"), F.col(f"{centers[0]}_msg").alias("msg"))
@@ -38,7 +37,6 @@ def aggregate_messages(
     gather: Callable[[Triplet], Column],
     reducer: Reducer | Callable[[Column], Column],
     direction: str = "in",
-    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """``(id, acc)``: messages of each vertex reduced to one value.
 
@@ -46,7 +44,7 @@ def aggregate_messages(
     a vertex with very many messages costs its exchange one row per task.
     """
     return as_reducer(reducer).reduce(
-        messages(graph, gather, direction, rows_per_piece), ["id"], "msg", "acc"
+        messages(graph, gather, direction), ["id"], "msg", "acc"
     )
 
 
@@ -78,10 +76,9 @@ def reduce_vertices(
 def group_then_reduce(
     graph: PropertyGraph,
     value: Callable[[Triplet], Column],
-    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """Sum over each target's in-edges of a value of both ends, without building groups."""
-    return aggregate_messages(graph, value, F.sum, "in", rows_per_piece)
+    return aggregate_messages(graph, value, F.sum, "in")
 
 
 def partial_then_final(

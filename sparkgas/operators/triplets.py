@@ -24,30 +24,30 @@ def _edge_rows(edges: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def triplets(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFrame:
+def triplets(graph: PropertyGraph) -> DataFrame:
     """Every edge with the data of both ends.
 
     Columns: ``s_id, s_<data>…, d_id, d_<data>…, e_<data>…``.
     """
     rows = _edge_rows(graph.edges)
-    rows = spread_join(rows, _ends(graph.vertices, "s_"), ["s_id"], rows_per_piece=rows_per_piece)
-    return spread_join(rows, _ends(graph.vertices, "d_"), ["d_id"], rows_per_piece=rows_per_piece)
+    hot = graph.stats().hot
+    rows = spread_join(rows, _ends(graph.vertices, "s_"), ["s_id"], hot=hot("src"))
+    return spread_join(rows, _ends(graph.vertices, "d_"), ["d_id"], hot=hot("dst"))
 
 
-def source_pairs(graph: PropertyGraph, rows_per_piece: int | None = None) -> DataFrame:
+def source_pairs(graph: PropertyGraph) -> DataFrame:
     """Every edge with the data of its source, keyed by target: the one-join form.
 
     Columns: ``id`` (the target), ``s_id``, ``s_<data>…``, ``e_<data>…``.
     """
     rows = spread_join(
-        _edge_rows(graph.edges), _ends(graph.vertices, "s_"), ["s_id"], rows_per_piece=rows_per_piece
+        _edge_rows(graph.edges), _ends(graph.vertices, "s_"), ["s_id"], hot=graph.stats().hot("src")
     )
     return rows.withColumnRenamed("d_id", "id")
 
 
 def view_triplets(
     graph: PropertyGraph, centers: tuple[str, ...], exprs: Callable[[Triplet], dict[str, Column]],
-    rows_per_piece: int | None = None,
     extra: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Evaluate ``exprs`` on every edge for each end named in ``centers`` ("src", "dst").
@@ -69,7 +69,7 @@ def view_triplets(
         if columns or not graph.complete:
             ends = _ends(graph.vertices, prefix, columns)
             how = "inner" if columns else "left_semi"
-            rows = spread_join(rows, ends, [f"{prefix}id"], how, rows_per_piece)
+            rows = spread_join(rows, ends, [f"{prefix}id"], how, graph.stats().hot(end))
     carried = [f"`{p}{c}`" for p, e in (("s_", "src"), ("d_", "dst")) for c in extra.get(e, [])]
     return rows.select("s_id", "d_id", *carried, *out)
 
@@ -99,13 +99,14 @@ def active_only(graph: PropertyGraph, active: Column, direction: str = "in") ->
     The active ids are the small, unique side; hot centers are cut by the join.
     """
     ids = graph.vertices.where(active).select(F.col("id").alias("center"))
-    return spread_join(by_direction(graph, direction), ids, ["center"])
+    end = {"none": "src", "in": "dst", "out": "src", "both": "both"}[direction]
+    return spread_join(by_direction(graph, direction), ids, ["center"], hot=graph.stats().hot(end))
 
 
-def active_triplets(graph: PropertyGraph, active: Column, rows_per_piece: int | None = None) -> DataFrame:
+def active_triplets(graph: PropertyGraph, active: Column) -> DataFrame:
     """Triplets with at least one active end (``s_active``, ``d_active`` show which)."""
     flagged = graph.with_vertices(graph.vertices.withColumn("active", active))
-    return triplets(flagged, rows_per_piece).where(F.col("s_active") | F.col("d_active"))
+    return triplets(flagged).where(F.col("s_active") | F.col("d_active"))
 
 
 def transform_edges(graph: PropertyGraph, data: Callable[[Triplet], dict[str, Column]]) -> PropertyGraph:
@@ -113,10 +114,11 @@ def transform_edges(graph: PropertyGraph, data: Callable[[Triplet], dict[str, Co
     t = Triplet("s_", "d_", True)
     news = data(t)
     rows = _edge_rows(graph.edges)
-    for prefix in ("s_", "d_"):
+    for prefix, end in (("s_", "src"), ("d_", "dst")):
         columns = sorted(t.vertex_columns(prefix))
         if columns:
-            rows = spread_join(rows, _ends(graph.vertices, prefix, columns), [f"{prefix}id"])
+            ends = _ends(graph.vertices, prefix, columns)
+            rows = spread_join(rows, ends, [f"{prefix}id"], hot=graph.stats().hot(end))
     keep = [c for c in graph.edge_columns if c not in news]
     return graph.with_edges(
         rows.select(

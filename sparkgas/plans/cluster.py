@@ -50,6 +50,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame | None) -> None:
+    """Delete the rows that :func:`cut` wrote for ``df``, once nothing reads them any more."""
+    if df is None:
+        return
+    spark = df.sparkSession
+    written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if written.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(spark: SparkSession, rows: int) -> int:
     """Number of shuffle partitions for a loop over ``rows`` edge rows.
 

@@ -24,9 +24,8 @@ from pyspark.storagelevel import StorageLevel
 from sparkgas.functions.reducers import Reducer, as_reducer
 from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
-from sparkgas.plans.cluster import cut, partitions_for, shuffle_partitions
+from sparkgas.plans.cluster import cut, drop, partitions_for, shuffle_partitions
 from sparkgas.plans.layout import ArcLayout
-from sparkgas.plans.skew import HotKeys, hot_keys
 
 ACTIVE = "_active"
 
@@ -162,7 +161,7 @@ def active_count(state: DataFrame, flag: str = ACTIVE) -> DataFrame:
 
 
 class ArcPlan:
-    def __init__(self, graph: PropertyGraph, program: Program, layout: ArcLayout):
+    def __init__(self, program: Program, layout: ArcLayout):
         self.program = program
         self.layout = layout
         self.reducer = as_reducer(program.reducer)
@@ -177,8 +176,6 @@ class ArcPlan:
         self.receiver_cols = sorted(self.t.vertex_columns("rcv_") | self.s.vertex_columns("rcv_"))
         self.msg_at_sender = self._sender_only(self.t, program.gather_dir)
         self.sig_at_sender = self.sig is not None and self._sender_only(self.s, program.gather_dir)
-        if self.receiver_cols:
-            self.hot_receivers = layout.hot_receivers()
 
     @staticmethod
     def _sender_only(t: Triplet, direction: str) -> bool:
@@ -206,7 +203,7 @@ class ArcPlan:
     def _with_receivers(self, arcs: DataFrame, state: DataFrame) -> DataFrame:
         if not self.receiver_cols:
             return arcs
-        hot = self.hot_receivers
+        hot = self.layout.hot_receivers
         ends = state.select(
             F.col("id").alias("rcv_id"), *[F.col(f"`{c}`").alias(f"rcv_{c}") for c in self.receiver_cols]
         )
@@ -251,12 +248,12 @@ class ArcPlan:
         return merge_accumulators(state, acc, self.program.apply, active, self.program.default)
 
 
-def _run_arc_plan(graph, program, max_iter, on_limit, layout, rows_per_piece) -> GasResult:
+def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
     own_layout = layout is None
     if own_layout:
-        layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program), rows_per_piece)
+        layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program))
     spark = graph.spark
-    plan = ArcPlan(graph, program, layout)
+    plan = ArcPlan(program, layout)
     with shuffle_partitions(spark, layout.partitions):
         state = graph.vertices.withColumn(ACTIVE, F.lit(True))
         state = cut(state.repartition(layout.partitions, "id").sortWithinPartitions("id"))
@@ -267,16 +264,19 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout, rows_per_piece) ->
             converged = True
         while converged is None and (max_iter is None or iterations < max_iter):
             first = iterations == 0
-            receivers = None
+            receivers = signalled = None
             if not first and _worth_a_frontier(program, layout, history[-1], total):
                 signalled = cut(plan.signalled(state))
                 if signalled.count() <= FRONTIER_BROADCAST_ROWS:
                     receivers = F.broadcast(signalled)
             state_next = cut(plan.round(state, first, receivers))
+            drop(signalled)
             n_active = active_count(state_next).first()[0]
             if n_active == 0:
                 converged = True
+                drop(state_next)
                 break
+            drop(state)
             state = state_next
             iterations += 1
             history.append(n_active)
@@ -320,13 +320,11 @@ def edge_columns_used(program: Program) -> list[str]:
 class _TripletPlan:
     """Separate gather and scatter passes over edges that carry data as state."""
 
-    def __init__(self, graph: PropertyGraph, program: Program, rows_per_piece: int | None):
+    def __init__(self, graph: PropertyGraph, program: Program):
         self.program = program
         self.reducer = as_reducer(program.reducer)
         self.edge_columns = graph.edge_columns
-        self.hot = {
-            end: hot_keys(graph.edges, end, rows_per_piece=rows_per_piece) for end in ("src", "dst")
-        }
+        self.hot = {end: graph.stats().hot(end) for end in ("src", "dst")}
 
     def start(self, edges: DataFrame) -> DataFrame:
         rows = edges.select(
@@ -451,11 +449,11 @@ class _TripletPlan:
         return rows, merge_signals(applied, signalled)
 
 
-def _run_triplet_plan(graph, program, max_iter, on_limit, rows_per_piece) -> GasResult:
+def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
     spark = graph.spark
-    n = partitions_for(spark, graph.edges.count())
+    n = partitions_for(spark, graph.stats().n_edges)
     with shuffle_partitions(spark, n):
-        plan = _TripletPlan(graph, program, rows_per_piece)
+        plan = _TripletPlan(graph, program)
         rows = plan.start(graph.edges)
         # edges are state here; with data to update they are rewritten every round
         by_source = ["s_id", "_spiece"] if plan.hot["src"] else ["s_id"]
@@ -468,8 +466,12 @@ def _run_triplet_plan(graph, program, max_iter, on_limit, rows_per_piece) -> Gas
         iterations = 0
         while n_active and (max_iter is None or iterations < max_iter):
             history.append(n_active)
+            rows_before, state_before = rows, state
             rows, state = plan.superstep(rows, state)
             state = cut(state)
+            drop(state_before)
+            if program.updates_edges:
+                drop(rows_before)
             iterations += 1
             n_active = active_count(state).first()[0]
     if n_active and on_limit == "error":
@@ -490,7 +492,6 @@ def run_gas(
     max_iter: int | None = None,
     on_limit: str | None = None,
     layout: ArcLayout | None = None,
-    rows_per_piece: int | None = None,
 ) -> GasResult:
     """Run ``program`` in synchronous rounds until no vertex is active.
 
@@ -502,19 +503,19 @@ def run_gas(
     if max_iter == 0:
         return GasResult(graph, 0, [], None)
     if program.fits_arc_plan():
-        return _run_arc_plan(graph, program, max_iter, on_limit, layout, rows_per_piece)
-    return _run_triplet_plan(graph, program, max_iter, on_limit, rows_per_piece)
+        return _run_arc_plan(graph, program, max_iter, on_limit, layout)
+    return _run_triplet_plan(graph, program, max_iter, on_limit)
 
 
 def superstep(
-    graph: PropertyGraph, program: Program, active: Column | bool = True, rows_per_piece: int | None = None
+    graph: PropertyGraph, program: Program, active: Column | bool = True
 ) -> tuple[PropertyGraph, DataFrame]:
     """One gather, apply and scatter.
 
     Returns the graph after it and its vertices with the new flag ``active``.
     """
     flag = active if isinstance(active, Column) else F.lit(active)
-    plan = _TripletPlan(graph, program, rows_per_piece)
+    plan = _TripletPlan(graph, program)
     state = graph.vertices.withColumn(ACTIVE, flag)
     rows, state = plan.superstep(plan.start(graph.edges), state)
     edges = plan.finish(rows) if program.updates_edges else graph.edges
@@ -527,12 +528,11 @@ def signal_frontier(
     active: Column,
     signal: Callable[[Triplet], Column],
     direction: str = "out",
-    rows_per_piece: int | None = None,
 ) -> DataFrame:
     """Ids that ``active`` vertices signal along their edges, each once."""
     program = Program(
         gather=lambda t: F.lit(None), reducer=F.max, apply=lambda v, a: {}, signal=signal, scatter_dir=direction
     )
-    plan = _TripletPlan(graph, program, rows_per_piece)
+    plan = _TripletPlan(graph, program)
     state = graph.vertices.withColumn(ACTIVE, active)
     return plan.scatter(plan.start(graph.edges), state)[1]

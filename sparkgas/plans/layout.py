@@ -14,7 +14,6 @@ from pyspark.storagelevel import StorageLevel
 
 from sparkgas.graph import PropertyGraph
 from sparkgas.plans.cluster import partitions_for
-from sparkgas.plans.skew import ROWS_PER_PIECE, HotKeys, hot_keys, no_hot_keys
 
 
 def arcs_of(edges: DataFrame, direction: str, columns: list[str]) -> DataFrame:
@@ -45,28 +44,17 @@ def arcs_of(edges: DataFrame, direction: str, columns: list[str]) -> DataFrame:
 class ArcLayout:
     """Arcs kept by sender, with the arcs of hot senders cut into pieces."""
 
-    def __init__(
-        self,
-        graph: PropertyGraph,
-        direction: str,
-        columns: list[str] | None = None,
-        rows_per_piece: int | None = None,
-    ):
-        spark = graph.spark
+    def __init__(self, graph: PropertyGraph, direction: str, columns: list[str] | None = None):
+        stats = graph.stats()
+        sends, receives = {"in": ("src", "dst"), "out": ("dst", "src"), "both": ("both", "both")}[direction]
         self.direction = direction
-        self.rows_per_piece = rows_per_piece or ROWS_PER_PIECE
-        self._edges = graph.edges
-        raw = arcs_of(graph.edges, direction, graph.edge_columns if columns is None else columns)
-        # one pass with map-side combine tells the size and whether any sender is hot
-        per_sender = raw.groupBy("snd_id").agg(F.count("*").alias("n"))
-        stats = per_sender.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-        self.n_arcs = stats["total"] or 0
-        self.partitions = partitions_for(spark, self.n_arcs)
-        if (stats["most"] or 0) > self.rows_per_piece:
-            self.hot = hot_keys(raw, "snd_id", rows_per_piece=self.rows_per_piece)
-        else:
-            self.hot = no_hot_keys("_k0")
+        self.n_arcs = stats.n_edges * (2 if direction == "both" else 1)
+        self.most_received = stats.most[receives]
+        self.partitions = partitions_for(graph.spark, self.n_arcs)
+        self.hot = stats.hot(sends)
+        self.hot_receivers = stats.hot(receives)
         self.key = ["snd_id", "_piece"] if self.hot else ["snd_id"]
+        raw = arcs_of(graph.edges, direction, graph.edge_columns if columns is None else columns)
         self.arcs = (
             self.hot.spread(raw, ["snd_id"], "_piece")
             .repartition(self.partitions, *self.key)
@@ -74,16 +62,6 @@ class ArcLayout:
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
-    def hot_receivers(self) -> HotKeys:
-        if self.direction == "both":
-            return self.hot
-        return hot_keys(self.arcs, "rcv_id", rows_per_piece=self.rows_per_piece)
-
-    def most_received(self) -> int:
-        """Largest number of arcs into one receiver."""
-        per_receiver = self.arcs.groupBy("rcv_id").agg(F.count("*").alias("n"))
-        return per_receiver.agg(F.max("n")).first()[0] or 0
-
     def sent(self) -> DataFrame:
         """``(id, n)``: number of arcs leaving each sender."""
         return self.arcs.groupBy(F.col("snd_id").alias("id")).agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgas.graph import PropertyGraph
-from sparkgas.plans.cluster import cut, shuffle_partitions
+from sparkgas.plans.cluster import cut, drop, shuffle_partitions
 from sparkgas.plans.gas import ACTIVE, ArcPlan, Program, edge_columns_used, merge_accumulators, vertex_view
 from sparkgas.plans.layout import ArcLayout
 
@@ -19,7 +19,6 @@ def iterate_fixed(
     rounds: int,
     drop_unreached: bool = False,
     layout: ArcLayout | None = None,
-    rows_per_piece: int | None = None,
 ) -> PropertyGraph:
     """Gather and apply on every vertex, ``rounds`` times.
 
@@ -28,20 +27,25 @@ def iterate_fixed(
     """
     own_layout = layout is None
     if own_layout:
-        layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program), rows_per_piece)
-    plan = ArcPlan(graph, program, layout)
+        layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program))
+    plan = ArcPlan(program, layout)
     with shuffle_partitions(graph.spark, layout.partitions):
         state = graph.vertices.withColumn(ACTIVE, F.lit(True))
         state = cut(state.repartition(layout.partitions, "id").sortWithinPartitions("id"))
         for _ in range(rounds):
+            before = state
             if drop_unreached:
                 acc = plan.reduce(plan.messages(state, first=True)).where("acc is not null")
                 state = cut(sync_values(state, acc, program))
             else:
                 state = cut(plan.round(state, first=True))
+            drop(before)
     if own_layout:
         layout.release()
-    return PropertyGraph(state.drop(ACTIVE), graph.edges)
+    vertices = state.drop(ACTIVE)
+    if drop_unreached:
+        return PropertyGraph(vertices, graph.edges, rows_per_piece=graph.rows_per_piece)
+    return graph.with_vertices(vertices)
 
 
 def sync_values(state: DataFrame, acc: DataFrame, program: Program) -> DataFrame:
@@ -60,7 +64,6 @@ def iterate_blocked(
     program: Program,
     rounds: int,
     block_size: int = 50_000,
-    rows_per_piece: int | None = None,
 ) -> PropertyGraph:
     """Rounds in which blocks of vertex ids are updated one after another.
 
@@ -82,21 +85,23 @@ def iterate_blocked(
     plans, states = [], []
     for lo in starts:
         inside = F.col(center).between(lo, lo + block_size - 1)
-        layout = ArcLayout(graph.with_edges(graph.edges.where(inside)), program.gather_dir, columns, rows_per_piece)
+        layout = ArcLayout(graph.with_edges(graph.edges.where(inside)), program.gather_dir, columns)
         block = graph.vertices.where(F.col("id").between(lo, lo + block_size - 1))
         with shuffle_partitions(spark, layout.partitions):
             block = block.withColumn(ACTIVE, F.lit(True)).repartition(layout.partitions, "id")
             states.append(cut(block.sortWithinPartitions("id")))
-        plans.append(ArcPlan(graph, program, layout))
+        plans.append(ArcPlan(program, layout))
     for _ in range(rounds):
         for i, plan in enumerate(plans):
             with shuffle_partitions(spark, plan.layout.partitions):
                 everyone = reduce(DataFrame.unionByName, states)
                 acc = plan.reduce(plan.messages(everyone, first=True))
+                before = states[i]
                 states[i] = cut(
                     merge_accumulators(states[i], acc, program.apply, F.lit(True), program.default)
                 )
+                drop(before)
     for plan in plans:
         plan.layout.release()
     vertices = reduce(DataFrame.unionByName, states).drop(ACTIVE)
-    return PropertyGraph(vertices, graph.edges)
+    return graph.with_vertices(vertices)

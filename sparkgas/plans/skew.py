@@ -83,8 +83,44 @@ def hot_keys(df: DataFrame, *keys: str | Column, rows_per_piece: int | None = No
     return HotKeys(cols, spark.createDataFrame(rows, top.schema) if rows else None)
 
 
-def no_hot_keys(*cols: str) -> HotKeys:
-    return HotKeys(list(cols), None)
+class EdgeStats:
+    """Size of an edge table and the ids that hold very many of its rows.
+
+    One counting pass with map-side combine; the bounded list of hot ids is
+    fetched only if there are any.
+    """
+
+    def __init__(self, edges: DataFrame, rows_per_piece: int | None = None):
+        self.rows_per_piece = rows_per_piece or ROWS_PER_PIECE
+        ends = F.array(
+            F.struct(F.col("src").alias("id"), F.lit(1).alias("s"), F.lit(0).alias("d")),
+            F.struct(F.col("dst").alias("id"), F.lit(0).alias("s"), F.lit(1).alias("d")),
+        )
+        per_id = (
+            edges.select(F.explode(ends).alias("e"))
+            .groupBy(F.col("e.id").alias("_k0"))
+            .agg(F.sum("e.s").alias("src"), F.sum("e.d").alias("dst"), F.count("*").alias("both"))
+        )
+        row = per_id.agg(
+            F.sum("src").alias("n"), *[F.max(c).alias(f"most_{c}") for c in ("src", "dst", "both")]
+        ).first()
+        self.n_edges: int = row["n"] or 0
+        self.most: dict[str, int] = {c: row[f"most_{c}"] or 0 for c in ("src", "dst", "both")}
+        self._hot: DataFrame | None = None
+        if self.most["both"] > self.rows_per_piece:
+            top = (
+                per_id.where(F.col("both") > self.rows_per_piece)
+                .orderBy(F.desc("both"))
+                .limit(MAX_HOT_KEYS)
+            )
+            self._hot = edges.sparkSession.createDataFrame(top.collect(), top.schema)
+
+    def hot(self, end: str) -> HotKeys:
+        """Hot ids among the sources ("src"), the targets ("dst") or both ends together."""
+        if self.most[end] <= self.rows_per_piece:
+            return HotKeys(["_k0"], None)
+        pieces = F.ceil(F.col(end) / self.rows_per_piece).cast("int").alias("_pieces")
+        return HotKeys(["_k0"], self._hot.where(F.col(end) > self.rows_per_piece).select("_k0", pieces))
 
 
 def spread_join(
@@ -92,10 +128,12 @@ def spread_join(
     one: DataFrame,
     names: list[str],
     how: str = "inner",
+    hot: HotKeys | None = None,
     rows_per_piece: int | None = None,
 ) -> DataFrame:
-    """Join ``many`` to ``one`` (unique on ``names``), cutting hot keys of ``many``."""
-    hot = hot_keys(many, *names, rows_per_piece=rows_per_piece)
+    """Join ``many`` to ``one``, cutting hot keys of ``many`` (counted if not given)."""
+    if hot is None:
+        hot = hot_keys(many, *names, rows_per_piece=rows_per_piece)
     if not hot:
         return many.join(one, names, how)
     return (
