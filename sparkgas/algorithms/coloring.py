@@ -34,7 +34,9 @@ def greedy_color(
         signal=lambda t: changed(t.center["color"], t.center["prev"]),
     )
     vertices = oriented.vertices.select("id", F.col("id").alias("color"), F.col("id").alias("prev"))
-    result = run_gas(oriented.with_vertices(vertices), program, max_iter, on_limit, layout=layout)
-    layout.release()
+    try:
+        result = run_gas(oriented.with_vertices(vertices), program, max_iter, on_limit, layout=layout)
+    finally:
+        layout.release()
     result.graph = graph.with_vertices(result.graph.vertices)
     return result

@@ -43,9 +43,10 @@ def pagerank(
         apply=lambda v, acc: {"rank": acc + RESET, "prev": v["rank"]},
         signal=lambda t: F.abs(t.center["rank"] - t.center["prev"]) > tol,
     )
-    result = run_gas(graph.with_vertices(vertices), program, max_iter=max_iter, layout=layout)
-    layout.release()
-    return result
+    try:
+        return run_gas(graph.with_vertices(vertices), program, max_iter=max_iter, layout=layout)
+    finally:
+        layout.release()
 
 
 def rank_total(graph: PropertyGraph, column: str = "rank") -> DataFrame:

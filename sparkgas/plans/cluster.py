@@ -75,16 +75,19 @@ def partitions_for(spark: SparkSession, rows: int) -> int:
 
 
 @contextmanager
-def shuffle_partitions(spark: SparkSession, n: int):
-    """Run the body with ``n`` shuffle partitions, then restore the setting.
+def fixed_layout(spark: SparkSession, n: int):
+    """Plan the body for tables that rest in ``n`` partitions, then restore the settings.
 
-    All exchanges of a loop then agree with the layout of its edges, so the
-    edges themselves are never exchanged again.
+    All exchanges then agree with the layout of the edges.  Adaptive planning is
+    off meanwhile: it would forget how checkpointed rows are partitioned, and
+    every round would exchange its vertices twice.
     """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    settings = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -24,7 +24,7 @@ from pyspark.storagelevel import StorageLevel
 from sparkgas.functions.reducers import Reducer, as_reducer
 from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
-from sparkgas.plans.cluster import cut, drop, partitions_for, shuffle_partitions
+from sparkgas.plans.cluster import cut, drop, fixed_layout, partitions_for
 from sparkgas.plans.layout import ArcLayout
 
 ACTIVE = "_active"
@@ -249,14 +249,16 @@ class ArcPlan:
 
 
 def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
-    own_layout = layout is None
-    if own_layout:
+    if layout is None:
         layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program))
+        try:
+            return _run_arc_plan(graph, program, max_iter, on_limit, layout)
+        finally:
+            layout.release()
     spark = graph.spark
     plan = ArcPlan(program, layout)
-    with shuffle_partitions(spark, layout.partitions):
-        state = graph.vertices.withColumn(ACTIVE, F.lit(True))
-        state = cut(state.repartition(layout.partitions, "id").sortWithinPartitions("id"))
+    state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
+    with fixed_layout(spark, layout.partitions):
         history: list[int] = []
         iterations, converged = 0, None
         total = active_count(state).first()[0]
@@ -286,8 +288,6 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
             if active_count(plan.round(state, iterations == 0)).first()[0]:
                 raise NotConverged(f"still active after {max_iter} rounds")
             converged = True
-    if own_layout:
-        layout.release()
     return GasResult(graph.with_vertices(state.drop(ACTIVE)), iterations, history, converged)
 
 
@@ -325,6 +325,20 @@ class _TripletPlan:
         self.reducer = as_reducer(program.reducer)
         self.edge_columns = graph.edge_columns
         self.hot = {end: graph.stats().hot(end) for end in ("src", "dst")}
+        self._edges_written: DataFrame | None = None
+        self._spent: list[DataFrame] = []
+
+    def cut_edges(self, rows: DataFrame) -> DataFrame:
+        """Write the edges; what was written for them before is spent."""
+        if self._edges_written is not None:
+            self._spent.append(self._edges_written)
+        self._edges_written = cut(rows)
+        return self._edges_written
+
+    def drop_spent(self) -> None:
+        for df in self._spent:
+            drop(df)
+        self._spent = []
 
     def start(self, edges: DataFrame) -> DataFrame:
         rows = edges.select(
@@ -418,7 +432,7 @@ class _TripletPlan:
             trip = trip.where(F.col(f"d_{ACTIVE}" if p.gather_dir == "in" else f"s_{ACTIVE}"))
         visited = self._visit(trip, p.gather_dir, p.gather, p.gather_edge_update, "")
         if p.gather_edge_update is not None:
-            visited = cut(visited.select(*self._edge_rows(visited), "_at_d", "_at_s"))
+            visited = self.cut_edges(visited.select(*self._edge_rows(visited), "_at_d", "_at_s"))
             rows = visited.select(*self._edge_rows(visited))
         msgs = self._both_ways(visited, "_at_d", "_at_s", p.gather_dir, "_msg")
         return rows, self.reducer.reduce(msgs, ["id"], "_msg", "acc")
@@ -434,7 +448,7 @@ class _TripletPlan:
             trip = trip.where(F.col(f"d_{ACTIVE}" if p.scatter_dir == "in" else f"s_{ACTIVE}"))
         visited = self._visit(trip, p.scatter_dir, p.signal, p.scatter_edge_update, "boolean")
         if p.scatter_edge_update is not None:
-            visited = cut(visited.select(*self._edge_rows(visited), "_at_d", "_at_s"))
+            visited = self.cut_edges(visited.select(*self._edge_rows(visited), "_at_d", "_at_s"))
             rows = visited.select(*self._edge_rows(visited))
         # the visiting end signals the opposite one: the target's answer goes to the source
         flipped = {"in": "out", "out": "in", "both": "both"}[p.scatter_dir]
@@ -445,6 +459,7 @@ class _TripletPlan:
         rows, acc = self.gather(rows, state)
         p = self.program
         applied = cut(merge_accumulators(state, acc, p.apply, F.col(ACTIVE), p.default))
+        self._spent.append(applied)
         rows, signalled = self.scatter(rows, applied)
         return rows, merge_signals(applied, signalled)
 
@@ -452,33 +467,32 @@ class _TripletPlan:
 def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
     spark = graph.spark
     n = partitions_for(spark, graph.stats().n_edges)
-    with shuffle_partitions(spark, n):
+    state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
+    with fixed_layout(spark, n):
         plan = _TripletPlan(graph, program)
         rows = plan.start(graph.edges)
         # edges are state here; with data to update they are rewritten every round
         by_source = ["s_id", "_spiece"] if plan.hot["src"] else ["s_id"]
         rows = rows.repartition(n, *by_source).sortWithinPartitions(*by_source)
-        rows = cut(rows) if program.updates_edges else rows.persist(StorageLevel.MEMORY_AND_DISK)
-        edges_at_rest = rows
-        state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)).repartition(n, "id"))
+        rows = plan.cut_edges(rows) if program.updates_edges else rows.persist(StorageLevel.MEMORY_AND_DISK)
+        resting = rows
         history: list[int] = []
         n_active = active_count(state).first()[0]
         iterations = 0
         while n_active and (max_iter is None or iterations < max_iter):
             history.append(n_active)
-            rows_before, state_before = rows, state
+            before = state
             rows, state = plan.superstep(rows, state)
             state = cut(state)
-            drop(state_before)
-            if program.updates_edges:
-                drop(rows_before)
+            drop(before)
+            plan.drop_spent()
             iterations += 1
             n_active = active_count(state).first()[0]
     if n_active and on_limit == "error":
         raise NotConverged(f"still active after {max_iter} rounds")
     edges = plan.finish(rows) if program.updates_edges else graph.edges
     if not program.updates_edges:
-        edges_at_rest.unpersist()
+        resting.unpersist()
     result = PropertyGraph(state.drop(ACTIVE), edges, complete=graph.complete or program.updates_edges)
     return GasResult(result, iterations, history, n_active == 0)
 

@@ -42,7 +42,12 @@ def arcs_of(edges: DataFrame, direction: str, columns: list[str]) -> DataFrame:
 
 
 class ArcLayout:
-    """Arcs kept by sender, with the arcs of hot senders cut into pieces."""
+    """Arcs kept by sender; the arcs of hot senders are kept apart, as they come.
+
+    There is a bounded number of hot senders, so their rows go to every task
+    and their arcs can rest anywhere.  The arcs of all other senders rest where
+    the sender's own row does.
+    """
 
     def __init__(self, graph: PropertyGraph, direction: str, columns: list[str] | None = None):
         stats = graph.stats()
@@ -51,24 +56,38 @@ class ArcLayout:
         self.n_arcs = stats.n_edges * (2 if direction == "both" else 1)
         self.most_received = stats.most[receives]
         self.partitions = partitions_for(graph.spark, self.n_arcs)
-        self.hot = stats.hot(sends)
         self.hot_receivers = stats.hot(receives)
-        self.key = ["snd_id", "_piece"] if self.hot else ["snd_id"]
+        hot = stats.hot(sends)
+        self.hub_ids = hot.table.select(F.col("_k0").alias("snd_id")) if hot else None
         raw = arcs_of(graph.edges, direction, graph.edge_columns if columns is None else columns)
+        self.hub_arcs = None
+        if self.hub_ids is not None:
+            # bounded list of ids, see MAX_HOT_KEYS
+            hubs = F.broadcast(self.hub_ids)
+            self.hub_arcs = raw.join(hubs, "snd_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+            raw = raw.join(hubs, "snd_id", "left_anti")
         self.arcs = (
-            self.hot.spread(raw, ["snd_id"], "_piece")
-            .repartition(self.partitions, *self.key)
-            .sortWithinPartitions(*self.key)
+            raw.repartition(self.partitions, "snd_id")
+            .sortWithinPartitions("snd_id")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
 
+    def all_arcs(self) -> DataFrame:
+        return self.arcs if self.hub_arcs is None else self.arcs.unionByName(self.hub_arcs)
+
     def sent(self) -> DataFrame:
         """``(id, n)``: number of arcs leaving each sender."""
-        return self.arcs.groupBy(F.col("snd_id").alias("id")).agg(F.count("*").alias("n"))
+        return self.all_arcs().groupBy(F.col("snd_id").alias("id")).agg(F.count("*").alias("n"))
 
     def from_senders(self, senders: DataFrame) -> DataFrame:
         """Arcs joined with ``senders`` (keyed by ``snd_id``); arcs stay where they are."""
-        return self.arcs.join(self.hot.copies(senders, ["snd_id"], "_piece"), self.key)
+        joined = self.arcs.join(senders, "snd_id")
+        if self.hub_arcs is None:
+            return joined
+        hub_rows = senders.join(F.broadcast(self.hub_ids), "snd_id", "left_semi")
+        return joined.unionByName(self.hub_arcs.join(F.broadcast(hub_rows), "snd_id"))
 
     def release(self) -> None:
         self.arcs.unpersist()
+        if self.hub_arcs is not None:
+            self.hub_arcs.unpersist()

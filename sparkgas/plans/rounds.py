@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgas.graph import PropertyGraph
-from sparkgas.plans.cluster import cut, drop, shuffle_partitions
+from sparkgas.plans.cluster import cut, drop, fixed_layout
 from sparkgas.plans.gas import ACTIVE, ArcPlan, Program, edge_columns_used, merge_accumulators, vertex_view
 from sparkgas.plans.layout import ArcLayout
 
@@ -25,13 +25,15 @@ def iterate_fixed(
     With ``drop_unreached`` a vertex that gathers nothing in a round leaves the
     graph, and with it all its edges.
     """
-    own_layout = layout is None
-    if own_layout:
+    if layout is None:
         layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program))
+        try:
+            return iterate_fixed(graph, program, rounds, drop_unreached, layout)
+        finally:
+            layout.release()
     plan = ArcPlan(program, layout)
-    with shuffle_partitions(graph.spark, layout.partitions):
-        state = graph.vertices.withColumn(ACTIVE, F.lit(True))
-        state = cut(state.repartition(layout.partitions, "id").sortWithinPartitions("id"))
+    state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
+    with fixed_layout(graph.spark, layout.partitions):
         for _ in range(rounds):
             before = state
             if drop_unreached:
@@ -40,8 +42,6 @@ def iterate_fixed(
             else:
                 state = cut(plan.round(state, first=True))
             drop(before)
-    if own_layout:
-        layout.release()
     vertices = state.drop(ACTIVE)
     if drop_unreached:
         return PropertyGraph(vertices, graph.edges, rows_per_piece=graph.rows_per_piece)
@@ -87,13 +87,11 @@ def iterate_blocked(
         inside = F.col(center).between(lo, lo + block_size - 1)
         layout = ArcLayout(graph.with_edges(graph.edges.where(inside)), program.gather_dir, columns)
         block = graph.vertices.where(F.col("id").between(lo, lo + block_size - 1))
-        with shuffle_partitions(spark, layout.partitions):
-            block = block.withColumn(ACTIVE, F.lit(True)).repartition(layout.partitions, "id")
-            states.append(cut(block.sortWithinPartitions("id")))
+        states.append(cut(block.withColumn(ACTIVE, F.lit(True))))
         plans.append(ArcPlan(program, layout))
     for _ in range(rounds):
         for i, plan in enumerate(plans):
-            with shuffle_partitions(spark, plan.layout.partitions):
+            with fixed_layout(spark, plan.layout.partitions):
                 everyone = reduce(DataFrame.unionByName, states)
                 acc = plan.reduce(plan.messages(everyone, first=True))
                 before = states[i]
