@@ -30,12 +30,14 @@ class Builtin(Reducer):
 
     def __init__(self, aggregate: Callable[[Column], Column]):
         self.aggregate = aggregate
+        self._known: dict = {}
 
     def reduce(self, msgs, keys, msg, out, flag=None):
-        aggs = [self.aggregate(F.col(msg)).alias(out)]
-        if flag:
-            aggs.append(F.bool_or(flag).alias(flag))
-        return msgs.groupBy(*keys).agg(*aggs)
+        asked = (msg, out, flag)
+        if asked not in self._known:
+            flags = [F.bool_or(flag).alias(flag)] if flag else []
+            self._known[asked] = [self.aggregate(F.col(msg)).alias(out), *flags]
+        return msgs.groupBy(*keys).agg(*self._known[asked])
 
 
 class Mex(Reducer):
@@ -54,37 +56,37 @@ class Mex(Reducer):
         self.levels = max(1, math.ceil(math.log(max(2, limit + 1), self.WIDTH)))
         while self.WIDTH**self.levels <= limit:
             self.levels += 1
+        self._known: dict = {}
 
-    def reduce(self, msgs, keys, msg, out, flag=None):
+    def _steps(self, keys, msg, out, flag):
+        """Column lists of the levels: the input, then (children, groups, aggregates, result) each."""
         flags = [flag] if flag else []
-        top = self.WIDTH**self.levels
-        inside = F.col(msg).between(0, top - 1)
-        level = msgs.select(
+        inside = F.col(msg).between(0, self.WIDTH**self.levels - 1)
+        first = [
             *keys,
             F.when(inside, F.col(msg)).otherwise(0).cast("bigint").alias("_at"),
             inside.alias("_present"),
             F.lit(None).cast("bigint").alias("_free"),
             *flags,
-        )
+        ]
+        none_present = F.lit(0).cast("bigint")
+        aggs = [
+            F.coalesce(F.bit_or(F.when(F.col("_present"), F.expr("shiftleft(1L, _child)"))), none_present).alias("_mask"),
+            F.min("_free").alias("_low"),
+            *[F.bool_or(f).alias(f) for f in flags],
+        ]
+        steps = []
         span = 1
         for depth in range(self.levels):
             last = depth == self.levels - 1
-            child = F.pmod(F.expr(f"_at div {span}"), F.lit(self.WIDTH)).cast("int")
-            block = F.expr(f"_at div {span * self.WIDTH}")
-            aggs = [
-                F.coalesce(
-                    F.bit_or(F.when(F.col("_present"), F.expr("shiftleft(1L, _child)"))),
-                    F.lit(0).cast("bigint"),
-                ).alias("_mask"),
-                F.min("_free").alias("_low"),
+            children = [
+                *keys,
+                F.expr(f"_at div {span * self.WIDTH}").alias("_block"),
+                F.pmod(F.expr(f"_at div {span}"), F.lit(self.WIDTH)).cast("int").alias("_child"),
+                "_present",
+                "_free",
+                *flags,
             ]
-            if flag:
-                aggs.append(F.bool_or(flag).alias(flag))
-            by = [*keys] if last else [*keys, "_block"]
-            grouped = level.select(
-                *keys, block.alias("_block"), child.alias("_child"), "_present", "_free", "_at", *flags
-            )
-            grouped = grouped.groupBy(*by).agg(*aggs)
             start = F.lit(0) if last else F.col("_block") * (span * self.WIDTH)
             mask = F.col("_mask")
             # the lowest zero bit of the mask is the first part with no number at all
@@ -92,12 +94,22 @@ class Mex(Reducer):
             gap = F.when(lowest_gap < self.WIDTH, start + lowest_gap.cast("bigint") * span)
             free = F.least(gap, F.col("_low"))
             if last:
-                return grouped.select(*keys, free.alias(out), *flags)
+                result = [*keys, free.alias(out), *flags]
+            else:
+                result = [*keys, start.alias("_at"), F.lit(True).alias("_present"), free.alias("_free"), *flags]
+            steps.append((children, keys if last else [*keys, "_block"], aggs, result))
             span *= self.WIDTH
-            level = grouped.select(
-                *keys, start.alias("_at"), F.lit(True).alias("_present"), free.alias("_free"), *flags
-            )
-        raise AssertionError("unreachable")
+        return first, steps
+
+    def reduce(self, msgs, keys, msg, out, flag=None):
+        asked = (tuple(keys), msg, out, flag)
+        if asked not in self._known:
+            self._known[asked] = self._steps(list(keys), msg, out, flag)
+        first, steps = self._known[asked]
+        level = msgs.select(*first)
+        for children, groups, aggs, result in steps:
+            level = level.select(*children).groupBy(*groups).agg(*aggs).select(*result)
+        return level
 
 
 class Fold(Reducer):

@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_PARTITION = 2_000_000
-MIN_ROWS_PER_PARTITION = 16_384
+MIN_ROWS_PER_PARTITION = 65_536
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -118,30 +118,34 @@ def _default(acc: Column, default: object) -> Column:
     return F.coalesce(acc, default if isinstance(default, Column) else F.lit(default))
 
 
+def merged_columns(
+    state: DataFrame, apply: Callable[[End, Column], dict[str, Column]], active: Column, default: object = None
+) -> list[Column]:
+    """Vertex columns after an apply, over vertices joined with their accumulators."""
+    active = F.coalesce(active, F.lit(False))
+    news = apply(vertex_view(), _default(F.col("acc"), default))
+    types = {f.name: f.dataType for f in state.schema.fields}
+    columns = [
+        F.when(active, news[c]).otherwise(F.col(f"`{c}`")).cast(types[c]).alias(c) if c in news else F.col(f"`{c}`")
+        for c in types
+        if c != ACTIVE
+    ]
+    return [*columns, active.alias(ACTIVE)]
+
+
 def merge_accumulators(
     state: DataFrame,
     acc: DataFrame,
     apply: Callable[[End, Column], dict[str, Column]],
     active: Column,
     default: object = None,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Join vertices with their accumulators and apply where ``active``.
 
     Inactive vertices keep all their data; active ones without an accumulator
     get ``default``.
     """
-    joined = state.join(acc, "id", "left")
-    active = F.coalesce(active, F.lit(False))
-    news = apply(vertex_view(), _default(F.col("acc"), default))
-    columns = [
-        F.when(active, news[c]).otherwise(F.col(f"`{c}`")).cast(state.schema[c].dataType).alias(c)
-        if c in news
-        else F.col(f"`{c}`")
-        for c in state.columns
-        if c != ACTIVE
-    ]
-    return joined.select(*columns, *keep, active.alias(ACTIVE))
+    return state.join(acc, "id", "left").select(*merged_columns(state, apply, active, default))
 
 
 def merge_signals(state: DataFrame, signalled: DataFrame) -> DataFrame:
@@ -164,6 +168,7 @@ class ArcPlan:
     def __init__(self, program: Program, layout: ArcLayout):
         self.program = program
         self.layout = layout
+        self._columns: dict = {}
         self.reducer = as_reducer(program.reducer)
         fwd = F.col("_fwd")
         center_is_src = {"in": False, "out": True, "both": ~fwd}[program.gather_dir]
@@ -181,23 +186,37 @@ class ArcPlan:
     def _sender_only(t: Triplet, direction: str) -> bool:
         return not t.used_edge and all(p == "snd_" for p, _ in t.used)
 
-    def _senders(self, state: DataFrame, first: bool) -> DataFrame:
-        """Sender rows with just the columns the arcs need."""
+    def _once(self, key, build):
+        """Column lists are the same in every round; build each only once."""
+        if key not in self._columns:
+            self._columns[key] = build()
+        return self._columns[key]
+
+    def _sender_columns(self, first: bool) -> tuple[list, Column | None]:
         wanted = set()
         if not self.msg_at_sender:
             wanted |= self.t.vertex_columns("snd_")
         if self.sig is not None and not first and not self.sig_at_sender:
             wanted |= self.s.vertex_columns("snd_")
-        rows = state.select(*[F.col(f"`{c}`").alias(f"snd_{c}") for c in state.columns if c != ACTIVE], ACTIVE)
         out = ["snd_id", *[f"`snd_{c}`" for c in sorted(wanted)]]
         if self.msg_at_sender:
             out.append(self.msg.alias("_msg"))
-        if not first and self.sig is not None:
-            sig = F.coalesce(self.sig, F.lit(False)) if self.sig_at_sender else F.lit(True)
-            sends = F.col(ACTIVE) & sig
-            if self.program.changes_only:
-                rows = rows.where(sends)
-            out.append(sends.alias("_sig"))
+        if first or self.sig is None:
+            return out, None
+        sig = F.coalesce(self.sig, F.lit(False)) if self.sig_at_sender else F.lit(True)
+        sends = F.col(ACTIVE) & sig
+        return [*out, sends.alias("_sig")], sends
+
+    def _senders(self, state: DataFrame, first: bool) -> DataFrame:
+        """Sender rows with just the columns the arcs need."""
+        renamed = self._once(
+            "renamed",
+            lambda: [*[F.col(f"`{c}`").alias(f"snd_{c}") for c in state.columns if c != ACTIVE], ACTIVE],
+        )
+        out, sends = self._once(("senders", first), lambda: self._sender_columns(first))
+        rows = state.select(*renamed)
+        if sends is not None and self.program.changes_only:
+            rows = rows.where(sends)
         return rows.select(*out)
 
     def _with_receivers(self, arcs: DataFrame, state: DataFrame) -> DataFrame:
@@ -215,37 +234,47 @@ class ArcPlan:
         if receivers is not None:
             arcs = arcs.join(receivers.select(F.col("id").alias("rcv_id")), "rcv_id", "left_semi")
         arcs = self._with_receivers(arcs, state)
-        flags = []
-        if not first and self.sig is not None:
-            sig = F.col("_sig") if self.sig_at_sender else F.col("_sig") & F.coalesce(self.sig, F.lit(False))
-            if self.program.changes_only and not self.sig_at_sender:
-                arcs = arcs.where(sig)
-            flags = [sig.alias("_sig")]
-        msg = F.col("_msg") if self.msg_at_sender else self.msg
-        return arcs.select(F.col("rcv_id").alias("id"), msg.alias("_msg"), *flags)
+        if not first and self.program.changes_only and self.sig is not None and not self.sig_at_sender:
+            arcs = arcs.where(self.sig)
+        return arcs.select(*self._once(("messages", first), lambda: self._message_columns(first)))
 
-    def reduce(self, messages: DataFrame) -> DataFrame:
-        flag = "_sig" if "_sig" in messages.columns else None
+    def _message_columns(self, first: bool) -> list:
+        msg = F.col("_msg") if self.msg_at_sender else self.msg
+        out = [F.col("rcv_id").alias("id"), msg.alias("_msg")]
+        if not first and self.sig is not None:
+            sig = F.col("_sig")
+            if not self.sig_at_sender:
+                sig = sig & F.coalesce(self.sig, F.lit(False))
+            out.append(sig.alias("_sig"))
+        return out
+
+    def reduce(self, messages: DataFrame, first: bool) -> DataFrame:
+        flag = None if first or self.sig is None else "_sig"
         return self.reducer.reduce(messages, ["id"], "_msg", "acc", flag)
 
     def signalled(self, state: DataFrame) -> DataFrame:
         """Ids signalled by the vertices that were active, without gathering."""
         only_signals = replace(self.program, changes_only=True)
         plan = ArcPlan.__new__(ArcPlan)
-        plan.__dict__.update(self.__dict__, program=only_signals)
+        plan.__dict__.update(self.__dict__, program=only_signals, _columns={})
         return plan.messages(state, first=False).where("_sig").select("id").distinct()
 
     def round(self, state: DataFrame, first: bool, receivers: DataFrame | None = None) -> DataFrame:
-        acc = self.reduce(self.messages(state, first, receivers))
+        acc = self.reduce(self.messages(state, first, receivers), first)
+        columns = self._once(
+            ("merge", first),
+            lambda: merged_columns(state, self.program.apply, self._active(first), self.program.default),
+        )
+        return state.join(acc, "id", "left").select(*columns)
+
+    def _active(self, first: bool) -> Column:
         if first:
-            active = F.lit(True)
-        elif self.sig is None:
-            active = F.lit(False)
-        else:
-            active = F.col("_sig")
-            if self.program.accept is not None:
-                active = active & F.coalesce(self.program.accept(vertex_view(), F.col("acc")), F.lit(False))
-        return merge_accumulators(state, acc, self.program.apply, active, self.program.default)
+            return F.lit(True)
+        if self.sig is None:
+            return F.lit(False)
+        if self.program.accept is None:
+            return F.col("_sig")
+        return F.col("_sig") & F.coalesce(self.program.accept(vertex_view(), F.col("acc")), F.lit(False))
 
 
 def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:

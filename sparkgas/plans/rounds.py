@@ -37,7 +37,7 @@ def iterate_fixed(
         for _ in range(rounds):
             before = state
             if drop_unreached:
-                acc = plan.reduce(plan.messages(state, first=True)).where("acc is not null")
+                acc = plan.reduce(plan.messages(state, True), True).where("acc is not null")
                 state = cut(sync_values(state, acc, program))
             else:
                 state = cut(plan.round(state, first=True))
@@ -93,7 +93,7 @@ def iterate_blocked(
         for i, plan in enumerate(plans):
             with fixed_layout(spark, plan.layout.partitions):
                 everyone = reduce(DataFrame.unionByName, states)
-                acc = plan.reduce(plan.messages(everyone, first=True))
+                acc = plan.reduce(plan.messages(everyone, True), True)
                 before = states[i]
                 states[i] = cut(
                     merge_accumulators(states[i], acc, program.apply, F.lit(True), program.default)
