@@ -86,7 +86,7 @@ add("replication_factor", "select round(avg(copies), 6) as factor from copies",
 # ------------------------------------------------------------------------------ joins
 TRIPLETS = "from edges e join verts s on s.id = e.src join verts d on d.id = e.dst"
 add(
-    "triplet_rows",
+    "triplets",
     f"""select e.eid as e_eid, s.id as s_id, s.bal as s_bal, s.seg as s_seg,
         d.id as d_id, d.bal as d_bal, d.seg as d_seg, e.w as e_w {TRIPLETS}""",
 )
@@ -96,14 +96,14 @@ add(
 )
 HEAVY = "heavy as (select dst as id, sum(w) as acc from edges where w > 40 group by 1)"
 add(
-    "merge_accumulators_rows",
+    "merge_accumulators",
     """select v.id, round(case when seg = 'BUILDING' then coalesce(acc, -1.0) + round(bal) else bal end, 6) as bal,
        seg = 'BUILDING' as active from verts v left join heavy h on h.id = v.id""",
     HEAVY,
 )
-add("merge_signals_rows", "select id, id in (select id from heavy) as active from verts", HEAVY)
+add("merge_signals", "select id, id in (select id from heavy) as active from verts", HEAVY)
 add("sync_values", "select v.id, acc as bal, seg from verts v join heavy h on h.id = v.id", HEAVY)
-add("edge_ends", "select eid, greatest(src, dst) as own, least(src, dst) as other from edges")
+add("other_end", "select eid, greatest(src, dst) as own, least(src, dst) as other from edges")
 
 # --------------------------------------------------------------- filters and transforms
 add(
@@ -143,7 +143,7 @@ add("reducer_min", "select a as id, min(b) as acc from und group by 1")
 add("reducer_any", f"select e.dst as id, bool_or(s.seg = d.seg) as acc {TRIPLETS} group by 1")
 add("reducer_union_size", "select a as id, count(distinct b) as members from und group by 1")
 add(
-    "min_nonneg_per_vertex",
+    "min_nonneg",
     "select e.dst as id, min(case when round(s.bal) >= 0 then round(s.bal) end) as acc "
     "from edges e join verts s on s.id = e.src group by 1",
 )
@@ -153,7 +153,7 @@ add("reduce_vertices_fold", "select max(bal) as largest from verts")
 add("reducer_fold", "select dst as id, sum(w) as acc from edges group by 1")
 add("group_then_reduce", f"select e.dst as id, round(sum(round(d.bal) + round(s.bal) / 2), 6) as acc {TRIPLETS} group by 1")
 add("partial_then_final", "select dst as id, sum(w) as total, count(*) as n from edges group by 1")
-add("active_vertices", "select count(*) as n_active from verts where seg = 'BUILDING'")
+add("active_count", "select count(*) as n_active from verts where seg = 'BUILDING'")
 add(
     "mex",
     """select id, [x for x in range(0, len(l) + 1) if not list_contains(l, x)][1] as mex
@@ -168,7 +168,7 @@ add("distinct_pairs", "select distinct src, dst from edges")
 
 # --------------------------------------------------------------------------- iteration
 add(
-    "run_gas_hops",
+    "run_gas",
     "select id, hops from st where it = (select max(it) from st)",
     """
 st as (

@@ -28,7 +28,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    """Register under the function's name, less a trailing "_query"."""
+    QUERIES[fn.__name__.removesuffix("_query")] = fn
     return fn
 
 
@@ -184,7 +185,7 @@ def replication_factor(spark, sf_dir):
 
 
 @query
-def triplet_rows(spark, sf_dir):
+def triplets_query(spark, sf_dir):
     t = triplets.triplets(order_succession(spark, sf_dir))
     return t.select("e_eid", "s_id", "s_bal", "s_seg", "d_id", "d_bal", "d_seg", "e_w")
 
@@ -199,7 +200,7 @@ def _sums(g: PropertyGraph) -> DataFrame:
 
 
 @query
-def merge_accumulators_rows(spark, sf_dir):
+def merge_accumulators_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     sums = _sums(g.with_edges(g.edges.where("w > 40")))
     merged = merge_accumulators(
@@ -209,7 +210,7 @@ def merge_accumulators_rows(spark, sf_dir):
 
 
 @query
-def merge_signals_rows(spark, sf_dir):
+def merge_signals_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     signalled = g.edges.where("w > 40").select(F.col("dst").alias("id")).distinct()
     state = g.vertices.withColumn(ACTIVE, F.lit(True))
@@ -225,7 +226,7 @@ def sync_values(spark, sf_dir):
 
 
 @query
-def edge_ends(spark, sf_dir):
+def other_end_query(spark, sf_dir):
     e = order_succession(spark, sf_dir).edges
     center = F.greatest("src", "dst")
     return e.select(
@@ -339,7 +340,7 @@ def reducer_union_size(spark, sf_dir):
 
 
 @query
-def min_nonneg_per_vertex(spark, sf_dir):
+def min_nonneg_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     return messages.aggregate_messages(g, lambda t: F.round(t.src["bal"]), min_nonneg, "in")
 
@@ -385,7 +386,7 @@ def partial_then_final(spark, sf_dir):
 
 
 @query
-def active_vertices(spark, sf_dir):
+def active_count_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     return active_count(g.vertices.withColumn("active", _building()), "active")
 
@@ -415,7 +416,7 @@ def _first_source(g: PropertyGraph) -> int:
 
 
 @query
-def run_gas_hops(spark, sf_dir):
+def run_gas_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     result = paths.hop_counts(g, _first_source(g))
     return result.graph.vertices.select("id", "hops")

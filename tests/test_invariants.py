@@ -1,0 +1,133 @@
+"""Properties of results, and brute force on random graphs."""
+
+import heapq
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkgas import Fold, Program, PropertyGraph, run_gas
+from sparkgas.algorithms import coloring, components, paths, triangles
+from sparkgas.operators.triplets import triplets
+from sparkgas.registry.graphs import order_succession, turn_chains
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def sparse(spark):
+    """Urgent open orders only: many components and long ways."""
+    g = order_succession(spark, "/root/testdata/sf0.01")
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").where(
+        "o_orderpriority = '1-URGENT' and o_orderstatus = 'O'"
+    )
+    return g.with_edges(g.edges.join(orders.select(F.col("o_orderkey").alias("eid")), "eid"))
+
+
+def neighbours(edges):
+    out = {}
+    for s, d, w in edges:
+        out.setdefault(s, []).append((d, w))
+        out.setdefault(d, []).append((s, w))
+    return out
+
+
+def brute_labels(ids, edges):
+    near, label = neighbours(edges), {}
+    for i in sorted(ids):
+        if i in label:
+            continue
+        stack = [i]
+        label[i] = i
+        while stack:
+            for j, _ in near.get(stack.pop(), []):
+                if j not in label:
+                    label[j] = i
+                    stack.append(j)
+    return label
+
+
+def brute_distances(ids, edges, source):
+    near, dist, queue = neighbours(edges), {}, [(0.0, source)]
+    while queue:
+        d, i = heapq.heappop(queue)
+        if i not in dist:
+            dist[i] = d
+            for j, w in near.get(i, []):
+                heapq.heappush(queue, (d + w, j))
+    return {i: dist.get(i, -1.0) for i in ids}
+
+
+def brute_colors(ids, edges):
+    near, color = neighbours(edges), {}
+    for i in sorted(ids, reverse=True):
+        taken = {color[j] for j, _ in near.get(i, []) if j > i}
+        color[i] = next(c for c in range(len(ids)) if c not in taken)
+    return color
+
+
+def brute_triangles(ids, edges):
+    near = {i: {j for j, _ in ns} - {i} for i, ns in neighbours(edges).items()}
+    return {i: sum(1 for a in near.get(i, ()) for b in near[i] if a < b and b in near[a]) for i in ids}
+
+
+def check_all(g, source):
+    ids = [r.id for r in g.vertices.select("id").collect()]
+    edges = [(r.src, r.dst, r.w) for r in g.edges.select("src", "dst", "w").collect()]
+    got = {r.id: r.label for r in components.connected_components(g, max_iter=None).graph.vertices.collect()}
+    assert got == brute_labels(ids, edges)
+    got = {r.id: r.dist for r in paths.distances(paths.shortest_paths(g, source)).collect()}
+    assert got == brute_distances(ids, edges, source)
+    got = {r.id: r.color for r in coloring.greedy_color(g).graph.vertices.collect()}
+    assert got == brute_colors(ids, edges)
+    got = {r.id: r.triangles for r in triangles.triangle_count(g).collect()}
+    assert got == brute_triangles(ids, edges)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_graphs(spark, seed):
+    rnd = random.Random(seed)
+    n = 40
+    edges = [(rnd.randrange(n), rnd.randrange(n), float(rnd.randrange(1, 9))) for _ in range(45 + 60 * seed)]
+    g = PropertyGraph.from_rows(spark, [(i, 0) for i in range(n)], edges, edge_schema="src bigint, dst bigint, w double")
+    check_all(g, 0)
+
+
+def test_long_thin_graph(sparse):
+    source = sparse.edges.agg(F.min("src")).first()[0]
+    check_all(sparse, source)
+
+
+def test_results_fit_the_edges(spark):
+    g = order_succession(spark, SF)
+    labels = components.connected_components(g).graph
+    assert triplets(labels).where("s_label <> d_label or s_label > s_id").isEmpty()
+    colors = coloring.greedy_color(g).graph
+    assert triplets(colors).where("s_id <> d_id and s_color = d_color").isEmpty()
+    source = g.edges.agg(F.min("src")).first()[0]
+    far = paths.shortest_paths(g, source).graph
+    assert triplets(far).where("abs(s_dist - d_dist) > e_w").isEmpty()
+    total = triangles.triangle_count(g).agg(F.sum("triangles")).first()[0]
+    assert total % 3 == 0
+
+
+def test_chains_of_turns(spark):
+    g = turn_chains(spark, SF)
+    labels = components.connected_components(g).graph.vertices
+    assert labels.where("label <> floor(id / 100) * 100").isEmpty()
+
+
+def test_program_with_a_binary_fold(spark):
+    """An arbitrary binary function of two Columns as the sum of a program."""
+    edges = [(1, 3, 0), (2, 3, 0), (3, 4, 0)]
+    g = PropertyGraph.from_rows(spark, [(i, i) for i in range(1, 5)], edges)
+    p = Program(
+        gather=lambda t: t.src["data"],
+        reducer=Fold(lambda a, b: a * b),
+        default=1,
+        apply=lambda v, acc: {"data": acc * 10},
+        signal=lambda t: F.lit(True),
+    )
+    result = run_gas(g, p, max_iter=10)
+    assert {r.id: r.data for r in result.graph.vertices.collect()} == {1: 10, 2: 10, 3: 1000, 4: 10000}
+    assert result.converged
