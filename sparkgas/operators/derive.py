@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkgas.graph import PropertyGraph
 from sparkgas.plans.cluster import cut
 
+# mixing of both ends of an edge into a partition number
+MIX_MODULUS = 2_147_483_647
+MIX_FACTOR = 31
+
 
 def vertices_from_edges(edges: DataFrame) -> DataFrame:
     """Every id that occurs in an edge, with its total degree (a loop counts twice)."""
@@ -53,28 +57,16 @@ def number_edges(edges: DataFrame, order_by: list[str], name: str = "eid") -> Da
         .repartitionByRange(*order_by, "_tie", F.spark_partition_id())
         .sortWithinPartitions(*order_by, "_tie")
         .drop("_tie")
-    ).withColumn("_at", F.monotonically_increasing_id())
-    return _number_by_position(ordered, F.shiftright("_at", 33), [], name).drop("_at")
-
-
-def _number_by_position(rows: DataFrame, part: Column, part_cols: list[str], name: str) -> DataFrame:
-    """Turn positions within ordered parts into one sequence.
-
-    ``_at`` must grow by one per row within a part.  There is one row of
-    offsets per part, never one per input row.
-    """
-    from pyspark.sql import Window
-
-    keys = part_cols or ["_part"]
-    rows = rows if part_cols else rows.withColumn("_part", part)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    sizes = ordered.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *keys, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
+    )
+    # one row per written partition
+    return ordered.join(F.broadcast(offsets), "_part").select(
+        *edges.columns, (F.col("_at") + F.col("_offset")).alias(name)
     )
-    return rows.join(offsets, keys).withColumn(
-        name, F.col("_at") - F.col("_first") + F.col("_offset")
-    ).drop("_first", "_offset", *keys)
 
 
 def degrees(graph: PropertyGraph) -> DataFrame:
@@ -109,12 +101,14 @@ def distinct_pairs(pairs: DataFrame) -> DataFrame:
 def vertex_partitions(edges: DataFrame, n: int, by: str = "source") -> DataFrame:
     """Partitions each vertex would be copied to if edges were placed in ``n`` partitions.
 
-    Edges go by their source id or by a hash of both ends.
+    Edges go by their source id or by a mix of both ends.
     """
     if by == "source":
         place = F.pmod("src", F.lit(n))
     elif by == "edge":
-        place = F.pmod(F.xxhash64("src", "dst"), F.lit(n))
+        # reduced first, so that the product of large ids stays in range
+        src, dst = (F.pmod(c, F.lit(MIX_MODULUS)) for c in ("src", "dst"))
+        place = F.pmod(src * MIX_FACTOR + dst, F.lit(n))
     else:
         raise ValueError("by must be 'source' or 'edge'")
     placed = edges.select(F.explode(F.array("src", "dst")).alias("id"), place.cast("int").alias("pid"))

@@ -81,6 +81,12 @@ copies as (
     select src as id, src % 4 as pid from edges union select dst, src % 4 from edges) group by 1)
 """
 add("vertex_replication", "select id, copies from copies", COPIES)
+add(
+    "vertex_replication_by_edge",
+    """select id, count(distinct pid) as copies from (
+       select src as id, (src % 2147483647 * 31 + dst % 2147483647) % 4 as pid from edges
+       union all select dst, (src % 2147483647 * 31 + dst % 2147483647) % 4 from edges) group by 1""",
+)
 add("replication_factor", "select round(avg(copies), 6) as factor from copies", COPIES)
 
 # ------------------------------------------------------------------------------ joins
