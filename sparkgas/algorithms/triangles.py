@@ -9,7 +9,7 @@ from sparkgas.functions.columns import half
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.messages import aggregate_messages, neighbor_pairs
 from sparkgas.plans.cluster import cut
-from sparkgas.plans.skew import EdgeStats, spread_join
+from sparkgas.plans.skew import EdgeStats, HotKeys, hot_keys, spread_join
 
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,9 @@ def triangles(graph: PropertyGraph) -> DataFrame:
         )
     )
     onward = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    paths = spread_join(oriented, onward, ["b"], rows_per_piece=graph.rows_per_piece)
+    # a middle vertex can only be hot if it is hot among all pairs
+    hot = stats.hot("both") and hot_keys(oriented, "b", rows_per_piece=graph.rows_per_piece)
+    paths = spread_join(oriented, onward, ["b"], hot=hot)
     closing = oriented.select("a", F.col("b").alias("c"))
     return paths.join(closing, ["a", "c"]).select("a", "b", "c")
 
@@ -87,7 +89,19 @@ def edge_common_neighbors(graph: PropertyGraph) -> DataFrame:
         loops.join(own, "id").select(F.col("id").alias("lo"), F.col("id").alias("hi"), "common")
     )
     rows = graph.edges.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
-    return spread_join(rows, table, ["lo", "hi"], rows_per_piece=graph.rows_per_piece).drop("lo", "hi")
+    return spread_join(rows, table, ["lo", "hi"], hot=_hot_pairs(graph, rows)).drop("lo", "hi")
+
+
+def _hot_pairs(graph: PropertyGraph, rows: DataFrame) -> HotKeys:
+    """Pairs with very many parallel edges; only edges between hot ids need counting."""
+    ids = graph.stats().hot("both")
+    if not ids:
+        return ids
+    for end in ("lo", "hi"):
+        # bounded list of ids
+        hot_end = F.broadcast(ids.table.select(F.col("_k0").alias(end)))
+        rows = rows.join(hot_end, end, "left_semi")
+    return hot_keys(rows, "lo", "hi", rows_per_piece=graph.rows_per_piece)
 
 
 def edge_sum_to_vertices(graph: PropertyGraph, column: str) -> DataFrame:
