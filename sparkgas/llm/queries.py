@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import decontaminate, packing, quality_rules, simhash, token_counts
+from sparkgas.llm import decontaminate, packing, pii, quality_rules, simhash, token_counts
 from sparkgas.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,18 @@ def op1_quality_rules(spark, sf_dir):
     return judged.select(*base, base_failed.alias("base_failed"), (~base_failed & F.col("passed")).alias("kept"))
 
 
+@query
+def op8_pii(spark, sf_dir):
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind.name) for kind in pii.BASE),
+        F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
