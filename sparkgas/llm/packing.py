@@ -30,7 +30,7 @@ class Limits:
     tokens: int = 2048
     segments: int = 64
     loss_tokens: int = 2048
-    waiting: int = 512
+    waiting: int = 128
 
     def __post_init__(self):
         if min(self.tokens, self.segments, self.loss_tokens, self.waiting) < 1:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import decontaminate, packing, pii, quality_rules, simhash, token_counts
+from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_rules, simhash, token_counts
 from sparkgas.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,54 @@ def op8_pii(spark, sf_dir):
     )
 
 
+@query
+def op2_chat_format(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit(r"\### Assistant: </turn> ok")
+    more = spark.range(1).select(F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", hard.alias("text")
+    )
+    formatted = chat_format.format_chats(chats.unionByName(more))
+    turns = chat_format.parse(F.col("formatted"))
+    read = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    texts = formatted.select(
+        "conv_id",
+        "round_trip",
+        F.array_join(read, "").alias("turns"),
+        F.size(turns).cast("bigint").alias("n_turns"),
+        chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+    return texts.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars",
+        "round_trip",
+    )
+
+
+ORACLES["op2_chat_format"] = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)
+), shown AS (
+    SELECT *, regexp_replace(text, '(\\*)(###|</turn>)', '\\\1\2', 'g') AS hard FROM rows
+), chats AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(length(role) + length(hard) + 15) AS formatted_chars
+    FROM shown GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars,
+    sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, true AS round_trip
+FROM chats
+"""
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))

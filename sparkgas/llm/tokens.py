@@ -17,6 +17,8 @@ import regex
 
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 40
+MARKS = ".,!?;:"
+SPECIAL_CASE = {"Σ", "İ"}  # lower-cased in more than one way
 
 
 def default_file() -> str:
@@ -140,26 +142,79 @@ class MergeCounter:
 
 
 class IdCache:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, new words tokenized in one call."""
+    """Token ids of texts as little-endian unsigned 32-bit bytes, new words tokenized together.
+
+    Most words are letters with some marks behind.  The letters are a piece of
+    their own to the file's pre-tokenizer, whatever stands behind them, so they are
+    looked up in lower case and without the marks, and new ones are joined to one
+    text: each gives ids up to the next token that ends a word.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known = Recent(lambda word: self._ids([word])[0])
+        model = json.loads(tokenizer_json)["model"]
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {"": b""}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that are lower-case letters only."""
+        import numpy as np
+
+        if not pieces:
+            return []
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(ends) != len(pieces):
+            return self._ids(pieces)
+        held, ends = ids.tobytes(), ends.tolist()
+        return [held[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        apart, whole = [], []
+        for word in new:
+            core = word.rstrip(MARKS)
+            if core.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and not SPECIAL_CASE & set(word))):
+                apart.append((word, core.lower(), word[len(core) :]))
+            else:
+                whole.append(word)
+        if len(self.letters) > REMEMBERED:
+            self.letters = {"": b""}
+        letters = self.letters
+        pieces = list({core for _, core, _ in apart}.difference(letters))
+        letters.update(zip(pieces, self._joined(pieces)))
+        marks = list({m for _, _, m in apart}.difference(letters))
+        letters.update(zip(marks, self._ids(marks)))
+        learnt = {word: letters[core] + letters[m] for word, core, m in apart}
+        learnt.update(zip(whole, self._ids(whole)))
+        for long in [x for x in (*pieces, *marks) if len(x) > LONGEST_REMEMBERED]:
+            del letters[long]
+        return learnt
+
     def batch(self, batch: list[str]) -> list[bytes]:
+        """Words are kept for the next batches, long ones are not; those unused for a generation are forgotten."""
         split = [words(text) for text in batch]
-        known, before = self.known, self.known.before
-        new = {w for ws in split for w in set(ws) if w not in known and w not in before and len(w) <= LONGEST_REMEMBERED}
-        fresh = dict(zip(new, self._ids(list(new)))) if new else {}
-        known.make = lambda word: fresh.get(word) or self._ids([word])[0]
-        return [b"".join(map(known.__getitem__, ws)) for ws in split]
+        if len(self.known) > REMEMBERED:
+            self.before, self.known = self.known, {}
+        known = self.known
+        new = set().union(*split).difference(known)
+        known.update((word, self.before[word]) for word in new & self.before.keys())
+        new.difference_update(known)
+        known.update(self._learn(new))
+        found = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for word in [w for w in new if len(w) > LONGEST_REMEMBERED]:
+            del known[word]
+        return found
