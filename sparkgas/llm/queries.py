@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_rules, simhash, token_counts
+from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_rules, simhash, token_counts, url_filter
 from sparkgas.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +113,21 @@ FROM chats
 """
 
 
+URL_RULES = (
+    url_filter.UrlRule("allow", "com"),
+    url_filter.UrlRule("block", "example.com", "/en/"),
+    url_filter.UrlRule("allow", "www.example.com", "/en/"),
+    url_filter.UrlRule("block", "net", "/es/"),
+    url_filter.UrlRule("block", "net", "/fr/"),
+)
+
+
+@query
+def op6_url_filter(spark, sf_dir):
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
