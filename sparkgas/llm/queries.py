@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_rules, simhash, token_counts, url_filter
+from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_classifier, quality_rules, simhash, token_counts, url_filter
 from sparkgas.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,12 @@ def op6_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query
+def op5_quality_classifier(spark, sf_dir):
+    scored = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
