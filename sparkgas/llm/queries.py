@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import chat_format, decontaminate, packing, pii, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from sparkgas.llm import chat_format, decontaminate, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash, token_counts, url_filter
 from sparkgas.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +134,11 @@ def op5_quality_classifier(spark, sf_dir):
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@query
+def op7_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
