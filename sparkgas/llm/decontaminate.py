@@ -311,3 +311,16 @@ def _together(found: DataFrame) -> DataFrame:
             F.array_sort(F.array_distinct("near_items")).alias("near_items"),
         )
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without those that hold a window of a benchmark item, all columns kept.
+
+    A null id is replaced by a number made of the text for this; rows with equal
+    ids go together.
+    """
+    own = F.coalesce(F.col(id_col), F.xxhash64(text_col))
+    found = decontaminate(docs.select(own.alias("doc_id"), F.col(text_col).alias("text")), benchmark, size, slop=0)
+    hit = cut(found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("_own")).distinct())
+    kept = docs.select(F.struct("*").alias("_doc"), own.alias("_own")).join(hit, "_own", "left_anti")
+    return kept.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))

@@ -197,3 +197,13 @@ def redacted(text: Column, spans: Column) -> Column:
 
     done = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(F.length(text) - s["at"], F.lit(0))))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, done))
+
+
+def redact(docs: DataFrame, kinds: tuple[Kind, ...] = (*BASE, *MORE), text_col: str = "text") -> DataFrame:
+    """``docs`` with all spans in its text replaced; other columns, null texts and the order of columns stay."""
+    own = docs.select(F.struct("*").alias("_doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = own.select("_doc", "text", F.concat(*(_spans(k) for k in kinds)).alias("spans"))
+    clean = found.select("_doc", redacted(F.col("text"), F.col("spans")).alias("clean"))
+    shown = {c: F.col("_doc")[c] for c in docs.columns}
+    shown[text_col] = F.when(shown[text_col].isNotNull(), F.col("clean"))
+    return clean.select(*(v.alias(c) for c, v in shown.items()))

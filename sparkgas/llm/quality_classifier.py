@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,3 +237,17 @@ def classify(
     model = fit(stats.where(~out("doc_id")), labels)
     scored = predict(stats, model)
     return scored.select("doc_id", out("doc_id").alias("held_out"), "score")
+
+
+def keep_good(
+    docs: DataFrame, labels: DataFrame, least: float = 0.5, held_out: int = 1, folds: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, all columns kept; learnt as in :func:`classify`."""
+    stats = cut(document_statistics(docs, id_col, text_col))
+    model = fit(stats.where(id_remainder(F.col("doc_id"), folds) != held_out), labels)
+
+    @F.pandas_udf("double")
+    def score(some: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.array([statistics(t) for t in some]).reshape(len(some), len(STATISTICS))))
+
+    return docs.where(score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) >= least)

@@ -232,3 +232,21 @@ def near_duplicates(
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(rooted.join(roots, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without all but the smallest id of every group of near-duplicates, all columns kept.
+
+    A null id is replaced by a number made of the text for this; rows with equal
+    ids in one group are copies of each other, of which one stays.
+    """
+    own = F.coalesce(F.col(id_col), F.xxhash64(text_col))
+    found = cut(near_duplicates(docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))))
+    winners = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    keyed = docs.select(F.struct("*").alias("_doc"), own.alias("_own"))
+
+    def of(ids: DataFrame) -> DataFrame:
+        return keyed.join(ids.select(F.col("doc_id").alias("_own")), "_own", "left_semi")
+
+    kept = of(winners.where("n = 1")).unionByName(of(winners.where("n > 1")).dropDuplicates(["_own"]))
+    return kept.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
