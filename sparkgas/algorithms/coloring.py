@@ -12,14 +12,14 @@ from sparkgas.plans.layout import ArcLayout
 
 
 def greedy_color(
-    graph: PropertyGraph, max_iter: int | None = None, on_limit: str = "return"
+    graph: PropertyGraph, max_iter: int | None = None, on_limit: str = "error"
 ) -> GasResult:
     """``color``: the smallest number no neighbour with a higher id has.
 
     Self-loops are left out.  Colours only ever travel from higher to lower
     ids, so each pair of neighbours is kept once, pointing that way.
     """
-    pairs = graph.edges.where("src <> dst").select(
+    pairs = graph.inner_edges().where("src <> dst").select(
         F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
     ).distinct()
     oriented = PropertyGraph(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkgas.algorithms.contraction import star_labels
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.messages import aggregate_messages
 from sparkgas.plans.skew import spread_join
@@ -17,12 +18,16 @@ def _labelled(graph: PropertyGraph, *more) -> PropertyGraph:
 
 def connected_components(
     graph: PropertyGraph,
-    max_iter: int | None = 100,
+    max_iter: int | None = None,
     edge_visits: bool = False,
-    on_limit: str = "return",
+    on_limit: str = "error",
 ) -> GasResult:
     """Smallest vertex id of each weakly connected component, as ``label``.
 
+    Labels alone come from star contraction, in a number of rounds that grows
+    with the logarithm of the largest component.  With a limit on rounds or with
+    ``edge_visits`` the label program runs, one round per hop:
+
     An active vertex signals the neighbours with a larger label.  Because a
     label only ever falls, the messages of signalling neighbours are all a
     vertex needs, and it becomes active exactly if the smallest of them is
@@ -32,6 +37,9 @@ def connected_components(
     an active end looked along it; that is how often its two ends were active.
     """
 
+    if max_iter is None and not edge_visits:
+        return _contracted(graph)
+
     def apply(v, acc):
         data = {"label": F.least(v["label"], acc)}
         if edge_visits:
@@ -55,8 +63,14 @@ def connected_components(
     return result
 
 
+def _contracted(graph: PropertyGraph) -> GasResult:
+    labels, rounds = star_labels(graph.inner_edges())
+    vertices = graph.vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    return GasResult(graph.with_vertices(vertices), rounds, converged=True)
+
+
 def _with_visits(graph: PropertyGraph, vertices: DataFrame) -> PropertyGraph:
-    edges = graph.edges
+    edges = graph.inner_edges()
     for end in ("src", "dst"):
         ends = vertices.select(F.col("id").alias(end), F.col("rounds").alias(f"_{end}_rounds"))
         edges = spread_join(edges, ends, [end], hot=graph.stats().hot(end))
@@ -67,7 +81,7 @@ def _with_visits(graph: PropertyGraph, vertices: DataFrame) -> PropertyGraph:
 
 
 def component_visits(
-    graph: PropertyGraph, edge_mode: str = "chained", max_iter: int | None = 100
+    graph: PropertyGraph, edge_mode: str = "chained", max_iter: int | None = None, on_limit: str = "error"
 ) -> GasResult:
     """Component labels by a program that counts, in the edge data, both its gather visits.
 
@@ -75,7 +89,7 @@ def component_visits(
     along an edge adds one to ``visits``.  "chained" counts both ends of a
     round, "independent" at most one.
     """
-    edges = graph.edges.withColumn("visits", F.lit(0).cast("bigint"))
+    edges = graph.inner_edges().withColumn("visits", F.lit(0).cast("bigint"))
     program = Program(
         gather=lambda t: t.other["label"],
         reducer=F.min,
@@ -86,7 +100,7 @@ def component_visits(
         gather_edge_update=lambda t: {"visits": t.edge["visits"] + 1},
         edge_mode=edge_mode,
     )
-    return run_gas(_labelled(graph.with_edges(edges)), program, max_iter)
+    return run_gas(_labelled(graph.with_edges(edges)), program, max_iter, on_limit)
 
 
 def neighborhood_min_id(graph: PropertyGraph) -> DataFrame:

@@ -22,6 +22,7 @@ def pagerank(
     tol: float = 0.001,
     max_iter: int | None = None,
     initial: tuple[float, float] = (1.0, 5.0),
+    on_limit: str = "error",
 ) -> GasResult:
     """Un-normalised PageRank; vertices gain ``rank`` and ``prev``.
 
@@ -44,7 +45,7 @@ def pagerank(
         signal=lambda t: F.abs(t.center["rank"] - t.center["prev"]) > tol,
     )
     try:
-        return run_gas(graph.with_vertices(vertices), program, max_iter=max_iter, layout=layout)
+        return run_gas(graph.with_vertices(vertices), program, max_iter, on_limit, layout)
     finally:
         layout.release()
 

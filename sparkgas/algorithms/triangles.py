@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkgas.functions.columns import half
 from sparkgas.graph import PropertyGraph
-from sparkgas.operators.messages import aggregate_messages, neighbor_pairs
+from sparkgas.operators.messages import aggregate_messages
 from sparkgas.plans.cluster import cut
-from sparkgas.plans.skew import EdgeStats, HotKeys, hot_keys, spread_join
 
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:
@@ -21,23 +20,20 @@ def canonical_pairs(edges: DataFrame) -> DataFrame:
     )
 
 
-def triangles(graph: PropertyGraph) -> DataFrame:
+def triangles(graph: PropertyGraph, pairs: DataFrame | None = None) -> DataFrame:
     """Every triangle once, as ``(a, b, c)``.
 
     Pairs point from the end with fewer neighbours to the one with more, so no
     vertex has more than about sqrt(2 * pairs) outgoing ones.  Two-step paths
-    a -> b -> c are then closed by a -> c; the middle vertex of many paths is
-    cut into pieces.
+    a -> b -> c are then closed by a -> c.  A middle vertex is cut into pieces by
+    the number of paths through it, its incoming times its outgoing pairs.
+    ``pairs`` are the :func:`canonical_pairs` of the graph, if they are at hand.
     """
-    pairs = cut(canonical_pairs(graph.edges))
-    stats = EdgeStats(pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst")), graph.rows_per_piece)
-    sizes = (
-        pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    )
+    pairs = cut(canonical_pairs(graph.inner_edges())) if pairs is None else pairs
+    sizes = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     sized = pairs
-    for end, column in (("lo", "src"), ("hi", "dst")):
-        ends = sizes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"))
-        sized = spread_join(sized, ends, [end], hot=stats.hot(column))
+    for end in ("lo", "hi"):
+        sized = sized.join(sizes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end)
     lo_first = (F.col("lo_n") < F.col("hi_n")) | ((F.col("lo_n") == F.col("hi_n")) & (F.col("lo") < F.col("hi")))
     oriented = cut(
         sized.select(
@@ -46,11 +42,26 @@ def triangles(graph: PropertyGraph) -> DataFrame:
         )
     )
     onward = oriented.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    # a middle vertex can only be hot if it is hot among all pairs
-    hot = stats.hot("both") and hot_keys(oriented, "b", rows_per_piece=graph.rows_per_piece)
-    paths = spread_join(oriented, onward, ["b"], hot=hot)
     closing = oriented.select("a", F.col("b").alias("c"))
-    return paths.join(closing, ["a", "c"]).select("a", "b", "c")
+    return _paths(oriented, onward, graph.rows_per_piece).join(closing, ["a", "c"]).select("a", "b", "c")
+
+
+def _paths(into: DataFrame, out: DataFrame, rows_per_piece: int) -> DataFrame:
+    """``(a, b, c)`` of all two-step paths.
+
+    The incoming pairs of a middle vertex are dealt over its pieces, and its
+    outgoing ones copied to each, so that a piece makes about ``rows_per_piece``
+    paths, or those of one incoming pair if that has more.
+    """
+    ends = into.select(F.col("b").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
+        out.select(F.col("b").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"))
+    )
+    degrees = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    pieces = F.least(F.ceil(F.col("i") * F.col("o").cast("double") / rows_per_piece), F.col("i")).cast("bigint")
+    middle = degrees.where("i > 0 and o > 0").select(F.col("id").alias("b"), pieces.alias("pieces"))
+    dealt = into.join(middle, "b").withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces")))
+    copied = out.join(middle, "b").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    return dealt.select("a", "b", "piece").join(copied.select("b", "c", "piece"), ["b", "piece"]).select("a", "b", "c")
 
 
 def triangle_count(graph: PropertyGraph) -> DataFrame:
@@ -61,47 +72,38 @@ def triangle_count(graph: PropertyGraph) -> DataFrame:
 
 
 def edge_common_neighbors(graph: PropertyGraph) -> DataFrame:
-    """Every edge row with ``common``, the number of neighbours its two ends share.
+    """Every edge between vertices with ``common``, the number of neighbours its two ends share.
 
     A self-loop makes a vertex its own neighbour.
     """
+    edges = graph.inner_edges()
+    canonical = cut(canonical_pairs(edges))
     sides = F.array(*[
         F.struct(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"))
         for x, y in (("a", "b"), ("a", "c"), ("b", "c"))
     ])
     shared = (
-        triangles(graph)
+        triangles(graph, canonical)
         .select(F.explode(sides).alias("p"))
         .groupBy("p.lo", "p.hi")
         .agg(F.count("*").alias("n"))
     )
-    looped = graph.edges.where("src = dst").select(F.col("src").alias("id")).distinct()
-    loops = cut(looped)
+    loops = cut(edges.where("src = dst").select(F.col("src").alias("id")).distinct())
     # a looped end is itself shared by both ends of every edge it has
-    pairs = canonical_pairs(graph.edges).join(shared, ["lo", "hi"], "left")
+    pairs = canonical.join(shared, ["lo", "hi"], "left")
     for end in ("lo", "hi"):
-        marks = loops.select(F.col("id").alias(end), F.lit(1).alias(f"{end}_loop"))
-        pairs = spread_join(pairs, marks, [end], "left", graph.stats().hot("both"))
+        pairs = pairs.join(loops.select(F.col("id").alias(end), F.lit(1).alias(f"{end}_loop")), end, "left")
     zero = F.lit(0).cast("bigint")
     common = F.coalesce("n", zero) + F.coalesce("lo_loop", zero) + F.coalesce("hi_loop", zero)
-    own = neighbor_pairs(graph).groupBy("id").agg(F.count("*").alias("common"))
-    table = pairs.select("lo", "hi", common.alias("common")).unionByName(
-        loops.join(own, "id").select(F.col("id").alias("lo"), F.col("id").alias("hi"), "common")
+    # the neighbours of the few vertices with a loop: themselves, and the other end of each of their pairs
+    ends = F.explode(F.array("lo", "hi")).alias("id")
+    own = canonical.select(ends).join(loops, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+    looped = loops.join(own, "id", "left").select(
+        F.col("id").alias("lo"), F.col("id").alias("hi"), (F.coalesce("n", zero) + 1).alias("common")
     )
-    rows = graph.edges.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
-    return spread_join(rows, table, ["lo", "hi"], hot=_hot_pairs(graph, rows)).drop("lo", "hi")
-
-
-def _hot_pairs(graph: PropertyGraph, rows: DataFrame) -> HotKeys:
-    """Pairs with very many parallel edges; only edges between hot ids need counting."""
-    ids = graph.stats().hot("both")
-    if not ids:
-        return ids
-    for end in ("lo", "hi"):
-        # bounded list of ids
-        hot_end = F.broadcast(ids.table.select(F.col("_k0").alias(end)))
-        rows = rows.join(hot_end, end, "left_semi")
-    return hot_keys(rows, "lo", "hi", rows_per_piece=graph.rows_per_piece)
+    table = pairs.select("lo", "hi", common.alias("common")).unionByName(looped)
+    rows = edges.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
+    return rows.join(table, ["lo", "hi"]).drop("lo", "hi")
 
 
 def edge_sum_to_vertices(graph: PropertyGraph, column: str) -> DataFrame:

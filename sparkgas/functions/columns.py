@@ -11,11 +11,6 @@ def min_nonneg(value: Column) -> Column:
     return F.min(F.when(value >= 0, value))
 
 
-def nonneg_least(left: Column, right: Column) -> Column:
-    """The smaller non-negative one of two values; NULL if both are missing."""
-    return F.least(F.when(left >= 0, left), F.when(right >= 0, right))
-
-
 def any_true(flag: Column) -> Column:
     """Aggregate: logical or."""
     return F.bool_or(flag)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from sparkgas.plans.skew import ROWS_PER_PIECE, EdgeStats, spread_join
+from sparkgas.plans.skew import ROWS_PER_PIECE, EdgeStats
 
 DIRECTIONS = ("none", "in", "out", "both")
 
@@ -94,21 +94,22 @@ class PropertyGraph:
         return PropertyGraph(vertices, edges, complete=self.complete, rows_per_piece=self.rows_per_piece)
 
     def stats(self) -> EdgeStats:
-        """Edge count and hot ids; counted once per edge table."""
+        """Count and hot ids of the edges between vertices; counted once per edge table."""
         if self._stats is None:
-            self._stats = EdgeStats(self.edges, self.rows_per_piece)
+            self._stats = EdgeStats(self.inner_edges(), self.rows_per_piece)
         return self._stats
 
     def inner_edges(self) -> DataFrame:
-        """The edges with both ends among the vertices."""
+        """The edges with both ends among the vertices: those that take part in anything.
+
+        Adaptive planning splits the rows of a hot end.
+        """
         if self.complete:
             return self.edges
         edges, ids = self.edges, self.vertices.select("id")
         for end in ("src", "dst"):
-            edges = spread_join(
-                edges, ids.withColumnRenamed("id", end), [end], "left_semi", self.stats().hot(end)
-            )
-        return edges.select(self.edges.columns)
+            edges = edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+        return edges.select(*[f"`{c}`" for c in self.edges.columns])
 
     def cache(self) -> PropertyGraph:
         level = StorageLevel.MEMORY_AND_DISK

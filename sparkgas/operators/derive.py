@@ -25,8 +25,10 @@ def vertices_from_edges(edges: DataFrame) -> DataFrame:
 
 
 def densify_vertices(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
-    """Every id from 0 to the largest one in the edges, isolated ones included."""
-    top = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    """Every id from 0 to the largest one in the edges, isolated ones included.  Ids below 0 are an error."""
+    low, top = edges.agg(F.min(F.least("src", "dst")), F.max(F.greatest("src", "dst"))).first()
+    if low is not None and low < 0:
+        raise ValueError(f"ids must not be negative: {low}")
     ids = edges.sparkSession.range(0 if top is None else top + 1)
     return ids if vertices is None else ids.join(vertices, "id", "left")
 
@@ -76,7 +78,7 @@ def degrees(graph: PropertyGraph) -> DataFrame:
         F.struct(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")),
     )
     counted = (
-        graph.edges.select(F.explode(ends).alias("e"))
+        graph.inner_edges().select(F.explode(ends).alias("e"))
         .groupBy(F.col("e.id").alias("id"))
         .agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
     )

@@ -1,4 +1,8 @@
-"""Joins of edges with their ends, and what is built directly on them."""
+"""Joins of edges with their ends, and what is built directly on them.
+
+These run once, with adaptive planning on, which splits the rows of hot ends;
+nothing is counted beforehand.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sparkgas.functions.triplet import Triplet
 from sparkgas.graph import PropertyGraph
-from sparkgas.plans.skew import spread_join
 
 
 def _ends(vertices: DataFrame, prefix: str, columns: list[str] | None = None) -> DataFrame:
@@ -29,10 +32,8 @@ def triplets(graph: PropertyGraph) -> DataFrame:
 
     Columns: ``s_id, s_<data>…, d_id, d_<data>…, e_<data>…``.
     """
-    rows = _edge_rows(graph.edges)
-    hot = graph.stats().hot
-    rows = spread_join(rows, _ends(graph.vertices, "s_"), ["s_id"], hot=hot("src"))
-    return spread_join(rows, _ends(graph.vertices, "d_"), ["d_id"], hot=hot("dst"))
+    rows = _edge_rows(graph.edges).join(_ends(graph.vertices, "s_"), "s_id")
+    return rows.join(_ends(graph.vertices, "d_"), "d_id")
 
 
 def source_pairs(graph: PropertyGraph) -> DataFrame:
@@ -40,9 +41,7 @@ def source_pairs(graph: PropertyGraph) -> DataFrame:
 
     Columns: ``id`` (the target), ``s_id``, ``s_<data>…``, ``e_<data>…``.
     """
-    rows = spread_join(
-        _edge_rows(graph.edges), _ends(graph.vertices, "s_"), ["s_id"], hot=graph.stats().hot("src")
-    )
+    rows = _edge_rows(graph.inner_edges()).join(_ends(graph.vertices, "s_"), "s_id")
     return rows.withColumnRenamed("d_id", "id")
 
 
@@ -69,7 +68,7 @@ def view_triplets(
         if columns or not graph.complete:
             ends = _ends(graph.vertices, prefix, columns)
             how = "inner" if columns else "left_semi"
-            rows = spread_join(rows, ends, [f"{prefix}id"], how, graph.stats().hot(end))
+            rows = rows.join(ends, f"{prefix}id", how)
     carried = [f"`{p}{c}`" for p, e in (("s_", "src"), ("d_", "dst")) for c in extra.get(e, [])]
     return rows.select("s_id", "d_id", *carried, *out)
 
@@ -86,7 +85,7 @@ def by_direction(graph: PropertyGraph, direction: str) -> DataFrame:
         ways = [("dst", "src"), ("src", "dst")]
     else:
         raise ValueError(f"unknown direction {direction!r}")
-    e = graph.edges
+    e = graph.inner_edges()
     if ways is None:
         return e.select(F.col("dst").alias("center"), F.col("src").alias("other")).where(F.lit(False))
     visits = F.array(*[F.struct(F.col(c).alias("center"), F.col(o).alias("other")) for c, o in ways])
@@ -94,13 +93,9 @@ def by_direction(graph: PropertyGraph, direction: str) -> DataFrame:
 
 
 def active_only(graph: PropertyGraph, active: Column, direction: str = "in") -> DataFrame:
-    """Edge visits whose center is active, as ``(center, other)``.
-
-    The active ids are the small, unique side; hot centers are cut by the join.
-    """
+    """Edge visits whose center is active, as ``(center, other)``."""
     ids = graph.vertices.where(active).select(F.col("id").alias("center"))
-    end = {"none": "src", "in": "dst", "out": "src", "both": "both"}[direction]
-    return spread_join(by_direction(graph, direction), ids, ["center"], hot=graph.stats().hot(end))
+    return by_direction(graph, direction).join(ids, "center").select("center", "other")
 
 
 def active_triplets(graph: PropertyGraph, active: Column) -> DataFrame:
@@ -110,15 +105,18 @@ def active_triplets(graph: PropertyGraph, active: Column) -> DataFrame:
 
 
 def transform_edges(graph: PropertyGraph, data: Callable[[Triplet], dict[str, Column]]) -> PropertyGraph:
-    """New edge data from a function of the triplet; unread ends are not joined."""
+    """New edge data from a function of the triplet; unread ends are not joined.
+
+    The edges of the result are those between vertices, whatever the function reads.
+    """
     t = Triplet("s_", "d_", True)
     news = data(t)
     rows = _edge_rows(graph.edges)
-    for prefix, end in (("s_", "src"), ("d_", "dst")):
+    for prefix in ("s_", "d_"):
         columns = sorted(t.vertex_columns(prefix))
-        if columns:
+        if columns or not graph.complete:
             ends = _ends(graph.vertices, prefix, columns)
-            rows = spread_join(rows, ends, [f"{prefix}id"], hot=graph.stats().hot(end))
+            rows = rows.join(ends, f"{prefix}id", "inner" if columns else "left_semi")
     keep = [c for c in graph.edge_columns if c not in news]
     return graph.with_edges(
         rows.select(

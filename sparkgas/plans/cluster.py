@@ -11,7 +11,8 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_PARTITION = 2_000_000
 MIN_ROWS_PER_PARTITION = 65_536
@@ -50,6 +51,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows whose ``flag`` is true, counted while they are written."""
+    seen = Observation()
+    written = cut(df.observe(seen, F.count_if(F.col(flag)).alias("n")))
+    return written, seen.get["n"]
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the rows that :func:`cut` wrote for ``df``, once nothing reads them any more."""
     if df is None:
@@ -62,16 +70,14 @@ def drop(df: DataFrame | None) -> None:
 
 
 def partitions_for(spark: SparkSession, rows: int) -> int:
-    """Number of shuffle partitions for a loop over ``rows`` edge rows.
+    """Number of shuffle partitions for a loop over ``rows`` rows, of its larger table.
 
-    Small inputs get few tasks; large ones grow by rows, up to a multiple of
-    the cluster's cores (or the configured number, if that is larger).
+    The number grows with the rows, without an upper limit.  It is at least the
+    configured one, unless that would leave partitions of hardly any rows.
     """
-    cores = spark.sparkContext.defaultParallelism
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_size = math.ceil(rows / ROWS_PER_PARTITION)
-    enough_for_cores = min(cores, math.ceil(rows / MIN_ROWS_PER_PARTITION))
-    return max(1, min(max(by_size, enough_for_cores), max(configured, 16 * cores)))
+    return max(1, by_size, min(configured, math.ceil(rows / MIN_ROWS_PER_PARTITION)))
 
 
 @contextmanager
@@ -80,9 +86,14 @@ def fixed_layout(spark: SparkSession, n: int):
 
     All exchanges then agree with the layout of the edges.  Adaptive planning is
     off meanwhile: it would forget how checkpointed rows are partitioned, and
-    every round would exchange its vertices twice.
+    every round would exchange its vertices twice.  So are broadcasts that nobody
+    asked for: they would send resting edges through the driver in every round.
     """
-    settings = {"spark.sql.shuffle.partitions": str(n), "spark.sql.adaptive.enabled": "false"}
+    settings = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
     before = {key: spark.conf.get(key) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)

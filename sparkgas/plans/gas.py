@@ -15,7 +15,7 @@ Both write the new vertex state once per round, which cuts the lineage.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,17 +24,11 @@ from pyspark.storagelevel import StorageLevel
 from sparkgas.functions.reducers import Reducer, as_reducer
 from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
-from sparkgas.plans.cluster import cut, drop, fixed_layout, partitions_for
+from sparkgas.plans.cluster import cut, cut_counting, drop, fixed_layout, partitions_for
 from sparkgas.plans.layout import ArcLayout
 
 ACTIVE = "_active"
 
-# A scan for the few receivers that were signalled pays off once the arcs are many.
-FRONTIER_MIN_ARCS = 50_000_000
-FRONTIER_SHARE = 0.02
-# Receivers sent to every task to pick their arcs; counted before it is done.
-FRONTIER_BROADCAST_ROWS = 200_000
-
 
 class NotConverged(RuntimeError):
     """The program was still active after the allowed number of rounds."""
@@ -229,10 +223,8 @@ class ArcPlan:
         key = ["rcv_id", "_rpiece"] if hot else ["rcv_id"]
         return hot.spread(arcs, ["rcv_id"], "_rpiece").join(hot.copies(ends, ["rcv_id"], "_rpiece"), key)
 
-    def messages(self, state: DataFrame, first: bool, receivers: DataFrame | None = None) -> DataFrame:
+    def messages(self, state: DataFrame, first: bool) -> DataFrame:
         arcs = self.layout.from_senders(self._senders(state, first))
-        if receivers is not None:
-            arcs = arcs.join(receivers.select(F.col("id").alias("rcv_id")), "rcv_id", "left_semi")
         arcs = self._with_receivers(arcs, state)
         if not first and self.program.changes_only and self.sig is not None and not self.sig_at_sender:
             arcs = arcs.where(self.sig)
@@ -252,15 +244,8 @@ class ArcPlan:
         flag = None if first or self.sig is None else "_sig"
         return self.reducer.reduce(messages, ["id"], "_msg", "acc", flag)
 
-    def signalled(self, state: DataFrame) -> DataFrame:
-        """Ids signalled by the vertices that were active, without gathering."""
-        only_signals = replace(self.program, changes_only=True)
-        plan = ArcPlan.__new__(ArcPlan)
-        plan.__dict__.update(self.__dict__, program=only_signals, _columns={})
-        return plan.messages(state, first=False).where("_sig").select("id").distinct()
-
-    def round(self, state: DataFrame, first: bool, receivers: DataFrame | None = None) -> DataFrame:
-        acc = self.reduce(self.messages(state, first, receivers), first)
+    def round(self, state: DataFrame, first: bool) -> DataFrame:
+        acc = self.reduce(self.messages(state, first), first)
         columns = self._once(
             ("merge", first),
             lambda: merged_columns(state, self.program.apply, self._active(first), self.program.default),
@@ -290,19 +275,11 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
     with fixed_layout(spark, layout.partitions):
         history: list[int] = []
         iterations, converged = 0, None
-        total = active_count(state).first()[0]
-        if total == 0:
+        if state.isEmpty():
             converged = True
         while converged is None and (max_iter is None or iterations < max_iter):
             first = iterations == 0
-            receivers = signalled = None
-            if not first and _worth_a_frontier(program, layout, history[-1], total):
-                signalled = cut(plan.signalled(state))
-                if signalled.count() <= FRONTIER_BROADCAST_ROWS:
-                    receivers = F.broadcast(signalled)
-            state_next = cut(plan.round(state, first, receivers))
-            drop(signalled)
-            n_active = active_count(state_next).first()[0]
+            state_next, n_active = cut_counting(plan.round(state, first), ACTIVE)
             if n_active == 0:
                 converged = True
                 drop(state_next)
@@ -320,18 +297,6 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
     return GasResult(graph.with_vertices(state.drop(ACTIVE)), iterations, history, converged)
 
 
-def _worth_a_frontier(program: Program, layout: ArcLayout, n_active: int, n_vertices: int) -> bool:
-    """Few active vertices and many arcs: find the receivers first.
-
-    Programs with ``changes_only`` send from few vertices anyway.
-    """
-    return (
-        not program.changes_only
-        and layout.n_arcs >= FRONTIER_MIN_ARCS
-        and n_active <= FRONTIER_SHARE * n_vertices
-    )
-
-
 def edge_columns_used(program: Program) -> list[str]:
     t = Triplet("rcv_", "snd_", False)
     program.gather(t)
@@ -406,8 +371,9 @@ class _TripletPlan:
         none = F.lit(None).cast(value_type) if value_type else F.lit(None)
         kept = [c for c in trip.columns if not c.startswith("e_")]
         old = {c: f"e_{c}" for c in self.edge_columns}
-        at_target = F.col(f"d_{ACTIVE}") if direction in ("in", "both") else F.lit(False)
-        at_source = F.col(f"s_{ACTIVE}") if direction in ("out", "both") else F.lit(False)
+        flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+        at_target = flag(f"d_{ACTIVE}") if direction in ("in", "both") else F.lit(False)
+        at_source = flag(f"s_{ACTIVE}") if direction in ("out", "both") else F.lit(False)
         independent = self.program.edge_mode == "independent"
 
         def step(df, t, active, out, blocked, base):
@@ -495,11 +461,11 @@ class _TripletPlan:
 
 def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
     spark = graph.spark
-    n = partitions_for(spark, graph.stats().n_edges)
+    n = partitions_for(spark, max(graph.stats().n_edges, graph.n_vertices()))
     state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
     with fixed_layout(spark, n):
         plan = _TripletPlan(graph, program)
-        rows = plan.start(graph.edges)
+        rows = plan.start(graph.inner_edges())
         # edges are state here; with data to update they are rewritten every round
         by_source = ["s_id", "_spiece"] if plan.hot["src"] else ["s_id"]
         rows = rows.repartition(n, *by_source).sortWithinPartitions(*by_source)
@@ -512,17 +478,16 @@ def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
             history.append(n_active)
             before = state
             rows, state = plan.superstep(rows, state)
-            state = cut(state)
+            state, n_active = cut_counting(state, ACTIVE)
             drop(before)
             plan.drop_spent()
             iterations += 1
-            n_active = active_count(state).first()[0]
     if n_active and on_limit == "error":
         raise NotConverged(f"still active after {max_iter} rounds")
-    edges = plan.finish(rows) if program.updates_edges else graph.edges
+    edges = plan.finish(rows) if program.updates_edges else graph.inner_edges()
     if not program.updates_edges:
         resting.unpersist()
-    result = PropertyGraph(state.drop(ACTIVE), edges, complete=graph.complete or program.updates_edges)
+    result = PropertyGraph(state.drop(ACTIVE), edges, complete=True)
     return GasResult(result, iterations, history, n_active == 0)
 
 
@@ -533,16 +498,18 @@ def run_gas(
     graph: PropertyGraph,
     program: Program,
     max_iter: int | None = None,
-    on_limit: str | None = None,
+    on_limit: str = "error",
     layout: ArcLayout | None = None,
 ) -> GasResult:
     """Run ``program`` in synchronous rounds until no vertex is active.
 
     ``max_iter`` caps the rounds.  ``on_limit`` says what happens when the cap
-    is met by a program that is still active: "return" (the default with a cap)
-    or "error".  Without a cap the program must come to rest by itself.
+    is met by a program that is still active: "error", or "return" for callers
+    that ask for an unfinished result.  Without a cap the program must come to
+    rest by itself.
     """
-    on_limit = on_limit or "return"
+    if on_limit not in ("error", "return"):
+        raise ValueError("on_limit must be 'error' or 'return'")
     if max_iter == 0:
         return GasResult(graph, 0, [], None)
     if program.fits_arc_plan():
@@ -557,12 +524,12 @@ def superstep(
 
     Returns the graph after it and its vertices with the new flag ``active``.
     """
-    flag = active if isinstance(active, Column) else F.lit(active)
+    flag = F.coalesce(active, F.lit(False)) if isinstance(active, Column) else F.lit(active)
     plan = _TripletPlan(graph, program)
     state = graph.vertices.withColumn(ACTIVE, flag)
-    rows, state = plan.superstep(plan.start(graph.edges), state)
-    edges = plan.finish(rows) if program.updates_edges else graph.edges
-    after = PropertyGraph(state.drop(ACTIVE), edges, complete=graph.complete or program.updates_edges)
+    rows, state = plan.superstep(plan.start(graph.inner_edges()), state)
+    edges = plan.finish(rows) if program.updates_edges else graph.inner_edges()
+    after = PropertyGraph(state.drop(ACTIVE), edges, complete=True)
     return after, state.withColumnRenamed(ACTIVE, "active")
 
 
@@ -577,5 +544,5 @@ def signal_frontier(
         gather=lambda t: F.lit(None), reducer=F.max, apply=lambda v, a: {}, signal=signal, scatter_dir=direction
     )
     plan = _TripletPlan(graph, program)
-    state = graph.vertices.withColumn(ACTIVE, active)
-    return plan.scatter(plan.start(graph.edges), state)[1]
+    state = graph.vertices.withColumn(ACTIVE, F.coalesce(active, F.lit(False)))
+    return plan.scatter(plan.start(graph.inner_edges()), state)[1]

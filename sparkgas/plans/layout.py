@@ -14,6 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from sparkgas.graph import PropertyGraph
 from sparkgas.plans.cluster import partitions_for
+from sparkgas.plans.skew import EdgeStats
 
 
 def arcs_of(edges: DataFrame, direction: str, columns: list[str]) -> DataFrame:
@@ -50,19 +51,21 @@ class ArcLayout:
     """
 
     def __init__(self, graph: PropertyGraph, direction: str, columns: list[str] | None = None):
-        stats = graph.stats()
+        names = graph.edge_columns if columns is None else columns
+        kept = graph.inner_edges().select("src", "dst", *[f"`{c}`" for c in names]).persist(StorageLevel.MEMORY_AND_DISK)
+        stats = EdgeStats(kept, graph.rows_per_piece)
         sends, receives = {"in": ("src", "dst"), "out": ("dst", "src"), "both": ("both", "both")}[direction]
         self.direction = direction
         self.n_arcs = stats.n_edges * (2 if direction == "both" else 1)
         self.most_received = stats.most[receives]
-        self.partitions = partitions_for(graph.spark, self.n_arcs)
+        self.partitions = partitions_for(graph.spark, max(self.n_arcs, graph.n_vertices()))
         self.hot_receivers = stats.hot(receives)
         hot = stats.hot(sends)
         self.hub_ids = hot.table.select(F.col("_k0").alias("snd_id")) if hot else None
-        raw = arcs_of(graph.edges, direction, graph.edge_columns if columns is None else columns)
+        raw = arcs_of(kept, direction, names)
         self.hub_arcs = None
         if self.hub_ids is not None:
-            # bounded list of ids, see MAX_HOT_KEYS
+            # bounded list of ids, see HOT_KEYS
             hubs = F.broadcast(self.hub_ids)
             self.hub_arcs = raw.join(hubs, "snd_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
             raw = raw.join(hubs, "snd_id", "left_anti")
@@ -71,6 +74,8 @@ class ArcLayout:
             .sortWithinPartitions("snd_id")
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        self.all_arcs().count()
+        kept.unpersist()
 
     def all_arcs(self) -> DataFrame:
         return self.arcs if self.hub_arcs is None else self.arcs.unionByName(self.hub_arcs)

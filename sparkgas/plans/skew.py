@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 1_000_000
-# At most this many keys are treated as hot, so the list has a fixed size bound
-# and may be broadcast.  Any key left out holds at most 1/MAX_HOT_KEYS of all rows.
-MAX_HOT_KEYS = 50_000
+# A piece is never smaller than this share of all rows, so no more than so many keys
+# can hold more than a piece: the list of hot keys is complete, and small enough to broadcast.
+HOT_KEYS = 50_000
 
 
 @dataclass
@@ -37,7 +37,7 @@ class HotKeys:
         for i, name in enumerate(names):
             eq = F.col(name) == F.col(f"_hot{i}")
             cond = eq if cond is None else cond & eq
-        # bounded: at most MAX_HOT_KEYS rows, see above
+        # bounded: at most HOT_KEYS rows, see above
         return df.join(F.broadcast(hot), cond, "left").drop(*[f"_hot{i}" for i in range(len(names))])
 
     def spread(self, df: DataFrame, names: list[str], piece: str) -> DataFrame:
@@ -62,21 +62,24 @@ class HotKeys:
         ).drop("_pieces")
 
 
+def piece_rows(rows: int, asked: int | None = None) -> int:
+    """Rows per piece: as asked for, or so many more that few keys can exceed it."""
+    return max(asked or ROWS_PER_PIECE, -(-rows // HOT_KEYS))
+
+
 def hot_keys(df: DataFrame, *keys: str | Column, rows_per_piece: int | None = None) -> HotKeys:
-    """Find the hot values of ``keys``: one counting pass with map-side combine.
+    """Find the hot values of ``keys``: counted with map-side combine.
 
-    Only the bounded top of the counts reaches the driver.
+    Only those above the size of a piece reach the driver.
     """
-    rows_per_piece = rows_per_piece or ROWS_PER_PIECE
     spark = df.sparkSession
+    rows_per_piece = piece_rows(df.count(), rows_per_piece)
     cols = [f"_k{i}" for i in range(len(keys))]
     named = df.select(*[(F.col(k) if isinstance(k, str) else k).alias(c) for k, c in zip(keys, cols)])
     top = (
         named.groupBy(*cols)
         .agg(F.count("*").alias("_n"))
         .where(F.col("_n") > rows_per_piece)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_KEYS)
         .select(*cols, F.ceil(F.col("_n") / rows_per_piece).cast("int").alias("_pieces"))
     )
     rows = top.collect()
@@ -91,7 +94,6 @@ class EdgeStats:
     """
 
     def __init__(self, edges: DataFrame, rows_per_piece: int | None = None):
-        self.rows_per_piece = rows_per_piece or ROWS_PER_PIECE
         ends = F.array(
             F.struct(F.col("src").alias("id"), F.lit(1).alias("s"), F.lit(0).alias("d")),
             F.struct(F.col("dst").alias("id"), F.lit(0).alias("s"), F.lit(1).alias("d")),
@@ -106,13 +108,10 @@ class EdgeStats:
         ).first()
         self.n_edges: int = row["n"] or 0
         self.most: dict[str, int] = {c: row[f"most_{c}"] or 0 for c in ("src", "dst", "both")}
+        self.rows_per_piece = piece_rows(2 * self.n_edges, rows_per_piece)
         self._hot: DataFrame | None = None
         if self.most["both"] > self.rows_per_piece:
-            top = (
-                per_id.where(F.col("both") > self.rows_per_piece)
-                .orderBy(F.desc("both"))
-                .limit(MAX_HOT_KEYS)
-            )
+            top = per_id.where(F.col("both") > self.rows_per_piece)
             self._hot = edges.sparkSession.createDataFrame(top.collect(), top.schema)
 
     def hot(self, end: str) -> HotKeys:

@@ -207,24 +207,37 @@ add(
     recursive=True,
 )
 add("connected_components_visits", CHAINED, VISITS, recursive=True)
-ONE_SIDED = "s0 as (select id, id as top, true as active from verts)"
-for i in range(3):
-    ONE_SIDED += f""",
-m{i} as (select e.dst as id, max(s.top) as x from edges e join s{i} s on s.id = e.src group by 1),
-p{i} as (select c.id, case when c.active then greatest(c.top, m.x) else c.top end as top, c.active as was
-         from s{i} c left join m{i} m on m.id = c.id),
-g{i} as (select distinct e.src as id from edges e join p{i} c on c.id = e.dst join p{i} o on o.id = e.src
-         where c.was and c.top < o.top),
-s{i + 1} as (select id, top, id in (select id from g{i}) as active from p{i})"""
-add("run_gas_one_sided", "select id, top from s3", ONE_SIDED)
+add(
+    "run_gas_one_sided",
+    "select id, top from st where it = (select max(it) from st)",
+    """
+st as (
+  select 0 as it, id, id as top, true as active from verts
+  union all
+  (with m as (select e.dst as id, max(s.top) as x from edges e join st s on s.id = e.src group by 1),
+   p as (select c.it + 1 as it, c.id, case when c.active then greatest(c.top, m.x) else c.top end as top, c.active as was
+         from st c left join m on m.id = c.id),
+   g as (select distinct e.src as id from edges e join p c on c.id = e.dst join p o on o.id = e.src
+         where c.was and c.top < o.top)
+   select it, id, top, id in (select id from g) from p where (select bool_or(active) from st)))
+""",
+    recursive=True,
+)
 add(
     "run_gas_pandas",
-    "select v.id, round(coalesce(x, 0), 6) as value from verts v left join m1 on m1.id = v.id",
+    "select id, round(value, 6) as value from st where it = (select max(it) from st)",
     """
-m0 as (select dst as id, max(0.5 + w) as x from edges group by 1),
-s1 as (select v.id, coalesce(x, 0) as value from verts v left join m0 on m0.id = v.id),
-m1 as (select e.dst as id, max(s.value * 0.5 + e.w) as x from edges e join s1 s on s.id = e.src group by 1)
+st as (
+  select 0 as it, id, 1.0::double as value, 0.0::double as prev, true as active from verts
+  union all
+  (with m as (select e.dst as id, max(floor(s.value * 0.5 + e.w)) as x from edges e join st s on s.id = e.src group by 1),
+   p as (select c.it + 1 as it, c.id, case when c.active then greatest(c.value, coalesce(m.x, 0)) else c.value end as value,
+                case when c.active then c.value else c.prev end as prev, c.active as was
+         from st c left join m on m.id = c.id),
+   g as (select distinct e.dst as id from edges e join p c on c.id = e.src where c.was and c.value > c.prev)
+   select it, id, value, prev, id in (select id from g) from p where (select bool_or(active) from st)))
 """,
+    recursive=True,
 )
 FIXED = "r0 as (select id, 1.0::double as x from verts)"
 for i in range(5):

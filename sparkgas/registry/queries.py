@@ -195,16 +195,16 @@ def source_pairs(spark, sf_dir):
     return triplets.source_pairs(order_succession(spark, sf_dir)).select("e_eid", "id", "s_id", "s_bal")
 
 
-def _sums(g: PropertyGraph) -> DataFrame:
-    return messages.aggregate_messages(g, lambda t: t.edge["w"], F.sum, "in")
+def _heavy_sums(g: PropertyGraph) -> DataFrame:
+    """Light edges are read like all others, and send nothing."""
+    return messages.aggregate_messages(g, lambda t: F.when(t.edge["w"] > 40, t.edge["w"]), F.sum, "in")
 
 
 @query
 def merge_accumulators_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
-    sums = _sums(g.with_edges(g.edges.where("w > 40")))
     merged = merge_accumulators(
-        g.vertices, sums, lambda v, acc: {"bal": acc + F.round(v["bal"])}, _building(), default=-1.0
+        g.vertices, _heavy_sums(g), lambda v, acc: {"bal": acc + F.round(v["bal"])}, _building(), default=-1.0
     )
     return merged.select("id", _r6("bal"), F.col(ACTIVE).alias("active"))
 
@@ -212,17 +212,16 @@ def merge_accumulators_query(spark, sf_dir):
 @query
 def merge_signals_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
-    signalled = g.edges.where("w > 40").select(F.col("dst").alias("id")).distinct()
+    heavy = messages.messages(g, lambda t: F.when(t.edge["w"] > 40, t.edge["w"]), "in")
     state = g.vertices.withColumn(ACTIVE, F.lit(True))
-    return merge_signals(state, signalled).select("id", F.col(ACTIVE).alias("active"))
+    return merge_signals(state, heavy.select("id").distinct()).select("id", F.col(ACTIVE).alias("active"))
 
 
 @query
 def sync_values(spark, sf_dir):
     g = order_succession(spark, sf_dir)
-    sums = _sums(g.with_edges(g.edges.where("w > 40")))
     program = Program(gather=lambda t: t.edge["w"], reducer=F.sum, apply=lambda v, acc: {"bal": acc})
-    return sync(g.vertices, sums, program).select("id", "bal", "seg")
+    return sync(g.vertices, _heavy_sums(g), program).select("id", "bal", "seg")
 
 
 @query
@@ -446,7 +445,7 @@ def run_gas_one_sided(spark, sf_dir):
         gather_dir="in",
         scatter_dir="in",
     )
-    result = run_gas(g.with_vertices(g.vertices.select("id", F.col("id").alias("top"))), program, max_iter=3)
+    result = run_gas(g.with_vertices(g.vertices.select("id", F.col("id").alias("top"))), program)
     return result.graph.vertices
 
 
@@ -457,18 +456,18 @@ def run_gas_pandas(spark, sf_dir):
     @F.pandas_udf("double")
     def damped(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for value, weight in batches:
-            yield value * 0.5 + weight
+            yield (value * 0.5 + weight).floordiv(1)
 
     g = order_succession(spark, sf_dir)
     program = Program(
         gather=lambda t: damped(t.src["value"], t.edge["w"]),
         reducer=F.max,
         default=0.0,
-        apply=lambda v, acc: {"value": acc},
-        signal=lambda t: F.lit(True),
+        apply=lambda v, acc: {"value": F.greatest(v["value"], acc), "prev": v["value"]},
+        signal=lambda t: t.center["value"] > t.center["prev"],
     )
-    start = g.with_vertices(g.vertices.select("id", F.lit(1.0).alias("value")))
-    return run_gas(start, program, max_iter=2).graph.vertices.select("id", _r6("value"))
+    start = g.with_vertices(g.vertices.select("id", F.lit(1.0).alias("value"), F.lit(0.0).alias("prev")))
+    return run_gas(start, program).graph.vertices.select("id", _r6("value"))
 
 
 @query
@@ -531,7 +530,7 @@ def pagerank(spark, sf_dir):
 @query
 def pagerank_capped(spark, sf_dir):
     g = order_succession(spark, sf_dir)
-    ranks = ranking.pagerank(g, tol=0.01, max_iter=10, initial=(1.0, 1.0)).graph.vertices
+    ranks = ranking.pagerank(g, tol=0.01, max_iter=10, initial=(1.0, 1.0), on_limit="return").graph.vertices
     return ranks.select("id", _r6("rank"))
 
 
@@ -575,7 +574,7 @@ def greedy_color(spark, sf_dir):
 @query
 def shortest_paths(spark, sf_dir):
     g = order_succession(spark, sf_dir)
-    return paths.distances(paths.shortest_paths(g, _first_source(g), max_iter=10_000))
+    return paths.distances(paths.shortest_paths(g, _first_source(g)))
 
 
 @query

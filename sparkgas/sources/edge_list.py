@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.derive import degrees, densify_vertices, vertices_from_edges
+from sparkgas.plans.cluster import cut
 
 MODES = ("failfast", "dropmalformed", "permissive")
 
@@ -35,9 +36,10 @@ def parse_edges(lines: DataFrame, mode: str = "failfast", max_columns: int | Non
         rows = rows.where(ok)
         return rows.select(src.alias("src"), dst.alias("dst"), payload.alias("payload"), *keep)
     if mode == "failfast":
-        wrong = F.raise_error(F.concat(F.lit("malformed input: "), F.col("value"))).cast("bigint")
-        checked = F.when(ok, src).otherwise(wrong)
-        return rows.select(checked.alias("src"), dst.alias("dst"), payload.alias("payload"), *keep)
+        # a filter, as no choice of columns can leave that out
+        wrong = F.raise_error(F.concat(F.lit("malformed input: "), F.col("value"))).cast("boolean")
+        rows = rows.where(F.when(ok, True).otherwise(wrong))
+        return rows.select(src.alias("src"), dst.alias("dst"), payload.alias("payload"), *keep)
     return rows.select(
         F.when(ok, src).alias("src"),
         F.when(ok, dst).alias("dst"),
@@ -86,8 +88,9 @@ def read_edge_list_strict(
     numbered = edges.join(offsets, ["_file", "_start"]).select(
         "src", "dst", "payload", (F.col("_at") + F.col("_offset")).alias("eid")
     )
-    numbered = _typed(numbered, parser)
-    graph = PropertyGraph(densify_vertices(numbered), numbered)
+    # written once: the largest id, the degrees and the edges all come from it
+    numbered = cut(_typed(numbered, parser))
+    graph = PropertyGraph(densify_vertices(numbered), numbered, complete=True)
     vertices = degrees(graph)
     return graph.with_vertices(vertices.withColumns(init) if init else vertices)
 

@@ -10,8 +10,8 @@ from sparkgas.graph import PropertyGraph
 
 def _text(columns: list[str], show: Column | None) -> Column:
     if show is not None:
-        return show.cast("string")
-    return F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in columns])
+        return F.coalesce(show.cast("string"), F.lit("null"))
+    return F.concat_ws(",", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in columns])
 
 
 def graph_lines(

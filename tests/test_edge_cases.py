@@ -149,7 +149,7 @@ def data(df):
 
 def test_default_is_substituted_not_added(spark):
     g = PropertyGraph.from_rows(spark, [(1, 7), (2, 7)], [(1, 2, 0)])
-    assert data(run_gas(g, counting(), max_iter=1).graph.vertices) == {1: -1, 2: 1}
+    assert data(run_gas(g, counting(), max_iter=1, on_limit="return").graph.vertices) == {1: -1, 2: 1}
 
 
 def test_no_rounds(chained):
@@ -159,9 +159,9 @@ def test_no_rounds(chained):
 
 def test_loops_count_twice_in_both(spark):
     g = PropertyGraph.from_rows(spark, [(1, 0), (2, 0)], [(1, 1, 0), (1, 2, 0)])
-    both = run_gas(g, counting(gather_dir="both", scatter_dir="both"), max_iter=1)
+    both = run_gas(g, counting(gather_dir="both", scatter_dir="both"), max_iter=1, on_limit="return")
     assert data(both.graph.vertices) == {1: 3, 2: 1}
-    slow = run_gas(g, counting(gather_dir="both", scatter_dir="both", scatter_edge_update=lambda t: {}), max_iter=1)
+    slow = run_gas(g, counting(gather_dir="both", scatter_dir="both", scatter_edge_update=lambda t: {}), max_iter=1, on_limit="return")
     assert data(slow.graph.vertices) == {1: 3, 2: 1}
 
 
@@ -190,12 +190,12 @@ def test_no_gather_direction(spark, chained):
 def test_cap(spark):
     g = PropertyGraph.from_rows(spark, [(1, 0), (2, 0)], [(1, 2, 0), (2, 1, 0)])
     with pytest.raises(NotConverged):
-        run_gas(g, counting(), max_iter=3, on_limit="error")
-    assert run_gas(g, counting(), max_iter=3).converged is None
+        run_gas(g, counting(), max_iter=3)
+    assert run_gas(g, counting(), max_iter=3, on_limit="return").converged is None
     rewriting = counting(gather_edge_update=lambda t: {"data": t.edge["data"] + 1})
     with pytest.raises(NotConverged):
-        run_gas(g, rewriting, max_iter=3, on_limit="error")
-    assert run_gas(g, rewriting, max_iter=3).converged is False
+        run_gas(g, rewriting, max_iter=3)
+    assert run_gas(g, rewriting, max_iter=3, on_limit="return").converged is False
 
 
 def test_the_two_plans_agree(chained):

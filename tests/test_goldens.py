@@ -24,7 +24,7 @@ def test_pagerank_chained(chained, chained_from_1):
     expected = [0.15, 1, 1, 1, 0.15, 0.2775, 0.385875, 0.477994, 0.556295]
     assert by_id(result.graph.vertices, "rank") == pytest.approx(expected, abs=1e-6)
     assert result.iterations == 5
-    capped = ranking.pagerank(chained_from_1, tol=0.01, max_iter=10, initial=(1.0, 1.0))
+    capped = ranking.pagerank(chained_from_1, tol=0.01, max_iter=10, initial=(1.0, 1.0), on_limit="return")
     assert by_id(capped.graph.vertices, "rank") == pytest.approx(expected[1:], abs=1e-6)
     assert capped.iterations == 5
 
@@ -50,7 +50,7 @@ def test_component_visits(chained_from_1):
 
 def test_edge_modes_differ(chained_from_1):
     """Both ends active in one round: two visits chained, one independent."""
-    first = {m: components.component_visits(chained_from_1, m, max_iter=1).graph.edges for m in ("chained", "independent")}
+    first = {m: components.component_visits(chained_from_1, m, max_iter=1, on_limit="return").graph.edges for m in ("chained", "independent")}
     assert {r.visits for r in first["chained"].collect()} == {2}
     assert {r.visits for r in first["independent"].collect()} == {1}
 

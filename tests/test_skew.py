@@ -97,13 +97,6 @@ def test_spread_join_kinds(spark):
         assert rows(cut_up) == rows(many.join(one, "k", how))
 
 
-def test_frontier_pass_changes_nothing(graphs, monkeypatch):
-    expected = rows(QUERIES["color"](graphs[1])), rows(QUERIES["pagerank"](graphs[1]))
-    monkeypatch.setattr(gas, "FRONTIER_MIN_ARCS", 0)
-    monkeypatch.setattr(gas, "FRONTIER_SHARE", 1.0)
-    assert (rows(QUERIES["color"](graphs[1])), rows(QUERIES["pagerank"](graphs[1]))) == expected
-
-
 @pytest.mark.parametrize("limit", [3, 70, 5000])
 def test_mex_against_brute_force(spark, limit):
     rnd = random.Random(limit)
