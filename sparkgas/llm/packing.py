@@ -7,6 +7,7 @@ sequence has left, both in shares of the limits.  Examples may be cut anywhere.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ class Limits:
     tokens: int = 2048
     segments: int = 64
     loss_tokens: int = 2048
-    waiting: int = 128
+    waiting: int = 48
 
     def __post_init__(self):
         if min(self.tokens, self.segments, self.loss_tokens, self.waiting) < 1:
@@ -177,6 +178,7 @@ def pack(
                 [pa.array(list(column), pa.int64()) for column in zip(*found)], names
             )
 
+        gc.disable()  # nothing here refers to itself, and looking for that among many words takes long
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         cache = IdCache(spec)
         for batch in batches:
@@ -188,5 +190,6 @@ def pack(
         packer.finish()
         if found := packer.take():
             yield table(found)
+        gc.enable()
 
     return rows.mapInArrow(place, PIECES)

@@ -11,13 +11,14 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import string
 import unicodedata
 
 import regex
 
 REMEMBERED = 200_000
 LONGEST_REMEMBERED = 40
-MARKS = ".,!?;:"
+MARKS = "".join(c for c in string.punctuation if c != "'")  # with an apostrophe some letters are a piece
 SPECIAL_CASE = {"Σ", "İ"}  # lower-cased in more than one way
 
 
@@ -184,17 +185,19 @@ class IdCache:
         return [held[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        apart, whole = [], []
+        if len(self.letters) > REMEMBERED:
+            self.letters = {"": b""}
+        letters, apart, whole, fresh = self.letters, [], [], {}
         for word in new:
             core = word.rstrip(MARKS)
             if core.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and not SPECIAL_CASE & set(word))):
-                apart.append((word, core.lower(), word[len(core) :]))
+                low = core.lower()
+                if low not in letters:
+                    fresh[low] = None
+                apart.append((word, low, word[len(core) :]))
             else:
                 whole.append(word)
-        if len(self.letters) > REMEMBERED:
-            self.letters = {"": b""}
-        letters = self.letters
-        pieces = list({core for _, core, _ in apart}.difference(letters))
+        pieces = list(fresh)
         letters.update(zip(pieces, self._joined(pieces)))
         marks = list({m for _, _, m in apart}.difference(letters))
         letters.update(zip(marks, self._ids(marks)))
