@@ -1,7 +1,7 @@
 """Property graphs and gather-apply-scatter programs on Spark DataFrames."""
 
 from sparkgas.graph import PropertyGraph
-from sparkgas.functions.reducers import Builtin, Fold, Mex, Reducer
+from sparkgas.functions.reducers import Builtin, Fold, Members, Mex, Reducer
 from sparkgas.plans.gas import GasResult, NotConverged, Program, run_gas, signal_frontier, superstep
 from sparkgas.plans.rounds import iterate_blocked, iterate_fixed
 
@@ -9,6 +9,7 @@ __all__ = [
     "Builtin",
     "Fold",
     "GasResult",
+    "Members",
     "Mex",
     "NotConverged",
     "Program",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkgas.plans.cluster import cut, drop
+from sparkgas.plans.cluster import Scratch, cut, drop
 
 
 def _ordered(a, b):
@@ -45,6 +45,15 @@ def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[D
     edges with a null end change nothing.  A vertex's neighbours are never
     brought together in a row; smallest ids are combined before their exchange.
     """
+    with Scratch() as scratch:
+        now, rounds = _contracted(edges, src, dst)
+        scratch.keep(now)
+    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
+    ), rounds
+
+
+def _contracted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, int]:
     known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
     now = cut(known.select(*_ordered(F.col(src), F.col(dst))).distinct())
     state, rounds = _state(now), 0
@@ -57,6 +66,4 @@ def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[D
         state = _state(now)
         if state == before:
             break
-    return now.select(F.col("a").alias("id"), F.col("b").alias("label")).unionByName(
-        now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct()
-    ), rounds
+    return now, rounds

@@ -1,8 +1,8 @@
 """Ways to reduce the messages of one vertex to one value.
 
-Every reducer combines on the map side first and never holds all messages of a
-vertex in one row, so a vertex that receives a large part of all messages is
-no heavier for any single task than its share of the input.
+No reducer holds all messages of a vertex in one row, so a vertex that receives
+a large part of all messages is no heavier for any single task than its share
+of the input.  All but :class:`Fold` also combine before they exchange.
 """
 
 from __future__ import annotations
@@ -112,13 +112,38 @@ class Mex(Reducer):
         return level
 
 
+class Members(Reducer):
+    """Set union: the distinct messages of a vertex as a sorted array.
+
+    Members are made distinct before they are brought together, each combined
+    before its exchange.  More than ``limit`` members of one vertex are an error
+    before any row holds them; a set without a bound is a table of pairs.
+    """
+
+    def __init__(self, limit: int = 65_536):
+        self.limit = limit
+
+    def reduce(self, msgs, keys, msg, out, flag=None):
+        present = msgs.where(F.col(msg).isNotNull()).select(*keys, msg).distinct()
+        sizes = present.groupBy(*keys).agg(F.count("*").alias("_n"))
+        wrong = F.raise_error(F.concat(F.lit("more members than the limit: "), F.col("_n").cast("string"))).cast("boolean")
+        checked = sizes.where(F.when(F.col("_n") <= self.limit, True).otherwise(wrong)).select(*keys)
+        sets = present.join(checked, keys).groupBy(*keys).agg(F.sort_array(F.collect_list(msg)).alias(out))
+        if flag is None:
+            return sets
+        return msgs.groupBy(*keys).agg(F.bool_or(flag).alias(flag)).join(sets, keys, "left").select(*keys, out, flag)
+
+
 class Fold(Reducer):
     """Any commutative and associative function of two Columns.
 
     Messages are folded in bounded chunks: a local sort brings the messages of
     a vertex together within each partition, every chunk of at most ``chunk``
-    rows becomes one partial value, and this is done twice before the final
-    fold.  The last step therefore holds at most a few values per partition.
+    rows becomes one partial value, and a second fold joins the partial values
+    of a vertex, one for each partition or ``chunk`` messages.
+
+    Spark has no partial step for a function it does not know, so the first
+    exchange moves every message once.  Use a built-in aggregate where one fits.
     """
 
     def __init__(self, merge: Callable[[Column, Column], Column], chunk: int = 4096):
@@ -144,7 +169,7 @@ class Fold(Reducer):
 
     def reduce(self, msgs, keys, msg, out, flag=None):
         df = msgs.select(*keys, msg, *([flag] if flag else []))
-        for chunked in (True, True, False):
+        for chunked in (True, False):
             df = self._level(df, keys, msg, flag, chunked)
         return df.withColumnRenamed(msg, out)
 

@@ -82,14 +82,17 @@ def group_then_reduce(
 
 
 def partial_then_final(
-    rows: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], pieces: int
+    rows: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], pieces: int, by: list[str] | None = None
 ) -> DataFrame:
     """Aggregate in two exchanges: per piece of a key first, then per key.
 
     For aggregates whose state does not shrink before the exchange (sets, for
-    example); sums and the like are combined by Spark's own partial step.
+    example); sums and the like are combined by Spark's own partial step.  Rows
+    that agree in the columns ``by`` fall into one piece, so that distinct values
+    of these can be counted per piece and added up.
     """
-    piece = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(pieces))
+    salt = by or [*rows.columns, F.spark_partition_id()]
+    piece = F.pmod(F.xxhash64(*salt), F.lit(pieces))
     parts = rows.withColumn("_piece", piece).groupBy(*keys, "_piece").agg(*[c.alias(n) for n, c in partial.items()])
     return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in final.items()])
 

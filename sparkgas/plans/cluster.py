@@ -10,6 +10,7 @@ import math
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The tables that :func:`cut` wrote in a ``with`` block: all are deleted at its end, but for those kept.
+
+    Also if the block fails.  What is kept belongs to the block around, if there
+    is one, else to the caller.  A result that is evaluated later keeps the tables
+    it is read from; Spark deletes them with it if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+
+    _open: ContextVar[tuple[Scratch, ...]] = ContextVar("scratch", default=())
+
+    def __init__(self):
+        self.written: list[DataFrame] = []
+
+    def __enter__(self) -> Scratch:
+        self._token = self._open.set((*self._open.get(), self))
+        return self
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.written = [w for w in self.written if not any(w is t for t in tables)]
+        outer = self._open.get()[:-1]
+        if outer:
+            outer[-1].written += tables
+
+    def __exit__(self, *failure) -> None:
+        self._open.reset(self._token)
+        for table in self.written:
+            drop(table)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written rows.
 
@@ -48,7 +79,10 @@ def cut(df: DataFrame) -> DataFrame:
     the same key needs no exchange on this side.
     """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    if scopes := Scratch._open.get():
+        scopes[-1].written.append(written)
+    return written
 
 
 def cut_counting(df: DataFrame, flag: str) -> tuple[DataFrame, int]:

@@ -24,7 +24,7 @@ from pyspark.storagelevel import StorageLevel
 from sparkgas.functions.reducers import Reducer, as_reducer
 from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
-from sparkgas.plans.cluster import cut, cut_counting, drop, fixed_layout, partitions_for
+from sparkgas.plans.cluster import Scratch, cut, cut_counting, drop, fixed_layout, partitions_for
 from sparkgas.plans.layout import ArcLayout
 
 ACTIVE = "_active"
@@ -262,11 +262,11 @@ class ArcPlan:
         return F.col("_sig") & F.coalesce(self.program.accept(vertex_view(), F.col("acc")), F.lit(False))
 
 
-def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
+def _run_arc_plan(graph, program, max_iter, on_limit, layout, scratch) -> GasResult:
     if layout is None:
         layout = ArcLayout(graph, program.gather_dir, edge_columns_used(program))
         try:
-            return _run_arc_plan(graph, program, max_iter, on_limit, layout)
+            return _run_arc_plan(graph, program, max_iter, on_limit, layout, scratch)
         finally:
             layout.release()
     spark = graph.spark
@@ -294,6 +294,7 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout) -> GasResult:
             if active_count(plan.round(state, iterations == 0)).first()[0]:
                 raise NotConverged(f"still active after {max_iter} rounds")
             converged = True
+    scratch.keep(state)
     return GasResult(graph.with_vertices(state.drop(ACTIVE)), iterations, history, converged)
 
 
@@ -459,7 +460,7 @@ class _TripletPlan:
         return rows, merge_signals(applied, signalled)
 
 
-def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
+def _run_triplet_plan(graph, program, max_iter, on_limit, scratch) -> GasResult:
     spark = graph.spark
     n = partitions_for(spark, max(graph.stats().n_edges, graph.n_vertices()))
     state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
@@ -487,6 +488,9 @@ def _run_triplet_plan(graph, program, max_iter, on_limit) -> GasResult:
     edges = plan.finish(rows) if program.updates_edges else graph.inner_edges()
     if not program.updates_edges:
         resting.unpersist()
+    scratch.keep(state)
+    if program.updates_edges:
+        scratch.keep(rows if plan._edges_written is None else plan._edges_written)
     result = PropertyGraph(state.drop(ACTIVE), edges, complete=True)
     return GasResult(result, iterations, history, n_active == 0)
 
@@ -512,9 +516,10 @@ def run_gas(
         raise ValueError("on_limit must be 'error' or 'return'")
     if max_iter == 0:
         return GasResult(graph, 0, [], None)
-    if program.fits_arc_plan():
-        return _run_arc_plan(graph, program, max_iter, on_limit, layout)
-    return _run_triplet_plan(graph, program, max_iter, on_limit)
+    with Scratch() as scratch:
+        if program.fits_arc_plan():
+            return _run_arc_plan(graph, program, max_iter, on_limit, layout, scratch)
+        return _run_triplet_plan(graph, program, max_iter, on_limit, scratch)
 
 
 def superstep(

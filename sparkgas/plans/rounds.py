@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgas.graph import PropertyGraph
-from sparkgas.plans.cluster import cut, drop, fixed_layout
+from sparkgas.operators.derive import number_edges
+from sparkgas.plans.cluster import Scratch, cut, drop, fixed_layout
 from sparkgas.plans.gas import ACTIVE, ArcPlan, Program, edge_columns_used, merge_accumulators, vertex_view
 from sparkgas.plans.layout import ArcLayout
 
@@ -32,8 +33,8 @@ def iterate_fixed(
         finally:
             layout.release()
     plan = ArcPlan(program, layout)
-    state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
-    with fixed_layout(graph.spark, layout.partitions):
+    with Scratch() as scratch, fixed_layout(graph.spark, layout.partitions):
+        state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
         for _ in range(rounds):
             before = state
             if drop_unreached:
@@ -42,6 +43,7 @@ def iterate_fixed(
             else:
                 state = cut(plan.round(state, first=True))
             drop(before)
+        scratch.keep(state)
     vertices = state.drop(ACTIVE)
     if drop_unreached:
         return PropertyGraph(vertices, graph.edges, rows_per_piece=graph.rows_per_piece)
@@ -65,41 +67,42 @@ def iterate_blocked(
     rounds: int,
     block_size: int = 50_000,
 ) -> PropertyGraph:
-    """Rounds in which blocks of vertex ids are updated one after another.
+    """Rounds in which blocks of vertices are updated one after another.
 
-    A block covers ``block_size`` ids from 0 upwards and reads the values that
-    earlier blocks of the same round have already written.  One block is the
-    synchronous case.  Every block keeps its own incoming arcs and its own
-    state table, so a step costs what its block holds.  The number of steps is
-    rounds x blocks: choose blocks of a large share of the graph.
+    A block holds ``block_size`` vertices in the order of their ids, and reads
+    the values that earlier blocks of the same round have already written.  One
+    block is the synchronous case.
+
+    Edges are read and laid out once, each with the block of its receiver; a step
+    reads the kept arcs of its block and the newest values of all vertices, and
+    writes only those of its block.  The number of steps is rounds x blocks:
+    choose blocks of a large share of the graph.
     """
-    spark = graph.spark
-    bounds = graph.vertices.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if bounds["lo"] is None or rounds == 0:
-        return graph
-    starts = range(bounds["lo"] // block_size * block_size, bounds["hi"] + 1, block_size)
-    center = "dst" if program.gather_dir == "in" else "src"
     if program.gather_dir not in ("in", "out"):
         raise ValueError("blocks need gather direction 'in' or 'out'")
-    columns = edge_columns_used(program)
-    plans, states = [], []
-    for lo in starts:
-        inside = F.col(center).between(lo, lo + block_size - 1)
-        layout = ArcLayout(graph.with_edges(graph.edges.where(inside)), program.gather_dir, columns)
-        block = graph.vertices.where(F.col("id").between(lo, lo + block_size - 1))
-        states.append(cut(block.withColumn(ACTIVE, F.lit(True))))
-        plans.append(ArcPlan(program, layout))
-    for _ in range(rounds):
-        for i, plan in enumerate(plans):
-            with fixed_layout(spark, plan.layout.partitions):
-                everyone = reduce(DataFrame.unionByName, states)
-                acc = plan.reduce(plan.messages(everyone, True), True)
-                before = states[i]
-                states[i] = cut(
-                    merge_accumulators(states[i], acc, program.apply, F.lit(True), program.default)
-                )
-                drop(before)
-    for plan in plans:
-        plan.layout.release()
-    vertices = reduce(DataFrame.unionByName, states).drop(ACTIVE)
-    return graph.with_vertices(vertices)
+    with Scratch() as scratch:
+        ranked = number_edges(graph.vertices.select("id"), ["id"], "_rank")
+        blocks = cut(ranked.select("id", F.expr(f"_rank div {int(block_size)}").alias("_block")))
+        n_blocks = (blocks.agg(F.max("_block")).first()[0] or 0) + 1
+        if rounds == 0 or blocks.isEmpty():
+            return graph
+        center = "dst" if program.gather_dir == "in" else "src"
+        edges = graph.inner_edges().join(blocks.withColumnRenamed("id", center), center)
+        placed = PropertyGraph(graph.vertices, edges, complete=True, rows_per_piece=graph.rows_per_piece)
+        layout = ArcLayout(placed, program.gather_dir, [*edge_columns_used(program), "_block"])
+        try:
+            with fixed_layout(graph.spark, layout.partitions):
+                own = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)).join(blocks, "id"))
+                states = [cut(own.where(F.col("_block") == b).drop("_block")) for b in range(n_blocks)]
+                plans = [ArcPlan(program, layout.only("_block", b)) for b in range(n_blocks)]
+                for _ in range(rounds):
+                    for b, plan in enumerate(plans):
+                        newest = reduce(DataFrame.unionByName, states)
+                        acc = plan.reduce(plan.messages(newest, True), True)
+                        before = states[b]
+                        states[b] = cut(merge_accumulators(before, acc, program.apply, F.lit(True), program.default))
+                        drop(before)
+        finally:
+            layout.release()
+        scratch.keep(*states)
+    return graph.with_vertices(reduce(DataFrame.unionByName, states).drop(ACTIVE))

@@ -207,6 +207,23 @@ add(
     recursive=True,
 )
 add("connected_components_visits", CHAINED, VISITS, recursive=True)
+add(
+    "partial_then_final_distinct",
+    """select d.seg as seg, count(distinct e.src) as senders
+       from edges e join verts s on s.id = e.src join verts d on d.id = e.dst group by 1""",
+)
+add(
+    "reducer_members",
+    """select v.id, string_agg(distinct o.seg, ',' order by o.seg) as around
+       from verts v left join und u on u.a = v.id left join verts o on o.id = u.b group by 1""",
+)
+add(
+    "degrees_of_some",
+    """select v.id, (select count(*) from inner_ i where i.dst = v.id) as in_degree,
+              (select count(*) from inner_ i where i.src = v.id) as out_degree from some v""",
+    """some as (select id from verts where seg in ('BUILDING', 'MACHINERY')),
+       inner_ as (select src, dst from edges where src in (select id from some) and dst in (select id from some))""",
+)
 add(
     "run_gas_one_sided",
     "select id, top from st where it = (select max(it) from st)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.algorithms import coloring, components, paths, ranking, triangles
 from sparkgas.functions.columns import any_true, min_nonneg, other_end, own_end
-from sparkgas.functions.reducers import Fold
+from sparkgas.functions.reducers import Fold, Members
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators import derive, messages, triplets
 from sparkgas.plans.cluster import scratch_path
@@ -384,6 +384,29 @@ def partial_then_final(spark, sf_dir):
     )
 
 
+@query
+def partial_then_final_distinct(spark, sf_dir):
+    """Distinct senders per segment: a set does not shrink before its exchange, so few keys are cut into pieces."""
+    t = triplets.triplets(order_succession(spark, sf_dir)).select(F.col("d_seg").alias("seg"), "s_id")
+    return messages.partial_then_final(
+        t, ["seg"], {"n": F.count_distinct("s_id")}, {"senders": F.sum("n")}, pieces=16, by=["s_id"]
+    )
+
+
+@query
+def reducer_members(spark, sf_dir):
+    """Set union inside a program: the segments around each customer."""
+    g = order_succession(spark, sf_dir)
+    program = Program(
+        gather=lambda t: t.other["seg"],
+        reducer=Members(16),
+        apply=lambda v, acc: {"around": F.array_join(acc, ",")},
+        gather_dir="both",
+    )
+    start = g.with_vertices(g.vertices.select("id", "seg", F.lit("").alias("around")))
+    return run_gas(start, program).graph.vertices.select("id", "around")
+
+
 @query
 def active_count_query(spark, sf_dir):
     g = order_succession(spark, sf_dir)
@@ -561,6 +584,14 @@ def connected_components_visits(spark, sf_dir):
     return result.graph.edges.select("eid", "src", "dst", "visits")
 
 
+@query
+def degrees_of_some(spark, sf_dir):
+    """Vertices are some of the customers, so many edges lead nowhere."""
+    g = order_succession(spark, sf_dir)
+    some = PropertyGraph(g.vertices.where("seg in ('BUILDING', 'MACHINERY')"), g.edges)
+    return derive.degrees(some).select("id", "in_degree", "out_degree")
+
+
 @query
 def neighborhood_min_id(spark, sf_dir):
     return components.neighborhood_min_id(order_succession(spark, sf_dir))

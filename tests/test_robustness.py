@@ -179,3 +179,51 @@ def test_hub_hot_by_output_only(spark):
 def test_stats_leave_no_hot_key_out(spark):
     edges = spark.range(1000).select((F.col("id") % 10).alias("src"), (F.col("id") + 100).alias("dst"))
     assert EdgeStats(edges, 50).hot("src").table.count() == 10
+
+
+def test_members_are_bounded(spark):
+    from sparkgas import Members
+
+    df = spark.createDataFrame([(1, "b", True), (1, "a", False), (1, "b", None), (2, None, False)], "k bigint, v string, f boolean")
+    assert rows(Members(2).reduce(df, ["k"], "v", "m")) == [(1, ["a", "b"])]
+    assert rows(Members(2).reduce(df, ["k"], "v", "m", "f")) == [(1, ["a", "b"], True), (2, None, False)]
+    with pytest.raises(Exception, match="more members"):
+        Members(1).reduce(df, ["k"], "v", "m").collect()
+
+
+def test_blocks_of_sparse_ids(spark):
+    from sparkgas import iterate_blocked
+
+    ids = [-(2**60), 5, 7, 2**61]
+    g = PropertyGraph.from_rows(spark, [(i, i) for i in ids], [(a, b, 0) for a, b in zip(ids, ids[1:])])
+    program = Program(gather=lambda t: t.src["data"], reducer=F.min, apply=lambda v, acc: {"data": F.least(v["data"], acc)})
+    once = iterate_blocked(g, program, 1, block_size=1).vertices.collect()
+    assert {r.data for r in once} == {ids[0]}
+    half = {r.id: r.data for r in iterate_blocked(g, program, 1, block_size=2).vertices.collect()}
+    assert half == {ids[0]: ids[0], 5: ids[0], 7: ids[0], 2**61: 7}  # 7 reads what the block before has written
+
+
+def test_runs_clean_up(spark):
+    from sparkgas import iterate_blocked
+    from sparkgas.plans.cluster import checkpoint_dir
+
+    top = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:") if checkpoint_dir(spark) else ""
+    held = lambda: len(os.listdir(top)) if os.path.isdir(top) else 0
+    g = chain(spark, 12)
+    flagged = g.with_vertices(g.vertices.withColumn("data", F.col("id")))
+    low = Program(
+        gather=lambda t: t.other["data"], reducer=F.min, apply=lambda v, a: {"data": F.least(v["data"], a)},
+        signal=lambda t: t.center["data"] < t.other["data"], gather_dir="both", scatter_dir="both",
+    )
+    for run, most in (
+        (lambda: run_gas(flagged, low), 1),
+        (lambda: run_gas(flagged, low, max_iter=2), 0),
+        (lambda: components.connected_components(g), 1),
+        (lambda: iterate_blocked(flagged, Program(gather=low.gather, reducer=F.min, apply=low.apply), 2, block_size=6), 2),
+    ):
+        before = held()
+        try:
+            result = run()
+        except NotConverged:
+            result = None
+        assert held() - before <= most, result

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sparkgas import Fold, Mex, PropertyGraph
 from sparkgas.algorithms import coloring, components, paths, ranking, triangles
 from sparkgas.operators import derive, messages, triplets
-from sparkgas.plans import gas
 from sparkgas.plans.layout import ArcLayout
 from sparkgas.plans.skew import hot_keys, spread_join
 
