@@ -42,6 +42,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a table or text written on the way."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Scratch:
     """The tables that :func:`cut` wrote in a ``with`` block: all are deleted at its end, but for those kept.
 
@@ -99,8 +105,7 @@ def drop(df: DataFrame | None) -> None:
     spark = df.sparkSession
     written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
     if written.isDefined():
-        path = spark._jvm.org.apache.hadoop.fs.Path(written.get())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, written.get())
 
 
 def partitions_for(spark: SparkSession, rows: int) -> int:

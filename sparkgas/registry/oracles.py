@@ -220,9 +220,9 @@ add(
 add(
     "degrees_of_some",
     """select v.id, (select count(*) from inner_ i where i.dst = v.id) as in_degree,
-              (select count(*) from inner_ i where i.src = v.id) as out_degree from some v""",
-    """some as (select id from verts where seg in ('BUILDING', 'MACHINERY')),
-       inner_ as (select src, dst from edges where src in (select id from some) and dst in (select id from some))""",
+              (select count(*) from inner_ i where i.src = v.id) as out_degree from chosen v""",
+    """chosen as (select id from verts where seg in ('BUILDING', 'MACHINERY')),
+       inner_ as (select src, dst from edges where src in (select id from chosen) and dst in (select id from chosen))""",
 )
 add(
     "run_gas_one_sided",

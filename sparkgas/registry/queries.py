@@ -13,7 +13,7 @@ from sparkgas.functions.columns import any_true, min_nonneg, other_end, own_end
 from sparkgas.functions.reducers import Fold, Members
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators import derive, messages, triplets
-from sparkgas.plans.cluster import scratch_path
+from sparkgas.plans.cluster import Scratch, cut, delete_path, scratch_path
 from sparkgas.plans.gas import ACTIVE, Program, active_count, merge_accumulators, merge_signals, run_gas
 from sparkgas.plans.gas import signal_frontier as frontier
 from sparkgas.plans.gas import superstep as one_superstep
@@ -44,43 +44,50 @@ def _r6(name: str):
 # ---------------------------------------------------------------- sources and sinks
 
 
-def _written(spark, sf_dir, with_weight: bool = True) -> str:
+def _through_text(spark, sf_dir, read: Callable[[str], DataFrame], with_weight: bool = True, ordered: bool = False) -> DataFrame:
+    """What ``read`` makes of the edges written as text, which is deleted then.  Only line numbers need an order."""
     g = order_succession(spark, sf_dir)
     path = scratch_path(spark, "edges")
     payload = F.col("w").cast("bigint") if with_weight else None
-    edge_list.write_edge_list(g.edges, path, payload, order_by="eid")
-    return path
+    try:
+        edge_list.write_edge_list(g.edges, path, payload, order_by="eid" if ordered else None)
+        with Scratch() as scratch:
+            result = cut(read(path))
+            scratch.keep(result)
+        return result
+    finally:
+        delete_path(spark, path)
 
 
 @query
 def read_edge_list(spark, sf_dir):
-    path = _written(spark, sf_dir)
-    g = edge_list.read_edge_list(spark, path, {"w": F.col("payload").cast("double")})
-    return g.edges
+    data = {"w": F.col("payload").cast("double")}
+    return _through_text(spark, sf_dir, lambda path: edge_list.read_edge_list(spark, path, data).edges)
 
 
 @query
 def read_edge_list_vertices(spark, sf_dir):
-    return edge_list.read_edge_list(spark, _written(spark, sf_dir)).vertices
+    return _through_text(spark, sf_dir, lambda path: edge_list.read_edge_list(spark, path).vertices)
 
 
 @query
 def read_edge_list_strict(spark, sf_dir):
-    g = edge_list.read_edge_list_strict(spark, _written(spark, sf_dir), {"w": F.col("payload").cast("double")})
-    return g.edges.select("eid", "src", "dst", "w")
+    data = {"w": F.col("payload").cast("double")}
+    read = lambda path: edge_list.read_edge_list_strict(spark, path, data).edges.select("eid", "src", "dst", "w")
+    return _through_text(spark, sf_dir, read, ordered=True)
 
 
 @query
 def read_edge_list_strict_vertices(spark, sf_dir):
-    g = edge_list.read_edge_list_strict(spark, _written(spark, sf_dir), init={"data": F.col("id") * 2})
-    return g.vertices
+    data = {"data": F.col("id") * 2}
+    read = lambda path: edge_list.read_edge_list_strict(spark, path, init=data).vertices
+    return _through_text(spark, sf_dir, read, ordered=True)
 
 
 @query
 def from_edges_only(spark, sf_dir):
-    path = _written(spark, sf_dir, with_weight=False)
-    edges = edge_list.parse_edges(spark.read.text(path))
-    return edge_list.from_edges_only(edges).vertices
+    read = lambda path: edge_list.from_edges_only(edge_list.parse_edges(spark.read.text(path))).vertices
+    return _through_text(spark, sf_dir, read, with_weight=False)
 
 
 @query
@@ -103,8 +110,11 @@ def graph_lines(spark, sf_dir):
 def write_graph_lines(spark, sf_dir):
     path = scratch_path(spark, "lines")
     g = order_succession(spark, sf_dir)
-    text_dump.write_graph_lines(g, path, vertex_text=F.col("seg"), edge_text=F.col("w").cast("bigint"))
-    return spark.read.text(path).select(F.col("value").alias("line"))
+    try:
+        text_dump.write_graph_lines(g, path, vertex_text=F.col("seg"), edge_text=F.col("w").cast("bigint"))
+        return cut(spark.read.text(path).select(F.col("value").alias("line")))
+    finally:
+        delete_path(spark, path)
 
 
 @query
