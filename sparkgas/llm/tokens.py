@@ -13,10 +13,11 @@ import json
 import os
 import string
 import unicodedata
+from collections.abc import Iterable
 
 import regex
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 40
 MARKS = "".join(c for c in string.punctuation if c != "'")  # with an apostrophe some letters are a piece
 SPECIAL_CASE = {"Σ", "İ"}  # lower-cased in more than one way
@@ -184,7 +185,7 @@ class IdCache:
         held, ends = ids.tobytes(), ends.tolist()
         return [held[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
         if len(self.letters) > REMEMBERED:
             self.letters = {"": b""}
         letters, apart, whole, fresh = self.letters, [], [], {}
