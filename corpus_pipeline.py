@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.llm import decontaminate, packing, pii, quality_classifier, simhash
 from sparkgas.llm.common import table
-from sparkgas.plans.cluster import cut, scratch_path
+from sparkgas.plans.cluster import cut, delete_path, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(written[-1])
         docs = spark.read.parquet(written[-1])
     pieces = cut(STAGES[-1][1](spark, docs, sf_dir))
-    for path in map(spark._jvm.org.apache.hadoop.fs.Path, written):
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in written:
+        delete_path(spark, path)
     return pieces
