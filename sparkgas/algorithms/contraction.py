@@ -8,7 +8,7 @@ component, with its smallest id in the middle, and never add edges.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkgas.plans.cluster import Scratch, cut, drop
@@ -32,10 +32,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(smallest.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and checksum; equal before and after a round only at the end."""
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, with their count and checksum: equal before and after a round only at the end."""
+    seen = Observation()
     digest = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count("*"), digest).first())
+    written = cut(edges.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")))
+    return written, (seen.get["n"], seen.get["digest"])
 
 
 def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, int]:
@@ -55,15 +57,14 @@ def star_labels(edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[D
 
 def _contracted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, int]:
     known = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-    now = cut(known.select(*_ordered(F.col(src), F.col(dst))).distinct())
-    state, rounds = _state(now), 0
+    now, state = _written(known.select(*_ordered(F.col(src), F.col(dst))).distinct())
+    rounds = 0
     while state[0]:
         large = cut(_large_star(now))
-        small = cut(_small_star(large))
+        small, after = _written(_small_star(large))
         drop(now)
         drop(large)
-        now, before, rounds = small, state, rounds + 1
-        state = _state(now)
+        now, before, state, rounds = small, state, after, rounds + 1
         if state == before:
             break
     return now, rounds
