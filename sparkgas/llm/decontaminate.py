@@ -184,7 +184,8 @@ def look_up(index: DataFrame, plans: list, slop: int = 0, every_doc: bool = True
                     starts, exact = _intersect(lists, terms, offsets, slop)
                     if not len(starts):
                         continue
-                    docs = np.searchsorted(doc_starts, starts, "right") - 1
+                    # the rarest term lies in the document, a displaced window may start before it
+                    docs = np.searchsorted(doc_starts, starts + offsets[0], "right") - 1
                     for doc, start, hit in zip(docs.tolist(), (starts - doc_starts[docs]).tolist(), exact.tolist()):
                         if hit:
                             covered.setdefault(doc, []).append((start, start + size))
