@@ -105,7 +105,7 @@ class Packer:
         left = np.array([tokens, limits.segments, limits.loss_tokens], float)
         need = np.array([(p.size, 1, p.loss(p.size)) for p in parts], float)
         cut = np.array([p.loss_from - p.start for p in parts])
-        open_, offset = np.ones(len(parts), bool), 0
+        open_, offset, placed = np.ones(len(parts), bool), 0, []
         while left.min() >= 0 and left[0] > 0 and left[1] > 0 and open_.any():
             fits = open_ & (need <= left).all(axis=1)
             if left[1] == 1:  # the last segment: only one that fills up the tokens will do
@@ -123,15 +123,31 @@ class Packer:
                     break
             loss = parts[at].loss(n)
             self._place(parts[at], n, offset)
+            placed.append((parts[at], n))
             offset += n
             left -= (n, 1, loss)
             need[at] = (parts[at].size, 1, parts[at].loss(parts[at].size))
             cut[at] = parts[at].loss_from - parts[at].start
             open_[at] = False
+        if offset < limits.tokens:
+            offset = self._shorten(placed, offset)
         self.held -= offset
         self.next_id += 1
         self.waiting = [p for p in parts if p.size]
 
+    def _shorten(self, placed: list[tuple[Part, int]], total: int) -> int:
+        """Take back the last tokens of a sequence that a limit ended early, until its length is a power of two."""
+        short = 1 << (total.bit_length() - 1) if total else 0
+        while total > short:
+            part, n = placed.pop()
+            self.rows.pop()
+            part.start -= n
+            total -= n
+            if total < short:
+                self._place(part, short - total, total)
+                total = short
+        return total
+
     def take(self) -> list[tuple]:
         rows, self.rows = self.rows, []
         return rows
