@@ -109,7 +109,7 @@ MORE = (
     ),
     Kind(
         "secret",
-        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,128}+(?![A-Za-z0-9+/_-])",
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}+",
         r"[A-Za-z0-9+/_-]{24}",
         lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]"),
         score=0.3,
