@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkgas.llm import chat_format, decontaminate, lm_scoring, packing, pii, quality_classifier, quality_rules, simhash, token_counts, url_filter
+from sparkgas.llm import (
+    chat_format,
+    decontaminate,
+    fingerprints,
+    lm_scoring,
+    packing,
+    pii,
+    prefix_trie,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    structure_repair,
+    token_counts,
+    url_filter,
+)
 from sparkgas.llm.common import table
+from sparkgas.plans.cluster import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +157,22 @@ def op7_lm_scoring(spark, sf_dir):
 @query
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fingerprints(spark, sf_dir):
+    return fingerprints.with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    encoded = cut(prefix_trie.encode(table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(prefix_trie.share_heads(encoded))
+
+
+@query
+def op13_structure_repair(spark, sf_dir):
+    damaged = structure_repair.damage(table(spark, sf_dir, "conversations"))
+    lines = F.array_join(F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat_ws(":", t["roles"], t["texts"])), "\n")
+    found = structure_repair.repair(damaged)
+    return found.select(*found.columns[:8], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
