@@ -72,8 +72,8 @@ def share_heads(encoded: DataFrame, group: int = 5, most: int = SHARED) -> DataF
     c = F.col("conv_id")
     h = (F.crc32(c.cast("string").cast("binary")) % (most + 1)).cast("int")
     first = lambda name: F.slice(name, 1, most).alias(f"head_{name}")
-    heads = encoded.where(c % group == 0).select(c.alias("head"), first("ids"), first("sizes"))
-    own = encoded.withColumns({"head": c - c % group, "h": h})
+    heads = encoded.where(F.pmod(c, F.lit(group)) == 0).select(c.alias("head"), first("ids"), first("sizes"))
+    own = encoded.withColumns({"head": c - F.pmod(c, F.lit(group)), "h": h})
     none = F.array().cast("array<bigint>")
 
     def joined(name: str) -> Column:

@@ -23,6 +23,7 @@ from sparkgas.llm import (
     url_filter,
 )
 from sparkgas.llm.common import table
+from sparkgas.llm.sql import PREFIX_TRIE, STRUCTURE_REPAIR
 from sparkgas.plans.cluster import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +177,7 @@ def op13_structure_repair(spark, sf_dir):
     lines = F.array_join(F.transform(F.arrays_zip("roles", "texts"), lambda t: F.concat_ws(":", t["roles"], t["texts"])), "\n")
     found = structure_repair.repair(damaged)
     return found.select(*found.columns[:8], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+ORACLES["op12_prefix_trie"] = PREFIX_TRIE
+ORACLES["op13_structure_repair"] = STRUCTURE_REPAIR
