@@ -11,6 +11,7 @@ of the larger ones.
 
 from __future__ import annotations
 
+import gc
 import json
 
 import numpy as np
@@ -25,7 +26,7 @@ LONG_WORD, WINDOW = 32, 8  # longer words, in code points, count as their window
 KNOWN = 1 << 16  # weighted terms whose samples a task remembers
 SAMPLED = 64  # sampled keys for each range of documents; they only set the bounds of the ranges
 MOST_RANGES = 20_000
-TOGETHER = 64  # new terms that are drawn in one step
+TOGETHER = 128  # new terms that are drawn in one step
 GOLDEN = np.uint32(0x9E3779B9)
 
 
@@ -59,7 +60,7 @@ def draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.
     at = np.arange(5 * samples, dtype=np.uint32) * GOLDEN
     bits = _mixed(low[:, None] + at[None, :], high[:, None])
     bits >>= np.uint32(9)
-    u = bits.astype(np.float32)
+    u = bits.view(np.int32).astype(np.float32)
     u += np.float32(0.5)
     u *= np.float32(2.0**-23)
     u = u.reshape(len(hashes), 5, samples)
@@ -92,19 +93,21 @@ class Signer:
     def _places(self, some: list) -> list[int]:
         import xxhash
 
-        new = [term for term in some if term not in self.place]
+        places = list(map(self.place.get, some))
+        if None not in places:
+            return places
+        new = [term for term, place in zip(some, places) if place is None]
         if len(self.place) + len(new) > self.known:
             self.place, new = {}, some
-        if new:
-            first = len(self.place)
-            to = first + len(new)
-            self.hashes[first:to] = [xxhash.xxh64_intdigest(t, self.seed) for t, _ in new]
-            weights = 1 + np.log([n for _, n in new])
-            for at in range(0, len(new), TOGETHER):
-                rows = slice(first + at, min(first + at + TOGETHER, to))
-                self.hit[rows], self.step[rows] = sampled(self.hashes[rows], weights[at : at + TOGETHER], self.samples)
-            self.place.update(zip(new, range(first, to)))
-        return [self.place[term] for term in some]
+        first = len(self.place)
+        to = first + len(new)
+        self.hashes[first:to] = [xxhash.xxh64_intdigest(t, self.seed) for t, _ in new]
+        weights = 1 + np.log([n for _, n in new])
+        for at in range(0, len(new), TOGETHER):
+            rows = slice(first + at, min(first + at + TOGETHER, to))
+            self.hit[rows], self.step[rows] = sampled(self.hashes[rows], weights[at : at + TOGETHER], self.samples)
+        self.place.update(zip(new, range(first, to)))
+        return list(map(self.place.get, some))
 
     def sign(self, text: str) -> np.ndarray:
         """16 bits of the term and step that each sample keeps; all 0 without terms."""
@@ -233,6 +236,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id",
 
         import pyarrow as pa
 
+        gc.disable()  # nothing here refers to itself, and looking for that among many terms takes long
         names = [f.split()[0] for f in EDITED.split(", ")]
         types = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
         signer, held = Signer(samples), None
@@ -256,6 +260,7 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES, id_col: str = "doc_id",
                 held = None if head else (number, key["doc_id"], text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        gc.enable()
         if held is not None:
             raise ValueError("a range of documents has lost the head of the next one")
 
