@@ -64,7 +64,7 @@ def connected_components(
 
 
 def _contracted(graph: PropertyGraph) -> GasResult:
-    labels, rounds = star_labels(graph.inner_edges())
+    labels, rounds = star_labels(graph.inner_edges(), rows_per_piece=graph.rows_per_piece)
     vertices = graph.vertices.select("id").join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
     return GasResult(graph.with_vertices(vertices), rounds, converged=True)
 

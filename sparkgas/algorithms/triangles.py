@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkgas.functions.columns import half
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.messages import aggregate_messages
 from sparkgas.plans.cluster import cut
+from sparkgas.plans.skew import ROWS_PER_PIECE, HotKeys, piece_rows, spread_join
 
 
 def canonical_pairs(edges: DataFrame) -> DataFrame:
@@ -30,10 +31,12 @@ def triangles(graph: PropertyGraph, pairs: DataFrame | None = None) -> DataFrame
     ``pairs`` are the :func:`canonical_pairs` of the graph, if they are at hand.
     """
     pairs = cut(canonical_pairs(graph.inner_edges())) if pairs is None else pairs
-    sizes = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    counted = pairs.select(F.explode(F.array("lo", "hi")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    sizes, (rows, most) = _observed(counted, F.sum("n"), F.max("n"))
+    hot = _heavy(sizes, "n", rows, most, graph.rows_per_piece)
     sized = pairs
     for end in ("lo", "hi"):
-        sized = sized.join(sizes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), end)
+        sized = spread_join(sized, sizes.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n")), [end], hot=hot)
     lo_first = (F.col("lo_n") < F.col("hi_n")) | ((F.col("lo_n") == F.col("hi_n")) & (F.col("lo") < F.col("hi")))
     oriented = cut(
         sized.select(
@@ -46,20 +49,43 @@ def triangles(graph: PropertyGraph, pairs: DataFrame | None = None) -> DataFrame
     return _paths(oriented, onward, graph.rows_per_piece).join(closing, ["a", "c"]).select("a", "b", "c")
 
 
-def _paths(into: DataFrame, out: DataFrame, rows_per_piece: int) -> DataFrame:
+def _observed(df: DataFrame, *values) -> tuple[DataFrame, list[int]]:
+    """``df`` written, and some aggregates of it (0 for none) seen while it is."""
+    seen = Observation()
+    written = cut(df.observe(seen, *(v.alias(f"v{i}") for i, v in enumerate(values))))
+    return written, [seen.get[f"v{i}"] or 0 for i in range(len(values))]
+
+
+def _heavy(sizes: DataFrame, column: str, rows: int, most: int, rows_per_piece: int | None) -> HotKeys:
+    """The ids of a written table whose size is above that of a piece: a bounded list, fetched only if there are any."""
+    piece = piece_rows(rows, rows_per_piece)
+    if most <= piece:
+        return HotKeys(["_k0"], None)
+    top = sizes.where(F.col(column) > piece).select(F.col("id").alias("_k0"), F.ceil(F.col(column) / piece).cast("int").alias("_pieces"))
+    return HotKeys(["_k0"], sizes.sparkSession.createDataFrame(top.collect(), top.schema))
+
+
+def _paths(into: DataFrame, out: DataFrame, rows_per_piece: int | None) -> DataFrame:
     """``(a, b, c)`` of all two-step paths.
 
-    The incoming pairs of a middle vertex are dealt over its pieces, and its
-    outgoing ones copied to each, so that a piece makes about ``rows_per_piece``
-    paths, or those of one incoming pair if that has more.
+    Where a middle vertex has many of them, its incoming pairs are dealt over
+    pieces, and its outgoing ones copied to each, so that a piece makes about
+    ``rows_per_piece`` paths, or those of one incoming pair if that has more.  The
+    piece numbers reach the rows of vertices with very many pairs by broadcast.
     """
     ends = into.select(F.col("b").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(
         out.select(F.col("b").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"))
     )
-    degrees = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    pieces = F.least(F.ceil(F.col("i") * F.col("o").cast("double") / rows_per_piece), F.col("i")).cast("bigint")
-    middle = degrees.where("i > 0 and o > 0").select(F.col("id").alias("b"), pieces.alias("pieces"))
-    dealt = into.join(middle, "b").withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces")))
+    counted = ends.groupBy("id").agg(F.sum("i").alias("i"), F.sum("o").alias("o")).where("i > 0 and o > 0")
+    made = F.col("i") * F.col("o").cast("double")
+    degrees, (rows, most, paths) = _observed(counted, F.sum("i"), F.max("i"), F.max(made))
+    piece = rows_per_piece or ROWS_PER_PIECE
+    if paths <= piece:
+        return into.join(out, "b").select("a", "b", "c")
+    pieces = F.least(F.ceil(made / piece), F.col("i")).cast("bigint")
+    middle = degrees.select(F.col("id").alias("b"), pieces.alias("pieces"))
+    hot = _heavy(degrees, "i", rows, most, rows_per_piece)
+    dealt = spread_join(into, middle, ["b"], hot=hot).withColumn("piece", F.pmod(F.xxhash64("a"), F.col("pieces")))
     copied = out.join(middle, "b").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
     return dealt.select("a", "b", "piece").join(copied.select("b", "c", "piece"), ["b", "piece"]).select("a", "b", "c")
 
