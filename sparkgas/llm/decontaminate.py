@@ -315,12 +315,13 @@ def _together(found: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that hold a window of a benchmark item, all columns kept.
+    """``docs`` without the rows whose own text holds a window of a benchmark item, all columns kept.
 
-    A null id is replaced by a number made of the text for this; rows with equal
-    ids go together.
+    A row is judged by its text alone, named by a hash of it, so rows with equal or
+    null ids do not touch each other.  Null and empty texts stay; an empty table on
+    either side changes nothing.
     """
-    own = F.coalesce(F.col(id_col), F.xxhash64(text_col))
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     found = decontaminate(docs.select(own.alias("doc_id"), F.col(text_col).alias("text")), benchmark, size, slop=0)
     hit = cut(found.where(F.size("ranges") > 0).select(F.col("doc_id").alias("_own")).distinct())
     kept = docs.select(F.struct("*").alias("_doc"), own.alias("_own")).join(hit, "_own", "left_anti")

@@ -59,16 +59,23 @@ def fingerprint(text: str, size: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """``(doc_id, fp)``, the fingerprint as a signed 64-bit number.  A null text is an empty one."""
-    bounded_batches(docs.sparkSession)
+    return _marked(texts(docs, id_col, text_col), size)
+
+
+def _marked(rows: DataFrame, size: int = 3) -> DataFrame:
+    """``rows`` with ``fp`` in place of ``text``."""
+    bounded_batches(rows.sparkSession)
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
 
     def make(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(make, "doc_id bigint, fp bigint")
+    return rows.mapInArrow(make, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", fp bigint")
 
 
 def bit_statistics(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -213,6 +220,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def components(marked: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(fp, root)``: for every distinct fingerprint of written ``(…, fp)`` rows, the smallest one it is linked to."""
+    distinct = cut(marked.select("fp").distinct())
+    labels, _ = star_labels(links(distinct, distance))
+    return distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("root"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = DISTANCE
 ) -> DataFrame:
@@ -224,29 +238,36 @@ def near_duplicates(
     component has none; an empty table gives no rows; other columns are ignored.
     """
     marked = cut(fingerprints(docs, id_col, text_col, size))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels, _ = star_labels(links(distinct, distance))
-    rooted = distinct.join(labels.withColumnRenamed("id", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("label", "fp").alias("root")
-    )
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rooted = cut(components(marked, distance).join(first, "fp"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = cut(rooted.join(roots, "root").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the smallest id of every group of near-duplicates, all columns kept.
+    """``docs`` with one row of every group of near-duplicates, all columns kept.
 
-    A null id is replaced by a number made of the text for this; rows with equal
-    ids in one group are copies of each other, of which one stays.
+    The row with the smallest id stays, then that with the smallest hash of its
+    text, then that with the smallest hash of all columns; null ids come last.  Groups
+    are made of texts alone: rows with equal ids and unrelated texts are in groups of
+    their own, and each group keeps a row.  Null and empty texts are one group.  An
+    empty table gives no rows.
     """
-    own = F.coalesce(F.col(id_col), F.xxhash64(text_col))
-    found = cut(near_duplicates(docs.select(own.alias("doc_id"), F.col(text_col).alias("text"))))
-    winners = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    keyed = docs.select(F.struct("*").alias("_doc"), own.alias("_own"))
-
-    def of(ids: DataFrame) -> DataFrame:
-        return keyed.join(ids.select(F.col("doc_id").alias("_own")), "_own", "left_semi")
-
-    kept = of(winners.where("n = 1")).unionByName(of(winners.where("n > 1")).dropDuplicates(["_own"]))
-    return kept.select(*(F.col("_doc")[c].alias(c) for c in docs.columns))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"))
+    marked = cut(_marked(docs.select(key.alias("key"), text.alias("text"))))
+    # a text has one fingerprint, so a key is in one group and names the first of just one
+    best = marked.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    rooted = components(marked).join(best, "fp")
+    winners = rooted.groupBy("root").agg(F.min("key").alias("key")).select("key")
+    counted = cut(marked.join(winners, "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
+    keyed = docs.select(F.struct("*").alias("_doc"), key.alias("_key"))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return keyed.join(keys.select(F.col("key").alias("_key")), "_key", "left_semi")
+
+    alone = of(counted.where("n = 1")).select("_doc")
+    # repeated rows are combined before they are exchanged
+    repeated = of(counted.where("n > 1")).groupBy("_key").agg(F.min_by("_doc", F.xxhash64("_doc")).alias("_doc")).select("_doc")
+    return alone.unionByName(repeated).select(*(F.col("_doc")[c].alias(c) for c in docs.columns))

@@ -80,4 +80,4 @@ def test_registered_once():
 
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] and "pipeline" in names
-    assert len({n.split("_")[0] for n in names if n.startswith("op")}) == 10
+    assert len({n.split("_")[0] for n in names if n.startswith("op")}) == 13
