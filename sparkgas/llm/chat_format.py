@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkgas.llm.common import chunked, let, part_of, scan
+
 OPEN, MARK, CLOSE = "### ", ":\n", "\n</turn>\n"
 CONTROL = r"(###|</turn>)"
 TURNS = "array<struct<role:string,text:string>>"
@@ -104,21 +106,24 @@ def format_chats(
 
 
 def _loss_spans(turns: Column, parts: Column, loss_roles: tuple[str, ...]) -> Column:
-    spans = "array<struct<start:bigint,end:bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(spans).alias("out"))
+    own = F.zip_with(turns, parts, lambda t, p: F.struct(t["role"].alias("role"), p.alias("part")))
 
-    def step(s: Column, x: Column) -> Column:
-        length = F.length(x["part"])
-        head = F.length(F.substring_index(x["part"], "\n", 1)) + 1
-        own = F.struct((s["at"] + head).alias("start"), (s["at"] + length - len(CLOSE)).alias("end"))
-        out = F.when(x["role"].isin(*loss_roles), F.concat(s["out"], F.array(own))).otherwise(s["out"])
-        return F.struct((s["at"] + length).alias("at"), out.cast(spans).alias("out"))
+    def placed(starts: Column) -> Column:
+        spans = F.zip_with(
+            own,
+            starts,
+            lambda x, at: F.struct(
+                x["role"].isin(*loss_roles).alias("loss"),
+                (at + F.length(F.substring_index(x["part"], "\n", 1)) + 1).alias("start"),
+                (at + F.length(x["part"]) - len(CLOSE)).alias("end"),
+            ),
+        )
+        return F.transform(F.filter(spans, lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
-    pairs = F.zip_with(turns, parts, lambda t, p: F.struct(t["role"].alias("role"), p.alias("part")))
-    return F.aggregate(pairs, zero, step, lambda s: s["out"])
+    return let(scan(F.transform(parts, F.length)), placed).cast("array<struct<start:bigint,end:bigint>>")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    own = lambda s: unescape_text(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    return F.array_join(F.transform(spans, own), "")
+    own = lambda chunks: F.transform(spans, lambda s: unescape_text(part_of(chunks, s["start"], s["end"])))
+    return F.array_join(let(chunked(formatted), own), "")

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgas.llm.common import texts
+from sparkgas.llm.common import chunked, let, part_of, scan, texts
 
 SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 AROUND = 48  # code points before a span that are searched for context words
@@ -128,18 +128,31 @@ MORE = (
 
 
 def _placed(text: Column, kind: Kind) -> Column:
-    """``(start, match)`` of all matches from left to right: what lies between them tells where they are."""
+    """``(start, match, before)`` of all matches from left to right: what lies between them tells where they are.
+
+    ``before`` are the ``AROUND`` code points before a match, put together from the
+    ends of the pieces before it, so that nothing is looked up from the text's start.
+    """
     matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     between = F.split(text, kind.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
+    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("match"), b.alias("between")))
 
-    def step(s: Column, pair: Column) -> Column:
-        at = s["at"] + F.length(pair["between"])
-        placed = F.struct(at.alias("start"), pair["match"].alias("match"))
-        return F.struct((at + F.length(pair["match"])).alias("at"), F.concat(s["out"], F.array(placed)).alias("out"))
+    def of(pairs: Column) -> Column:
+        ends = F.transform(
+            pairs, lambda p, i: F.right(F.concat(F.coalesce(F.get(pairs, i - 1)["match"], F.lit("")), p["between"]), F.lit(AROUND))
+        )
+        # every piece but the first has a match, and so at least one code point
+        before = lambda ends, i: F.right(F.array_join(F.slice(ends, F.greatest(i - AROUND, F.lit(0)) + 1, F.least(i + 1, F.lit(AROUND + 1))), ""), F.lit(AROUND))
+        starts = scan(F.transform(pairs, lambda p: F.length(p["between"]) + F.length(p["match"])))
+        placed = lambda starts, ends: F.transform(
+            pairs,
+            lambda p, i: F.struct(
+                (F.get(starts, i) + F.length(p["between"])).cast("int").alias("start"), p["match"].alias("match"), before(ends, i).alias("before")
+            ),
+        )
+        return let(starts, lambda starts: let(ends, lambda ends: placed(starts, ends)))
 
-    pairs = F.zip_with(matches, F.slice(between, F.lit(1), F.size(matches)), lambda m, b: F.struct(m.alias("match"), b.alias("between")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+    return let(pairs, of)
 
 
 def _spans(kind: Kind) -> Column:
@@ -147,9 +160,7 @@ def _spans(kind: Kind) -> Column:
     text = F.col("text")
 
     def scored(x: Column) -> Column:
-        first = F.greatest(x["start"] - AROUND, F.lit(0))
-        before = F.substring(text, first + 1, x["start"] - first)
-        near = F.regexp_like(before, F.lit(rf"(?i)(?<![a-z])(?:{kind.words})")) if kind.words else F.lit(False)
+        near = F.regexp_like(x["before"], F.lit(rf"(?i)(?<![a-z])(?:{kind.words})")) if kind.words else F.lit(False)
         score = F.lit(kind.score) + F.when(near, kind.context).otherwise(0.0)
         return F.struct(
             F.lit(kind.name).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), score.alias("score")
@@ -189,14 +200,21 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans by that of the first."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        shown = F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(s["at"], -x["end"]).alias("at"), F.when(x["start"] >= s["at"], shown).otherwise(s["out"]).alias("out"))
+    def clean(ordered: Column) -> Column:
+        # how far the spans before each one reach, and all of them
+        reach = scan(F.concat(F.transform(ordered, lambda s: -s["end"]), F.array(F.lit(0))), F.greatest)
+
+        def shown(reach: Column, chunks: Column) -> Column:
+            own = lambda s, i: F.when(
+                s["start"] >= F.get(reach, i), F.concat(part_of(chunks, F.get(reach, i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            ).otherwise("")
+            last = part_of(chunks, F.element_at(reach, -1), F.length(text))
+            return F.concat(F.array_join(F.transform(ordered, own), ""), last)
+
+        return let(reach, lambda reach: let(chunked(text), lambda chunks: shown(reach, chunks)))
 
-    done = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(F.length(text) - s["at"], F.lit(0))))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, done))
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, clean))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = (*BASE, *MORE), text_col: str = "text") -> DataFrame:

@@ -95,9 +95,9 @@ def _scores(rows: DataFrame, ratios: DataFrame, small: bool) -> DataFrame:
     """``(page_id, url, copies, score)``: the mean log ratio of each distinct row."""
     placed = rows.select("page_id", "url", F.explode(grams(F.col("url"))).alias("gram"))
     joined = placed.join(F.broadcast(ratios) if small else ratios, "gram")
-    long = F.length(F.regexp_replace("url", r"^(?s:.*?)://", "")) + 1
-    summed = joined.groupBy("page_id", "url").agg(F.avg("ratio").alias("score"), F.count("*").alias("n"))
-    return summed.select("page_id", "url", (F.col("n") / long).cast("int").alias("copies"), "score")
+    # every row has one gram for its end
+    summed = joined.groupBy("page_id", "url").agg(F.avg("ratio").alias("score"), F.count_if(F.right("gram", F.lit(1)) == "$").alias("copies"))
+    return summed.select("page_id", "url", F.col("copies").cast("int").alias("copies"), "score")
 
 
 def best_threshold(bins: list) -> float:
