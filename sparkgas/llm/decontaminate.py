@@ -31,7 +31,7 @@ SEGMENTS = (
 )
 FOUND = (
     "segment bigint, place int, doc_id bigint, n_words bigint, starts array<int>, ends array<int>, "
-    "items array<string>, near_items array<string>"
+    "windows array<bigint>, near array<bigint>"
 )
 
 
@@ -115,7 +115,7 @@ class _numbers(dict):
 
 
 def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
-    """``(window, n, items)``: each distinct window of ``size`` words, or of all words of a shorter item, and who has it."""
+    """``(window, item)``: the distinct windows of ``size`` words of each item, or of all words of a shorter one."""
 
     def split(batches):
         import pyarrow as pa
@@ -131,7 +131,7 @@ def windows_of(items: DataFrame, size: int = 10) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(owners, pa.string())], ["window", "item"])
 
     named = items.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    return named.mapInArrow(split, "window string, item string").groupBy("window").agg(F.collect_set("item").alias("items"))
+    return named.mapInArrow(split, "window string, item string").distinct()
 
 
 def term_counts(index: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -143,33 +143,32 @@ def term_counts(index: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _plans(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(terms, offsets, items)`` per window that can occur, its terms from the rarest on."""
-    placed = windows.select("window", "items", F.posexplode(F.split("window", " ")).alias("at", "term"))
+    """``(number, terms, offsets)`` per window that can occur, its terms from the rarest on."""
+    placed = windows.select("number", F.posexplode(F.split("window", " ")).alias("at", "term"))
     return (
         placed.join(counts, "term", "left")
-        .groupBy("window")
+        .groupBy("number")
         .agg(
-            F.first("items").alias("items"),
             F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("by"),
         )
         .where(F.col("by")[0]["n"] > 0)
-        .select("items", F.col("by.term").alias("terms"), F.col("by.at").alias("offsets"))
+        .select("number", F.col("by.term").alias("terms"), F.col("by.at").alias("offsets"))
     )
 
 
 def look_up(index: DataFrame, plans: list, slop: int = 0, every_doc: bool = True) -> DataFrame:
     """Matches of some windows in every document of the index, one row per document.
 
-    ``starts`` and ``ends`` are the merged word ranges of exact matches, ``items``
-    whose windows they are; ``near_items`` have a window whose terms all lie at most
-    ``slop`` words from their places, the rarest one at its place.
+    ``starts`` and ``ends`` are the merged word ranges of exact matches, ``windows``
+    the numbers of the windows there; the terms of the windows in ``near`` all lie at
+    most ``slop`` words from their places, the rarest one at its place.
     """
 
     def match(batches):
         import pyarrow as pa
 
         names = [f.split()[0] for f in FOUND.split(", ")]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         asked = [(p[1], np.array(p[2], np.int32), len(p[1]), p[0]) for p in plans]
         for batch in batches:
             for row in batch.to_pylist():
@@ -179,8 +178,8 @@ def look_up(index: DataFrame, plans: list, slop: int = 0, every_doc: bool = True
                     lists[term] = np.cumsum(steps[at : at + n], dtype=np.int32)
                     at += n
                 doc_starts = np.array(row["doc_starts"], np.int32)
-                covered, items, near = {}, {}, {}
-                for terms, offsets, size, owners in asked:
+                covered, windows, near = {}, {}, {}
+                for terms, offsets, size, number in asked:
                     starts, exact = _intersect(lists, terms, offsets, slop)
                     if not len(starts):
                         continue
@@ -189,15 +188,15 @@ def look_up(index: DataFrame, plans: list, slop: int = 0, every_doc: bool = True
                     for doc, start, hit in zip(docs.tolist(), (starts - doc_starts[docs]).tolist(), exact.tolist()):
                         if hit:
                             covered.setdefault(doc, []).append((start, start + size))
-                            items.setdefault(doc, set()).update(owners)
+                            windows.setdefault(doc, set()).add(number)
                         else:
-                            near.setdefault(doc, set()).update(owners)
+                            near.setdefault(doc, set()).add(number)
                 out = []
                 for doc in range(len(doc_starts)) if every_doc else sorted({*covered, *near}):
                     ranges = _merged(covered.get(doc, ()))
                     out.append((
                         row["segment"], doc, row["doc_ids"][doc], row["doc_words"][doc],
-                        [a for a, _ in ranges], [b for _, b in ranges], sorted(items.get(doc, ())), sorted(near.get(doc, ())),
+                        [a for a, _ in ranges], [b for _, b in ranges], sorted(windows.get(doc, ())), sorted(near.get(doc, ())),
                     ))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(map(list, zip(*out)), types)], names)
@@ -258,11 +257,12 @@ def decontaminate(
     The windows are counted first.  Up to ``WINDOWS`` of them go to all tasks in
     one pass; more are looked up in blocks of that size, one pass each.  The index
     is written once to the checkpoint folder.  Only one row per document and pass
-    is exchanged.
+    is exchanged.  Tasks know windows by number; whose they are is joined afterwards.
     """
     if not 0 <= slop <= MOST_SLOP or not 1 <= size <= GAP - 2 * MOST_SLOP:
         raise ValueError(f"slop up to {MOST_SLOP} and windows up to {GAP - 2 * MOST_SLOP} words")
-    windows = cut(windows_of(texts(benchmark, item_col, item_text_col), size))
+    owned = cut(windows_of(texts(benchmark, item_col, item_text_col), size))
+    windows = cut(owned.select("window").distinct().withColumn("number", F.monotonically_increasing_id()))
     wanted = cut(windows.select(F.explode(F.split("window", " ")).alias("term")).distinct())
     n_terms, n_windows = wanted.count(), windows.count()
     vocabulary = frozenset(r[0].encode() for r in wanted.collect()) if n_terms <= VOCABULARY else None
@@ -278,6 +278,7 @@ def decontaminate(
         for more in passes[1:]:
             found = found.unionByName(more)
         found = _together(found)
+    found = _owners(cut(found), owned.join(windows, "window").select("number", "item"))
     return found.select(
         "doc_id",
         "n_words",
@@ -287,9 +288,26 @@ def decontaminate(
     )
 
 
+def _owners(found: DataFrame, owned: DataFrame) -> DataFrame:
+    """``items`` and ``near_items`` of each document, from a join of its windows with those of the items.
+
+    Only documents with a window are exchanged, one row per window and then one per item.
+    """
+    any_ = (F.size("windows") > 0) | (F.size("near") > 0)
+    place = ["segment", "place"]
+    marks = F.concat(*(F.transform(c, lambda w: F.struct(w.alias("number"), F.lit(exact).alias("exact"))) for c, exact in (("windows", True), ("near", False))))
+    pairs = found.where(any_).select(*place, F.explode(marks).alias("w")).select(*place, "w.number", "w.exact")
+    items = pairs.join(owned, "number").select(*place, "item", "exact").distinct().groupBy(*place).agg(
+        *(F.array_sort(F.collect_list(F.when(F.col("exact") == exact, F.col("item")))).alias(c) for c, exact in (("items", True), ("near_items", False)))
+    )
+    none = F.array().cast("array<string>")
+    without = found.where(~any_).select("doc_id", "n_words", "starts", "ends", none.alias("items"), none.alias("near_items"))
+    return without.unionByName(found.where(any_).join(items, place).select(*without.columns))
+
+
 def _together(found: DataFrame) -> DataFrame:
     """The rows of each document from several passes as one."""
-    lists = {c: F.flatten(F.collect_list(c)) for c in ("starts", "ends", "items", "near_items")}
+    lists = {c: F.flatten(F.collect_list(c)) for c in ("starts", "ends", "windows", "near")}
     rows = found.groupBy("segment", "place", "doc_id", "n_words").agg(*(v.alias(c) for c, v in lists.items()))
     ranges = F.array_sort(F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")))
     grown = lambda out, r: F.when(
@@ -308,8 +326,8 @@ def _together(found: DataFrame) -> DataFrame:
         .select(
             "segment", "place", "doc_id", "n_words",
             F.col("ranges.start").alias("starts"), F.col("ranges.end").alias("ends"),
-            F.array_sort(F.array_distinct("items")).alias("items"),
-            F.array_sort(F.array_distinct("near_items")).alias("near_items"),
+            F.array_distinct("windows").alias("windows"),
+            F.array_distinct("near").alias("near"),
         )
     )
 
