@@ -19,7 +19,7 @@ def shortest_paths(
 ) -> GasResult:
     """Distance from ``source`` along edges in either direction, as ``dist``.
 
-    Weights must not be negative.  Unreached vertices have NULL while the
+    A weight below 0 is an error, found when the edges are laid out.  Unreached vertices have NULL while the
     program runs; :func:`distances` shows them as -1.
     """
     program = Program(
@@ -31,6 +31,10 @@ def shortest_paths(
         scatter_dir="both",
         changes_only=True,
     )
+    checked = F.when(F.col(weight) >= 0, F.col(weight)).when(
+        F.col(weight) < 0, F.raise_error(F.concat(F.lit("negative weight: "), F.col(weight).cast("string"))).cast("double")
+    )
+    graph = graph.with_edges(graph.edges.withColumn(weight, checked))
     vertices = graph.vertices.select(
         "id", F.when(F.col("id") == source, 0.0).alias("dist"), F.lit(None).cast("double").alias("prev")
     )

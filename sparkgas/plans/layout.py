@@ -8,8 +8,6 @@ to the receivers.
 
 from __future__ import annotations
 
-import copy
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -79,14 +77,6 @@ class ArcLayout:
         self.all_arcs().count()
         kept.unpersist()
 
-    def only(self, column: str, value) -> ArcLayout:
-        """The same layout with a part of its arcs."""
-        part = copy.copy(self)
-        part.arcs = self.arcs.where(F.col(f"e_{column}") == value)
-        if self.hub_arcs is not None:
-            part.hub_arcs = self.hub_arcs.where(F.col(f"e_{column}") == value)
-        return part
-
     def all_arcs(self) -> DataFrame:
         return self.arcs if self.hub_arcs is None else self.arcs.unionByName(self.hub_arcs)
 

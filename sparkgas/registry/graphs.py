@@ -33,9 +33,9 @@ def order_succession(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
 
 def turn_chains(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Conversation turns, with an edge from each turn to the next one."""
+    """Conversation turns, with an edge from each turn to the next one.  Ids hold conversations of up to a million turns."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
-    turn_id = F.col("conv_id") * 100 + F.col("turn")
+    turn_id = F.col("conv_id") * 1_000_000 + F.col("turn")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), turn_id.alias("dst"))
     edges = turns.select("conv_id", "turn", turn_id.alias("src")).join(after, ["conv_id", "turn"])
     return PropertyGraph(turns.select(turn_id.alias("id")), edges.select("src", "dst"), complete=True)

@@ -345,7 +345,7 @@ st as (
     recursive=True,
 )
 ORACLES["connected_components_turns"] = (
-    "select conv_id * 100 + turn as id, min(conv_id * 100 + turn) over (partition by conv_id) as label from conversations"
+    "select conv_id * 1000000 + turn as id, min(conv_id * 1000000 + turn) over (partition by conv_id) as label from conversations"
 )
 add(
     "neighborhood_min_id",

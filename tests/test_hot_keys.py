@@ -87,3 +87,45 @@ def test_middle_vertices_with_many_paths(spark):
     out = spark.range(2000, 2030).select(F.lit(1000).cast("bigint").alias("b"), F.col("id").alias("c"))
     whole, cut_up = (triangles._paths(into, out, piece) for piece in (1_000_000, 100))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut_up.collect())) and whole.count() == 12_000
+
+
+def test_a_block_reads_its_own_arcs_and_senders(spark, monkeypatch):
+    """Input rows of a step: the arcs into its block, and one row for each sender of theirs."""
+    from sparkgas import Program, iterate_blocked
+    from sparkgas.plans import rounds
+
+    rnd = random.Random(12)
+    pairs = [(rnd.randrange(40), rnd.randrange(90, 100)) for _ in range(300)] + [(i, (i + 1) % 100) for i in range(100)]
+    graph = PropertyGraph(spark.range(100).withColumn("x", F.lit(1.0)), spark.createDataFrame(pairs, "src bigint, dst bigint"))
+    seen, gathered = [], rounds._Blocks.gathered
+
+    def spy(self, block, state):
+        arcs, senders = self.arcs(block), self.senders(block, state.schema)
+        files = [r[0] for df in (arcs, senders) for r in df.select(F.input_file_name()).distinct().collect()]
+        assert all(f"/_to={block}/" in f for f in files)
+        seen.append((block, arcs.count(), senders.count()))
+        return gathered(self, block, state)
+
+    monkeypatch.setattr(rounds._Blocks, "gathered", spy)
+    program = Program(gather=lambda t: t.src["x"], reducer=F.sum, default=0.0, apply=lambda v, acc: {"x": acc / 8 + 1})
+    found = {r.id: r.x for r in iterate_blocked(graph, program, 2, block_size=10).vertices.collect()}
+    want = {b: [p for p in pairs if p[1] // 10 == b] for b in range(10)}
+    assert seen == 2 * [(b, len(want[b]), len({s for s, _ in want[b]})) for b in range(10)]
+    x = [1.0] * 100
+    for _ in range(2):
+        for b in range(10):
+            new = {v: sum(x[s] for s, d in pairs if d == v) / 8 + 1 for v in range(10 * b, 10 * b + 10)}
+            for v, value in new.items():
+                x[v] = value
+    assert all(abs(found[v] - x[v]) < 1e-9 for v in range(100))
+
+
+def test_negative_weights_are_an_error(spark):
+    from sparkgas.algorithms import paths
+
+    edges = spark.createDataFrame([(1, 2, -1.0), (2, 3, 1.0)], "src bigint, dst bigint, w double")
+    graph = PropertyGraph(spark.range(1, 4), edges)
+    with pytest.raises(Exception, match="negative weight: -1.0"):
+        paths.shortest_paths(graph, 1)
+    missing = spark.createDataFrame([(1, 2, None), (2, 3, 1.0)], "src bigint, dst bigint, w double")
+    assert sorted(map(tuple, paths.distances(paths.shortest_paths(PropertyGraph(spark.range(1, 4), missing), 1)).collect())) == [(1, 0.0), (2, -1.0), (3, -1.0)]
