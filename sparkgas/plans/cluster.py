@@ -95,7 +95,25 @@ def cut_counting(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
     """:func:`cut`, and the number of rows whose ``flag`` is true, counted while they are written."""
     seen = Observation()
     written = cut(df.observe(seen, F.count_if(F.col(flag)).alias("n")))
-    return written, seen.get["n"]
+    return _without_estimates(written), seen.get["n"]
+
+
+def _without_estimates(written: DataFrame) -> DataFrame:
+    """The same written rows, without the size estimate and constraints of the plan that made them.
+
+    The estimate for a join is a product, so in a loop its digits double from round
+    to round, until planning a round takes minutes and then fails.
+    """
+    spark = written.sparkSession
+    java, rows = spark._jvm, written._jdf.queryExecution().analyzed()
+    none = java.scala.Option.empty()
+    fresh = java.org.apache.spark.sql.execution.LogicalRDD(
+        rows.output(), rows.rdd(), rows.outputPartitioning(), rows.outputOrdering(), False, none, spark._jsparkSession, none, none
+    )
+    out = DataFrame(java.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, fresh), spark)
+    for scope in Scratch._open.get()[-1:]:
+        scope.written = [out if w is written else w for w in scope.written]
+    return out
 
 
 def drop(df: DataFrame | None) -> None:

@@ -26,6 +26,7 @@ from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
 from sparkgas.plans.cluster import Scratch, cut, cut_counting, drop, fixed_layout, partitions_for
 from sparkgas.plans.layout import ArcLayout
+from sparkgas.plans.state import FEW, VertexState
 
 ACTIVE = "_active"
 
@@ -223,8 +224,8 @@ class ArcPlan:
         key = ["rcv_id", "_rpiece"] if hot else ["rcv_id"]
         return hot.spread(arcs, ["rcv_id"], "_rpiece").join(hot.copies(ends, ["rcv_id"], "_rpiece"), key)
 
-    def messages(self, state: DataFrame, first: bool) -> DataFrame:
-        arcs = self.layout.from_senders(self._senders(state, first))
+    def messages(self, state: DataFrame, first: bool, senders: DataFrame | None = None) -> DataFrame:
+        arcs = self.layout.from_senders(self._senders(state if senders is None else senders, first))
         arcs = self._with_receivers(arcs, state)
         if not first and self.program.changes_only and self.sig is not None and not self.sig_at_sender:
             arcs = arcs.where(self.sig)
@@ -246,11 +247,26 @@ class ArcPlan:
 
     def round(self, state: DataFrame, first: bool) -> DataFrame:
         acc = self.reduce(self.messages(state, first), first)
-        columns = self._once(
+        return state.join(acc, "id", "left").select(*self._merge_columns(state, first))
+
+    def _merge_columns(self, state: DataFrame, first: bool) -> list[Column]:
+        return self._once(
             ("merge", first),
             lambda: merged_columns(state, self.program.apply, self._active(first), self.program.default),
         )
-        return state.join(acc, "id", "left").select(*columns)
+
+    def next_rows(self, state: VertexState) -> DataFrame:
+        """All vertices after a round that is not the first."""
+        if not state.layers:
+            return self.round(state.base, False)
+        acc = self.reduce(self.messages(state.rows(), False, state.latest()), False)
+        return state.rows().join(acc, "id", "left").select(*self._merge_columns(state.base, False))
+
+    def changed_rows(self, state: VertexState) -> DataFrame:
+        """Only the vertices that such a round changes: those it makes active."""
+        acc = self.reduce(self.messages(state.rows(), False, state.latest()), False)
+        rows = state.look_up(acc.where("_sig")).where(self._active(False))
+        return rows.select(*self._merge_columns(state.base, False))
 
     def _active(self, first: bool) -> Column:
         if first:
@@ -271,31 +287,42 @@ def _run_arc_plan(graph, program, max_iter, on_limit, layout, scratch) -> GasRes
             layout.release()
     spark = graph.spark
     plan = ArcPlan(program, layout)
-    state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
+    start = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
     with fixed_layout(spark, layout.partitions):
+        state = VertexState(start, layout.partitions)
         history: list[int] = []
         iterations, converged = 0, None
-        if state.isEmpty():
+        if start.isEmpty():
             converged = True
         while converged is None and (max_iter is None or iterations < max_iter):
-            first = iterations == 0
-            state_next, n_active = cut_counting(plan.round(state, first), ACTIVE)
+            # with ``changes_only`` nobody else sends, and nobody but the newly active changes
+            few = iterations > 0 and program.changes_only and program.signal is not None
+            few = few and history[-1] <= FEW * history[0]
+            after = plan.changed_rows(state) if few else _round_of(plan, state, iterations)
+            written, n_active = cut_counting(after, ACTIVE)
             if n_active == 0:
                 converged = True
-                drop(state_next)
+                drop(written)
                 break
-            drop(state)
-            state = state_next
+            if few:
+                state.add(written, n_active)
+            else:
+                state.replace(written)
             iterations += 1
             history.append(n_active)
             if program.signal is None:
                 converged = True
         if converged is None and on_limit == "error":
-            if active_count(plan.round(state, iterations == 0)).first()[0]:
+            if active_count(_round_of(plan, state, iterations)).first()[0]:
                 raise NotConverged(f"still active after {max_iter} rounds")
             converged = True
-    scratch.keep(state)
-    return GasResult(graph.with_vertices(state.drop(ACTIVE)), iterations, history, converged)
+        final = state.settle()
+    scratch.keep(final)
+    return GasResult(graph.with_vertices(final.drop(ACTIVE)), iterations, history, converged)
+
+
+def _round_of(plan: ArcPlan, state: VertexState, iterations: int) -> DataFrame:
+    return plan.round(state.base, True) if iterations == 0 else plan.next_rows(state)
 
 
 def edge_columns_used(program: Program) -> list[str]:
