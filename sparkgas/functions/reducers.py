@@ -8,8 +8,10 @@ of the input.  All but :class:`Fold` also combine before they exchange.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,7 +145,8 @@ class Fold(Reducer):
     of a vertex, one for each partition or ``chunk`` messages.
 
     Spark has no partial step for a function it does not know, so the first
-    exchange moves every message once.  Use a built-in aggregate where one fits.
+    exchange moves every message once.  Use a built-in aggregate where one fits,
+    or :class:`VectorFold`, which folds before it exchanges.
     """
 
     def __init__(self, merge: Callable[[Column, Column], Column], chunk: int = 4096):
@@ -174,5 +177,75 @@ class Fold(Reducer):
         return df.withColumnRenamed(msg, out)
 
 
+class VectorFold(Reducer):
+    """Any commutative and associative function of two pandas Series, element by element.
+
+    Every task folds its messages as they come, in a table of at most ``bound``
+    keys and one Arrow batch; a fuller table is handed on and started anew.  So the
+    exchange moves at most one row for each task and key, or for each ``bound``
+    messages, and a vertex with very many messages is no heavier than others.
+    After the exchange the same fold goes over the rows in the order of their keys.
+
+    A flag is or-ed apart, from a second look at the messages.
+    """
+
+    def __init__(self, merge: Callable[[pd.Series, pd.Series], pd.Series], bound: int = 65_536):
+        self.merge = merge
+        self.bound = bound
+
+    def partial(self, msgs: DataFrame, keys: list[str], msg: str) -> DataFrame:
+        """Messages folded within their tasks, before any exchange."""
+        present = msgs.where(F.col(msg).isNotNull()).select(*keys, msg)
+        return present.mapInPandas(_folding(self.merge, keys, msg, self.bound, False), present.schema)
+
+    def reduce(self, msgs, keys, msg, out, flag=None):
+        partial = self.partial(msgs, keys, msg)
+        rows = partial.repartition(*keys).sortWithinPartitions(*keys)
+        sums = rows.mapInPandas(_folding(self.merge, keys, msg, self.bound, True), rows.schema).withColumnRenamed(msg, out)
+        if flag is None:
+            return sums
+        return msgs.groupBy(*keys).agg(F.bool_or(flag).alias(flag)).join(sums, keys, "left").select(*keys, out, flag)
+
+
+def _folding(merge, keys: list[str], msg: str, bound: int, ordered: bool):
+    """A function over batches that folds rows of equal keys; ``ordered`` if these come one after the other."""
+
+    def folded(rows: pd.DataFrame) -> pd.DataFrame:
+        code = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(code, kind="stable")
+        rows, code = rows.iloc[order].reset_index(drop=True), code[order]
+        while True:
+            # neighbours are merged in pairs, so a key of n rows is done after log2(n) passes
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
+            right = np.flatnonzero(place % 2 == 1)
+            if not len(right):
+                return rows
+            values = rows[msg]
+            merged = merge(values.iloc[right - 1].reset_index(drop=True), values.iloc[right].reset_index(drop=True))
+            values = values.copy()
+            values.iloc[right - 1] = merged.to_numpy()
+            rows = rows.assign(**{msg: values}).iloc[np.flatnonzero(place % 2 == 0)].reset_index(drop=True)
+            code = code[place % 2 == 0]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            held = folded(batch if held is None else pd.concat([held, batch], ignore_index=True))
+            if ordered:
+                # only the last key can go on in the next batch
+                yield held.iloc[:-1]
+                held = held.iloc[-1:]
+            elif len(held) > bound:
+                yield held
+                held = None
+        if held is not None:
+            yield held
+
+    return fold
+
+
 def as_reducer(how: Reducer | Callable[[Column], Column]) -> Reducer:
     return how if isinstance(how, Reducer) else Builtin(how)

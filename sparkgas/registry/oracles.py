@@ -157,6 +157,16 @@ add("reduce_edges", f"select sum(case when s.seg = d.seg then e.w else 0 end) as
 add("reduce_vertices", "select sum(round(bal)) as total from verts")
 add("reduce_vertices_fold", "select max(bal) as largest from verts")
 add("reducer_fold", "select dst as id, sum(w) as acc from edges group by 1")
+add(
+    "reducer_vector_fold",
+    """select id, max(w) as acc from (select src as id, w from edges union all select dst, w from edges) group by 1""",
+)
+TOPS = "t0 as (select id, id as top from verts)"
+for i in range(3):
+    TOPS += f""",
+t{i + 1} as (select c.id, greatest(c.top, m.x) as top from t{i} c
+        left join (select e.dst as id, max(s.top) as x from edges e join t{i} s on s.id = e.src group by 1) m on m.id = c.id)"""
+add("run_gas_vector_fold", "select id, top from t3", TOPS)
 add("group_then_reduce", f"select e.dst as id, round(sum(round(d.bal) + round(s.bal) / 2), 6) as acc {TRIPLETS} group by 1")
 add("partial_then_final", "select dst as id, sum(w) as total, count(*) as n from edges group by 1")
 add("active_count", "select count(*) as n_active from verts where seg = 'BUILDING'")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.algorithms import coloring, components, paths, ranking, triangles
 from sparkgas.functions.columns import any_true, min_nonneg, other_end, own_end
-from sparkgas.functions.reducers import Fold, Members
+from sparkgas.functions.reducers import Fold, Members, VectorFold
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators import derive, messages, triplets
 from sparkgas.plans.cluster import Scratch, cut, delete_path, scratch_path
@@ -379,6 +379,28 @@ def reducer_fold(spark, sf_dir):
     return messages.aggregate_messages(g, lambda t: t.edge["w"], plus, "in")
 
 
+@query
+def reducer_vector_fold(spark, sf_dir):
+    """A fold in Python that is combined before its exchange: the heaviest edge along both directions."""
+    g = order_succession(spark, sf_dir)
+    heavier = VectorFold(lambda a, b: a.where(a >= b, b))
+    return messages.aggregate_messages(g, lambda t: t.edge["w"], heavier, "both")
+
+
+@query
+def run_gas_vector_fold(spark, sf_dir):
+    """The same kind of fold inside a program: the largest id that reaches each customer."""
+    g = order_succession(spark, sf_dir)
+    program = Program(
+        gather=lambda t: t.src["top"],
+        reducer=VectorFold(lambda a, b: a.where(a >= b, b)),
+        apply=lambda v, acc: {"top": F.greatest(v["top"], acc)},
+        signal=lambda t: t.center["top"] > t.other["top"],
+    )
+    start = g.with_vertices(g.vertices.select("id", F.col("id").alias("top")))
+    return run_gas(start, program, max_iter=3, on_limit="return").graph.vertices
+
+
 @query
 def group_then_reduce(spark, sf_dir):
     g = order_succession(spark, sf_dir)
