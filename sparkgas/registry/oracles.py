@@ -266,6 +266,22 @@ st as (
 """,
     recursive=True,
 )
+add(
+    "run_gas_pandas_slots",
+    "select e.eid, round(e.w, 6) as w, round(v.value, 6) as value from w2 e join v2 v on v.id = e.dst",
+    """
+v0 as (select id, 1.0::double as value from verts),
+m0 as (select e.dst as id, max(floor(s.value * 0.5 + e.w)) as x from edges e join v0 s on s.id = e.src group by 1),
+v1 as (select v.id, greatest(v.value, coalesce(m.x, 0)) as value from v0 v left join m0 m on m.id = v.id),
+w1 as (select e.eid, e.src, e.dst, e.w + 1 + v.value % 2 as w from edges e join v0 v on v.id = e.dst),
+a1 as (select distinct e.dst as id from edges e join v1 s on s.id = e.src join v1 d on d.id = e.dst where s.value > d.value),
+m1 as (select e.dst as id, max(floor(s.value * 0.5 + e.w)) as x from w1 e join v1 s on s.id = e.src group by 1),
+v2 as (select v.id, case when v.id in (select id from a1) then greatest(v.value, coalesce(m.x, 0)) else v.value end as value
+       from v1 v left join m1 m on m.id = v.id),
+w2 as (select e.eid, e.dst, case when e.dst in (select id from a1) then e.w + 1 + v.value % 2 else e.w end as w
+       from w1 e join v1 v on v.id = e.dst)
+""",
+)
 FIXED = "r0 as (select id, 1.0::double as x from verts)"
 for i in range(5):
     FIXED += f""",

@@ -525,6 +525,37 @@ def run_gas_pandas(spark, sf_dir):
     return run_gas(start, program).graph.vertices.select("id", _r6("value"))
 
 
+@query
+def run_gas_pandas_slots(spark, sf_dir):
+    """Vectorised Python functions in the other slots: apply, signal and edge updates, for two rounds."""
+
+    @F.pandas_udf("double")
+    def larger(value: pd.Series, heard: pd.Series) -> pd.Series:
+        return value.where(value >= heard, heard)
+
+    @F.pandas_udf("boolean")
+    def above(a: pd.Series, b: pd.Series) -> pd.Series:
+        return a > b
+
+    @F.pandas_udf("double")
+    def aged(weight: pd.Series, value: pd.Series) -> pd.Series:
+        return weight + 1 + value % 2
+
+    g = order_succession(spark, sf_dir)
+    program = Program(
+        gather=lambda t: F.floor(t.src["value"] * 0.5 + t.edge["w"]).cast("double"),
+        reducer=F.max,
+        default=0.0,
+        apply=lambda v, acc: {"value": larger(v["value"], acc)},
+        signal=lambda t: above(t.center["value"], t.other["value"]),
+        gather_edge_update=lambda t: {"w": aged(t.edge["w"], t.center["value"])},
+    )
+    start = g.with_vertices(g.vertices.select("id", F.lit(1.0).alias("value")))
+    after = run_gas(start, program, max_iter=2, on_limit="return").graph
+    ends = after.vertices.select(F.col("id").alias("dst"), _r6("value"))
+    return after.edges.join(ends, "dst").select("eid", _r6("w"), "value")
+
+
 @query
 def iterate_fixed(spark, sf_dir):
     g = order_succession(spark, sf_dir)
