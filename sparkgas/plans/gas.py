@@ -26,9 +26,11 @@ from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import DIRECTIONS, PropertyGraph
 from sparkgas.plans.cluster import Scratch, cut, cut_counting, drop, fixed_layout, partitions_for
 from sparkgas.plans.layout import ArcLayout
-from sparkgas.plans.state import FEW, VertexState
+from sparkgas.plans.state import FEW, EdgePlaces, VertexState
 
 ACTIVE = "_active"
+NUMBER = "_eno"
+ONE = "_one"
 
 
 class NotConverged(RuntimeError):
@@ -89,6 +91,12 @@ class Program:
             ("both", "both"),
         )
 
+    @property
+    def visited_ends(self) -> tuple[str, ...]:
+        """The ends that edges are visited from, in a gather or a scatter."""
+        visits = {self.gather_dir, self.scatter_dir}
+        return tuple(end for end, way in (("src", "out"), ("dst", "in")) if visits & {way, "both"})
+
     def fits_arc_plan(self) -> bool:
         return not self.updates_edges and self.gather_dir != "none" and self.signals_follow_messages
 
@@ -352,11 +360,16 @@ class _TripletPlan:
 
     def cut_edges(self, rows: DataFrame) -> DataFrame:
         """Write the edges; what was written for them before is spent."""
-        if self._edges_written is not None:
-            self._spent.append(self._edges_written)
+        self.spend_edges()
         self._edges_written = cut(rows)
         return self._edges_written
 
+    def spend_edges(self) -> None:
+        """What was written last for the edges is spent too."""
+        if self._edges_written is not None:
+            self._spent.append(self._edges_written)
+            self._edges_written = None
+
     def drop_spent(self) -> None:
         for df in self._spent:
             drop(df)
@@ -368,6 +381,10 @@ class _TripletPlan:
             F.col("dst").alias("d_id"),
             *[F.col(f"`{c}`").alias(f"e_{c}") for c in self.edge_columns],
         )
+        return self.deal(rows)
+
+    def deal(self, rows: DataFrame) -> DataFrame:
+        """Give the edges of hot ends their pieces."""
         rows = self.hot["src"].spread(rows, ["s_id"], "_spiece")
         return self.hot["dst"].spread(rows, ["d_id"], "_dpiece")
 
@@ -427,8 +444,8 @@ class _TripletPlan:
         return df.select(*[f"`{c}`" for c in kept], *[f"`e_{c}`" for c in self.edge_columns], "_at_d", "_at_s")
 
     def _edge_rows(self, visited: DataFrame) -> list[str]:
-        pieces = [c for c in ("_spiece", "_dpiece") if c in visited.columns]
-        return ["s_id", "d_id", *pieces, *[f"`e_{c}`" for c in self.edge_columns]]
+        carried = [c for c in ("_spiece", "_dpiece", NUMBER) if c in visited.columns]
+        return ["s_id", "d_id", *carried, *[f"`e_{c}`" for c in self.edge_columns]]
 
     @staticmethod
     def _both_ways(visited: DataFrame, to_d: str, to_s: str, direction: str, value: str) -> DataFrame:
@@ -487,29 +504,108 @@ class _TripletPlan:
         return rows, merge_signals(applied, signalled)
 
 
+class _FewActive:
+    """Supersteps of the triplet plan while few vertices are active.
+
+    Only edges with an active end that is visited from are joined to their ends, and
+    only these edges and the active vertices are written, as layers above the
+    tables.  Both passes of a superstep visit from the same vertices, so they share their edges.
+    """
+
+    def __init__(self, plan: _TripletPlan, places: EdgePlaces, rows: DataFrame, state: DataFrame):
+        self.plan, self.places, self.partitions = plan, places, places.partitions
+        self.vertices = VertexState(state, self.partitions)
+        self.active = state.where(ACTIVE).select("id")
+        self.edges = VertexState(cut(self._by_number(rows)), self.partitions)
+        self._active_written: DataFrame | None = None
+        plan.spend_edges()
+        plan.drop_spent()
+
+    def _by_number(self, rows: DataFrame) -> DataFrame:
+        data = ["s_id", "d_id", *[f"`e_{c}`" for c in self.plan.edge_columns]]
+        rows = rows.select(F.col(NUMBER).alias("id"), *data)
+        return rows.repartition(self.partitions, "id").sortWithinPartitions("id")
+
+    def _rows(self, edges: DataFrame) -> DataFrame:
+        return self.plan.deal(edges.withColumnRenamed("id", NUMBER))
+
+    def _state(self) -> DataFrame:
+        """All vertices with their newest data and flag."""
+        return merge_signals(self.vertices.rows(), self.active)
+
+    def superstep(self) -> int:
+        """One superstep; returns how many vertices are active after it."""
+        plan, p = self.plan, self.plan.program
+        touched, _ = _written(self._rows(self.edges.look_up(self.places.touching(self.active))))
+        rows, acc = plan.gather(touched.drop(ONE), self._state())
+        changed = self.vertices.look_up(self.active).join(acc, "id", "left")
+        self.vertices.add(*_written(changed.select(*merged_columns(self.vertices.base, p.apply, F.lit(True), p.default))))
+        rows, signalled = plan.scatter(rows, self._state())
+        self.edges.add(*_written(self._by_number(rows)))
+        written, n_active = _written(signalled)
+        drop(self._active_written)
+        self._active_written, self.active = written, written.select("id")
+        plan.spend_edges()
+        drop(touched)
+        plan.drop_spent()
+        return n_active
+
+    def leave(self) -> tuple[DataFrame, DataFrame]:
+        """The edges and the vertices, as whole tables again."""
+        edges, before = self.edges.settle(), self.vertices.settle()
+        state, _ = cut_counting(merge_signals(before, self.active), ACTIVE)
+        drop(before)
+        drop(self._active_written)
+        self.plan.spend_edges()
+        self.plan._edges_written = edges
+        return self._rows(edges), state
+
+
+def _written(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` written, and their number."""
+    return cut_counting(rows.withColumn(ONE, F.lit(True)), ONE)
+
+
 def _run_triplet_plan(graph, program, max_iter, on_limit, scratch) -> GasResult:
     spark = graph.spark
     n = partitions_for(spark, max(graph.stats().n_edges, graph.n_vertices()))
     state = cut(graph.vertices.withColumn(ACTIVE, F.lit(True)))
+    places: EdgePlaces | None = None
+    few: _FewActive | None = None
     with fixed_layout(spark, n):
         plan = _TripletPlan(graph, program)
         rows = plan.start(graph.inner_edges())
-        # edges are state here; with data to update they are rewritten every round
         by_source = ["s_id", "_spiece"] if plan.hot["src"] else ["s_id"]
         rows = rows.repartition(n, *by_source).sortWithinPartitions(*by_source)
-        rows = plan.cut_edges(rows) if program.updates_edges else rows.persist(StorageLevel.MEMORY_AND_DISK)
+        if program.updates_edges:
+            # edges are state; numbered as they are written, so that layers can name them
+            rows = plan.cut_edges(rows.withColumn(NUMBER, F.monotonically_increasing_id()))
+        else:
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         resting = rows
         history: list[int] = []
         n_active = active_count(state).first()[0]
         iterations = 0
         while n_active and (max_iter is None or iterations < max_iter):
             history.append(n_active)
-            before = state
-            rows, state = plan.superstep(rows, state)
-            state, n_active = cut_counting(state, ACTIVE)
-            drop(before)
-            plan.drop_spent()
+            if program.updates_edges and program.visited_ends and n_active <= FEW * history[0]:
+                if few is None:
+                    places = places or EdgePlaces(rows, program.visited_ends, plan.hot, n)
+                    few = _FewActive(plan, places, rows, state)
+                n_active = few.superstep()
+            else:
+                if few is not None:
+                    rows, state = few.leave()
+                    few = None
+                before = state
+                rows, state = plan.superstep(rows, state)
+                state, n_active = cut_counting(state, ACTIVE)
+                drop(before)
+                plan.drop_spent()
             iterations += 1
+        if few is not None:
+            rows, state = few.leave()
+            plan.drop_spent()
     if n_active and on_limit == "error":
         raise NotConverged(f"still active after {max_iter} rounds")
     edges = plan.finish(rows) if program.updates_edges else graph.inner_edges()

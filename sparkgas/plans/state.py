@@ -1,15 +1,19 @@
-"""Vertex data of a loop, as one written table and the rows that changed since.
+"""Vertex or edge data of a loop, as one written table and the rows that changed since.
 
 Where only a few vertices change in a round, only these are written, as a layer
-above the table.  A vertex has the data of the newest layer that holds it.
+above the table.  A vertex has the data of the newest layer that holds it.  Edges that
+carry data go by their number, and are found from their active ends.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkgas.plans.cluster import cut, drop
+from sparkgas.plans.skew import HotKeys
 
 # A round whose senders are at most this share of the vertices writes a layer.
 FEW = 0.25
@@ -92,3 +96,35 @@ class VertexState:
         if self.layers:
             self.replace(cut(self.rows()))
         return self.base
+
+
+class EdgePlaces:
+    """Numbers of edges, resting by the ends they are visited from; edges keep their ends, so this is written once.
+
+    Edges of hot ends rest anywhere: the bounded list of hot ids that are active goes to them.
+    """
+
+    def __init__(self, rows: DataFrame, ends: tuple[str, ...], hot: dict[str, HotKeys], partitions: int):
+        self.partitions = partitions
+        self.places: list[tuple[str, DataFrame, DataFrame | None, DataFrame | None]] = []
+        for end in ends:
+            key = f"{end[0]}_id"
+            pairs = rows.select(key, F.col("_eno").alias("id"))
+            hub_ids = hub_pairs = None
+            if hot[end]:
+                hub_ids = hot[end].table.select(F.col("_k0").alias(key))
+                hub_pairs = cut(pairs.join(F.broadcast(hub_ids), key, "left_semi"))
+                pairs = pairs.join(F.broadcast(hub_ids), key, "left_anti")
+            pairs = cut(pairs.repartition(partitions, key).sortWithinPartitions(key))
+            self.places.append((key, pairs, hub_ids, hub_pairs))
+
+    def touching(self, active: DataFrame) -> DataFrame:
+        """``(id)``: the number of each edge that has an end in ``active``, once."""
+        found = []
+        for key, pairs, hub_ids, hub_pairs in self.places:
+            ends = active.select(F.col("id").alias(key))
+            found.append(pairs.join(ends, key, "left_semi").select("id"))
+            if hub_ids is not None:
+                hubs = ends.join(F.broadcast(hub_ids), key, "left_semi")
+                found.append(hub_pairs.join(F.broadcast(hubs), key, "left_semi").select("id"))
+        return reduce(DataFrame.unionByName, found).distinct()
