@@ -70,6 +70,8 @@ def read_edge_list_strict(
 
     Edges get ``eid``, their line number from 0; vertices are all ids from 0 to
     the largest, with degrees and the ``init`` data (expressions over ``id``).
+    The text is read once, while the graph is built; its rows are then kept with
+    their split and place, and the numbers of lines before a split are joined to them.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -78,18 +80,18 @@ def read_edge_list_strict(
         F.monotonically_increasing_id().alias("_at"),
     )
     edges = parse_edges(lines, "failfast", max_columns=3, keep=("_file", "_start", "_at"))
-    edges = edges.withColumn("payload", F.trim("payload"))
+    # the only pass over the text; a malformed line is an error, so every line has its row
+    edges = cut(edges.withColumn("payload", F.trim("payload")))
     # one row per input split: its first line and how many lines came before it
-    sizes = lines.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    sizes = edges.groupBy("_file", "_start").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
+    offsets = cut(
+        sizes.select("_file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset"))
     )
     numbered = edges.join(offsets, ["_file", "_start"]).select(
         "src", "dst", "payload", (F.col("_at") + F.col("_offset")).alias("eid")
     )
-    # written once: the largest id, the degrees and the edges all come from it
-    numbered = cut(_typed(numbered, parser))
+    numbered = _typed(numbered, parser)
     graph = PropertyGraph(densify_vertices(numbered), numbered, complete=True)
     vertices = degrees(graph)
     return graph.with_vertices(vertices.withColumns(init) if init else vertices)

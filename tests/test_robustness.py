@@ -227,3 +227,32 @@ def test_runs_clean_up(spark):
         except NotConverged:
             result = None
         assert held() - before <= most, result
+
+
+def test_strict_text_is_read_once(spark, tmp_path, monkeypatch):
+    """Line numbers over several files and splits, from one scan; the text may go afterwards."""
+    from sparkgas.sources import edge_list
+
+    plans = []
+    real = edge_list.cut
+    monkeypatch.setattr(
+        edge_list, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1]
+    )
+    rows = [(k % 17, k % 5, f" {k} ") for k in range(900)]
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    for i in range(3):
+        part = rows[300 * i : 300 * (i + 1)]
+        (folder / f"part-{i}.txt").write_text("".join(f"{s}\t{d}\t{p}\n" for s, d, p in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        g = edge_list.read_edge_list_strict(spark, str(folder), {"k": F.col("payload").cast("int")})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sum(plan.count("FileScan text") for plan in plans) == 1
+    for file in folder.iterdir():
+        file.write_text("")
+    got = sorted((r["eid"], r["src"], r["dst"], r["k"]) for r in g.edges.collect())
+    assert got == [(k, s, d, int(p)) for k, (s, d, p) in enumerate(rows)]
+    assert g.vertices.count() == 17
