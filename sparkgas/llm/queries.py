@@ -23,7 +23,7 @@ from sparkgas.llm import (
     url_filter,
 )
 from sparkgas.llm.common import table
-from sparkgas.llm.sql import PREFIX_TRIE, STRUCTURE_REPAIR
+from sparkgas.llm.sql import PREFIX_TRIE, QUALITY_RULES, STRUCTURE_REPAIR
 from sparkgas.plans.cluster import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,5 +179,6 @@ def op13_structure_repair(spark, sf_dir):
     return found.select(*found.columns[:8], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
 
 
+ORACLES["op1_quality_rules"] = QUALITY_RULES
 ORACLES["op12_prefix_trie"] = PREFIX_TRIE
 ORACLES["op13_structure_repair"] = STRUCTURE_REPAIR

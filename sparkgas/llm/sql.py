@@ -1,10 +1,63 @@
 """SQL for queries of training-data operators whose method has another plain form."""
 
+from sparkgas.llm.quality_rules import RULES, STOP_WORDS
+
 # the checksum that crc32 gives, over the ASCII characters of a column s
 CRC32 = """xor(list_reduce(range(0, 8 * length(s)), lambda acc, k:
         xor(xor(acc, (k % 8 = 0)::BIGINT * ascii(substr(s, k // 8 + 1, 1))) >> 1,
             3988292384 * (xor(acc, (k % 8 = 0)::BIGINT * ascii(substr(s, k // 8 + 1, 1))) & 1)), 4294967295), 4294967295)"""
 
+_BOUNDS = [f"{r.measure} {op} {bound}" for r in RULES for op, bound in ((">=", r.low), ("<=", r.high)) if bound is not None]
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS.split()))
+
+# windows of three words come from neighbouring rows; a measure without a value passes its bounds
+QUALITY_RULES = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), split AS (
+    SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+    FROM docs
+), placed AS (
+    SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split
+), windows AS (
+    SELECT rid, pos, word, word || ' ' || lead(word, 1) OVER own || ' ' || lead(word, 2) OVER own AS three
+    FROM placed WINDOW own AS (PARTITION BY rid ORDER BY pos)
+), found AS (
+    SELECT rid, pos, count(*) OVER (PARTITION BY rid, three) AS times FROM windows WHERE three IS NOT NULL
+), covered AS (
+    SELECT rid, count(DISTINCT pos + k) AS n_repeat_words FROM found, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY rid
+), stops AS (
+    SELECT rid, count(DISTINCT lower(word)) AS stop_words, count(*) AS stop FROM placed WHERE lower(word) IN ({_STOP}) GROUP BY rid
+), counted AS (
+    SELECT s.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        length(array_to_string(lines, '')) AS line_chars, length(array_to_string(list_distinct(lines), '')) AS new_line_chars,
+        coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(t.stop_words, 0) AS stop_words, coalesce(t.stop, 0) AS stop,
+        len(regexp_extract_all(text, '\p{{L}}[^\x20\x09-\x0D]*')) AS letter_words,
+        len(regexp_extract_all(text, '[!?][\x20\x09-\x0D]')) AS exclaimed,
+        length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS upper_chars,
+        len(list_filter(lines, lambda l: regexp_matches(l, '^[\x20\t]*[-*•]'))) AS bullets,
+        len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\t]*[\r\x{{85}}\x{{2028}}\x{{2029}}]?$'))) AS ellipses
+    FROM split s LEFT JOIN covered c USING (rid) LEFT JOIN stops t USING (rid)
+), ratios AS (
+    SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols / nullif(n_words, 0) AS symbol_word_ratio,
+        n_repeat_words / nullif(n_words, 0) AS repeat_word_ratio, stop / nullif(n_words, 0) AS stop_word_ratio,
+        n_dup_lines / nullif(n_lines, 0) AS dup_line_ratio, 1 - new_line_chars / nullif(line_chars, 0) AS dup_line_char_ratio,
+        bullets / nullif(n_lines, 0) AS bullet_line_ratio, ellipses / nullif(n_lines, 0) AS ellipsis_line_ratio,
+        letter_words / nullif(n_words, 0) AS letter_word_ratio, upper_chars / nullif(word_chars, 0) AS upper_char_ratio,
+        exclaimed / nullif(n_words, 0) AS exclaimed_word_ratio
+    FROM counted
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        {" AND ".join(f"coalesce({bound}, true)" for bound in _BOUNDS)} AS passed
+    FROM ratios
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed AS kept
+FROM judged
+"""
+
 PREFIX_TRIE = f"""
 WITH turns AS (
     SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS own
