@@ -136,6 +136,37 @@ class Members(Reducer):
         return msgs.groupBy(*keys).agg(F.bool_or(flag).alias(flag)).join(sets, keys, "left").select(*keys, out, flag)
 
 
+class MemberBlocks(Reducer):
+    """A function of the set of distinct messages, however many there are.
+
+    Messages are whole numbers.  A set is held as rows ``(key, block, members)``: block
+    ``b`` has the sorted members in ``[b * block_ids, (b + 1) * block_ids)``, so no row is
+    longer than that.  ``per_block(members)`` gives a value of each block, and the aggregate
+    ``combine`` brings the values of a key together.  A key without messages has none.
+    """
+
+    def __init__(self, per_block, combine, block_ids: int = 65_536):
+        self.per_block = per_block
+        self.combine = combine
+        self.block_ids = block_ids
+
+    def blocks(self, msgs, keys, msg, flag=None):
+        """``(*keys, _block, _members)``, with the flag of a block's messages; a block NULL holds none."""
+        told = [] if flag is None else [F.bool_or(flag).alias(flag)]
+        if flag is None:
+            msgs = msgs.where(F.col(msg).isNotNull())
+        once = msgs.groupBy(*keys, msg).agg(*told) if told else msgs.select(*keys, msg).distinct()
+        block = F.floor(F.col(msg) / self.block_ids).alias("_block")
+        return once.groupBy(*keys, block).agg(F.sort_array(F.collect_list(msg)).alias("_members"), *told)
+
+    def reduce(self, msgs, keys, msg, out, flag=None):
+        value = F.when(F.col("_block").isNotNull(), self.per_block(F.col("_members")))
+        told = [] if flag is None else [flag]
+        parts = self.blocks(msgs, keys, msg, flag).select(*keys, F.col("_block").isNotNull().alias("_any"), value.alias("_part"), *told)
+        whole = [F.count_if("_any").alias("_n"), self.combine(F.col("_part")).alias(out), *[F.bool_or(f).alias(f) for f in told]]
+        return parts.groupBy(*keys).agg(*whole).select(*keys, F.when(F.col("_n") > 0, F.col(out)).alias(out), *told)
+
+
 class Fold(Reducer):
     """Any commutative and associative function of two Columns.
 

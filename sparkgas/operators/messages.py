@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkgas.functions.reducers import Mex, Reducer, as_reducer
-from sparkgas.functions.triplet import Triplet
+from sparkgas.functions.reducers import MemberBlocks, Mex, Reducer, as_reducer
+from sparkgas.functions.triplet import End, Triplet
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators.triplets import by_direction, view_triplets
 
@@ -130,3 +130,24 @@ def neighbor_sets(graph: PropertyGraph, block_ids: int = BLOCK_IDS) -> DataFrame
         .groupBy("id", block.alias("block"))
         .agg(F.sort_array(F.collect_list("nbr")).alias("nbrs"))
     )
+
+
+def apply_by_block(
+    graph: PropertyGraph,
+    gather: Callable[[Triplet], Column],
+    per_block: Callable[[End, Column], Column],
+    combine: Callable[[Column], Column],
+    direction: str = "in",
+    block_ids: int = BLOCK_IDS,
+    out: str = "acc",
+) -> DataFrame:
+    """``(id, out)``: a function of each vertex and the set of its messages, without a bound on the set.
+
+    The set is a table of blocks (see :class:`MemberBlocks`); each block meets the data of
+    its vertex, ``per_block(v, members)`` is evaluated there, and ``combine`` aggregates the
+    values of a vertex.  Vertices without messages are in no row.
+    """
+    sets = MemberBlocks(None, None, block_ids).blocks(messages(graph, gather, direction), ["id"], "msg")
+    view = End(lambda name: F.col(f"`{name}`"))
+    joined = sets.join(graph.vertices, "id")
+    return joined.select("id", per_block(view, F.col("_members")).alias("_part")).groupBy("id").agg(combine(F.col("_part")).alias(out))

@@ -180,6 +180,20 @@ add(
     """select a as id, (b // 65536) as block,
        array_to_string(list_sort(list(distinct b)), ',') as nbrs from und group by 1, 2""",
 )
+add(
+    "apply_by_block",
+    """select a as id, count(*) filter (hit) as n, coalesce(sum(b) filter (hit), 0)::bigint as s
+       from (select a, b, b > a and b % 5 = a % 5 as hit from (select distinct a, b from und)) group by a""",
+)
+add(
+    "run_gas_set_blocks",
+    "select v.id, coalesce(r.value, 0) as value from verts v left join r2 r using (id)",
+    """
+r1 as (select a as id, count(distinct b) + sum(distinct b)::bigint % 1000 as value from und group by a),
+r2 as (select u.a as id, count(distinct r.value) + sum(distinct r.value)::bigint % 1000 as value
+  from und u join r1 r on r.id = u.b group by u.a)
+""",
+)
 add("distinct_pairs", "select distinct src, dst from edges")
 
 # --------------------------------------------------------------------------- iteration

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkgas.algorithms import coloring, components, paths, ranking, triangles
 from sparkgas.functions.columns import any_true, min_nonneg, other_end, own_end
-from sparkgas.functions.reducers import Fold, Members, VectorFold
+from sparkgas.functions.reducers import Fold, MemberBlocks, Members, VectorFold
 from sparkgas.graph import PropertyGraph
 from sparkgas.operators import derive, messages, triplets
 from sparkgas.plans.cluster import Scratch, cut, delete_path, scratch_path
@@ -462,6 +462,22 @@ def distinct_pairs(spark, sf_dir):
     return derive.distinct_pairs(order_succession(spark, sf_dir).edges.select("src", "dst"))
 
 
+@query
+def apply_by_block(spark, sf_dir):
+    """For each vertex, how many distinct neighbours of higher id agree with it modulo 5, and their sum."""
+    mine = lambda v, members: F.filter(members, lambda m: (m > v["id"]) & (m % 5 == v["id"] % 5))
+    sums = lambda ids: F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    found = messages.apply_by_block(
+        order_succession(spark, sf_dir),
+        lambda t: t.other["id"],
+        lambda v, members: F.struct(F.size(mine(v, members)).alias("n"), sums(mine(v, members)).alias("s")),
+        lambda part: F.struct(F.sum(part["n"]).alias("n"), F.sum(part["s"]).alias("s")),
+        "both",
+        block_ids=256,
+    )
+    return found.select("id", F.col("acc.n").alias("n"), F.col("acc.s").alias("s"))
+
+
 # --------------------------------------------------------------------------- iteration
 
 
@@ -556,6 +572,27 @@ def run_gas_pandas_slots(spark, sf_dir):
     return after.edges.join(ends, "dst").select("eid", _r6("w"), "value")
 
 
+@query
+def run_gas_set_blocks(spark, sf_dir):
+    """Two rounds on whole sets of neighbours' values: a value is the size and the sum of the set."""
+    sums = lambda members: F.aggregate(members, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    program = Program(
+        gather=lambda t: t.other["value"],
+        reducer=MemberBlocks(
+            lambda members: F.struct(F.size(members).alias("n"), sums(members).alias("s")),
+            lambda part: F.struct(F.sum(part["n"]).alias("n"), F.sum(part["s"]).alias("s")),
+            block_ids=256,
+        ),
+        apply=lambda v, acc: {"value": F.coalesce(acc["n"] + acc["s"] % 1000, F.lit(0))},
+        signal=lambda t: F.lit(True),
+        gather_dir="both",
+        scatter_dir="both",
+    )
+    g = order_succession(spark, sf_dir)
+    start = g.with_vertices(g.vertices.select("id", F.col("id").alias("value")))
+    return run_gas(start, program, max_iter=2, on_limit="return").graph.vertices
+
+
 @query
 def iterate_fixed(spark, sf_dir):
     g = order_succession(spark, sf_dir)
