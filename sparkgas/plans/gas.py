@@ -41,7 +41,8 @@ class NotConverged(RuntimeError):
 class Program:
     """What a vertex program computes.
 
-    gather(t)            message for ``t.center`` from one edge; NULL sends nothing
+    gather(t)            message for ``t.center`` from one edge; NULL sends nothing.
+                         Also evaluated for vertices without edges, where it must not fail
     reducer              Spark aggregate, or a :class:`Reducer`
     default              used in place of the sum where nothing was gathered
     apply(v, acc)        new vertex data, as a dict of Columns

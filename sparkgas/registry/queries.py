@@ -598,7 +598,7 @@ def iterate_fixed(spark, sf_dir):
     g = order_succession(spark, sf_dir)
     ranked = g.with_vertices(derive.degrees(g).select("id", "out_degree", F.lit(1.0).alias("rank")))
     program = Program(
-        gather=lambda t: t.src["rank"] / t.src["out_degree"],
+        gather=lambda t: F.when(t.src["out_degree"] > 0, t.src["rank"] / t.src["out_degree"]),
         reducer=F.sum,
         default=0.0,
         apply=lambda v, acc: {"rank": 0.15 + 0.85 * acc},
