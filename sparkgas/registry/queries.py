@@ -633,7 +633,7 @@ def superstep(spark, sf_dir):
         derive.degrees(g).select("id", "out_degree", F.lit(1.0).alias("rank"), F.lit(5.0).alias("prev"))
     )
     program = Program(
-        gather=lambda t: 0.85 * t.src["rank"] / t.src["out_degree"],
+        gather=lambda t: F.when(t.src["out_degree"] > 0, 0.85 * t.src["rank"] / t.src["out_degree"]),
         reducer=F.sum,
         default=0.0,
         apply=lambda v, acc: {"rank": acc + 0.15, "prev": v["rank"]},

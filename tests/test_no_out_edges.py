@@ -22,3 +22,8 @@ def test_iterate_fixed(spark, tables):
     for _ in range(5):  # edges 1-2 twice, 2-1 once, 2-3 once
         one, two, three = 0.15 + 0.85 * two / 2, 0.15 + 0.85 * one, 0.15 + 0.85 * two / 2
     assert got == pytest.approx({1: one, 2: two, 3: three, 4: 0.15}, abs=1e-6)
+
+
+def test_superstep(spark, tables):
+    got = {r.id: (r.rank, r.active) for r in QUERIES["superstep"](spark, tables).collect()}
+    assert got == {1: (0.575, False), 2: (1.0, False), 3: (0.575, False), 4: (0.15, False)}
