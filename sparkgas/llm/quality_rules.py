@@ -81,10 +81,10 @@ def _repeat_words(words: Column) -> Column:
 
     def repeated(placed: Column) -> Column:
         own = lambda x, j: (F.get(placed, j - 1)["w"].eqNullSafe(x["w"])) | (F.get(placed, j + 1)["w"].eqNullSafe(x["w"]))
-        return F.array_sort(F.transform(F.filter(placed, own), lambda x: x["i"]))
+        return F.sort_array(F.transform(F.filter(placed, own), lambda x: x["i"]))
 
     def covered(windows: Column) -> Column:
-        placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+        placed = F.sort_array(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
         start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
         step = lambda s, i: F.struct((s["n"] + F.least(i - s["last"], F.lit(3))).alias("n"), i.alias("last"))
         total = F.aggregate(_with(placed, repeated), start, step, lambda s: s["n"])
