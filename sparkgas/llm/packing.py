@@ -103,8 +103,9 @@ class Packer:
         limits, parts = self.limits, self.waiting
         whole = np.array([limits.tokens, limits.segments, limits.loss_tokens], float)
         left = np.array([tokens, limits.segments, limits.loss_tokens], float)
-        need = np.array([(p.size, 1, p.loss(p.size)) for p in parts], float)
+        size = np.array([len(p.ids) // 4 - p.start for p in parts])
         cut = np.array([p.loss_from - p.start for p in parts])
+        need = np.column_stack([size, np.ones(len(parts)), np.maximum(size - np.maximum(cut, 0), 0)])
         open_, offset, placed = np.ones(len(parts), bool), 0, []
         while left.min() >= 0 and left[0] > 0 and left[1] > 0 and open_.any():
             fits = open_ & (need <= left).all(axis=1)

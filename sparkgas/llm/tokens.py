@@ -190,12 +190,12 @@ class IdCache:
             self.letters = {"": b""}
         letters, apart, whole, fresh = self.letters, [], [], {}
         for word in new:
-            core = word.rstrip(MARKS)
+            core = word if word.isalpha() else word.rstrip(MARKS)
             if core.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and not SPECIAL_CASE & set(word))):
                 low = core.lower()
                 if low not in letters:
                     fresh[low] = None
-                apart.append((word, low, word[len(core) :]))
+                apart.append((word, low, word[len(core) :] if core is not word else ""))
             else:
                 whole.append(word)
         pieces = list(fresh)
@@ -215,8 +215,9 @@ class IdCache:
             self.before, self.known = self.known, {}
         known = self.known
         new = set().union(*split).difference(known)
-        known.update((word, self.before[word]) for word in new & self.before.keys())
-        new.difference_update(known)
+        again = new & self.before.keys()
+        known.update((word, self.before[word]) for word in again)
+        new -= again  # not the words known: Python would go through all of these
         known.update(self._learn(new))
         found = [b"".join(map(known.__getitem__, ws)) for ws in split]
         for word in [w for w in new if len(w) > LONGEST_REMEMBERED]:

@@ -9,3 +9,18 @@ def test_op1_sorts_windows_without_a_lambda(spark):
     found = measures(docs)
     assert "array_sort" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.doc_id: r.n_repeat_words for r in found.collect()} == {1: 6, 2: 0}
+
+
+def test_op10_works_out_the_loss_only_of_what_it_places(monkeypatch):
+    from sparkgas.llm.packing import Limits, Packer, Part
+
+    calls, loss = [], Part.loss
+    monkeypatch.setattr(Part, "loss", lambda self, n: calls.append(n) or loss(self, n))
+    packer = Packer(Limits(tokens=64, segments=8, loss_tokens=48), 0)
+    for i in range(200):
+        packer.add(Part(i, bytes(4 * (1 + i % 23)), 0, i % 5))
+    packer.finish()
+    rows = packer.take()
+    assert sum(r[2] for r in rows) == sum(1 + i % 23 for i in range(200))
+    assert all(sum(r[7] for r in rows if r[5] == s) <= 48 for s in {r[5] for r in rows})
+    assert len(calls) <= 6 * len(rows)
