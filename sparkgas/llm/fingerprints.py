@@ -23,7 +23,7 @@ from sparkgas.llm.common import bounded_batches, texts
 SAMPLES = 128
 SEED = 17
 LONG_WORD, WINDOW = 32, 8  # longer words, in code points, count as their windows
-KNOWN = 1 << 16  # weighted terms whose samples a task remembers
+KNOWN = 1 << 17  # weighted terms whose samples a task remembers
 SAMPLED = 64  # sampled keys for each range of documents; they only set the bounds of the ranges
 MOST_RANGES = 20_000
 TOGETHER = 128  # new terms that are drawn in one step
@@ -98,7 +98,7 @@ class Signer:
             return places
         new = [term for term, place in zip(some, places) if place is None]
         if len(self.place) + len(new) > self.known:
-            self.place, new = {}, some
+            self.place, new, places = {}, some, [None] * len(some)
         first = len(self.place)
         to = first + len(new)
         self.hashes[first:to] = [xxhash.xxh64_intdigest(t, self.seed) for t, _ in new]
@@ -107,7 +107,8 @@ class Signer:
             rows = slice(first + at, min(first + at + TOGETHER, to))
             self.hit[rows], self.step[rows] = sampled(self.hashes[rows], weights[at : at + TOGETHER], self.samples)
         self.place.update(zip(new, range(first, to)))
-        return list(map(self.place.get, some))
+        fresh = iter(range(first, to))  # ``new`` in its order
+        return [next(fresh) if place is None else place for place in places]
 
     def sign(self, text: str) -> np.ndarray:
         """16 bits of the term and step that each sample keeps; all 0 without terms."""
