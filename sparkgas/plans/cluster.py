@@ -98,6 +98,11 @@ def cut_counting(df: DataFrame, flag: str) -> tuple[DataFrame, int]:
     return _without_estimates(written), seen.get["n"]
 
 
+def cut_in_loop(df: DataFrame) -> DataFrame:
+    """:func:`cut`, for a table that the next round's joins are made of."""
+    return _without_estimates(cut(df))
+
+
 def _without_estimates(written: DataFrame) -> DataFrame:
     """The same written rows, without the size estimate and constraints of the plan that made them.
 
