@@ -14,6 +14,7 @@ import numpy as np
 CLASSES, GROUP, WIDTH, CONTEXT = 256, 16, 16, 6
 GROUPS = CLASSES // GROUP
 WINDOW = 1 << 12
+LARGE = 40  # exponents beyond it are taken relative to the largest of their token
 ONES = np.ones(GROUP, np.float32)
 SHAPES = {
     "embed": (CLASSES, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "own": (WIDTH, WIDTH),
@@ -22,6 +23,11 @@ SHAPES = {
 }
 
 
+def keep_memory() -> None:
+    """Let a process reuse the memory of arrays it has freed: glibc hands freed blocks back unless a larger one was freed before."""
+    np.zeros(30 << 20, np.uint8)
+
+
 def start(frequencies: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
     """Parameters that give every class its frequency, whatever stands before."""
     rng = np.random.default_rng(seed)
@@ -55,38 +61,54 @@ class Scorer:
         self.p = p
         self.q, self.k, self.v = (p["embed"] @ p[name] for name in ("query", "key", "value"))
         self.v_columns = np.ascontiguousarray(self.v.T)
-        self.own = p["embed"] @ p["own"] + p["hidden"]
-        match = np.exp(np.clip(self.q @ self.k.T / np.sqrt(WIDTH), -15, 15)).ravel()
-        self.match = [match * near for near in np.exp(np.clip(p["near"], -10, 10))]
+        own = (p["embed"] @ p["own"] + p["hidden"]).T
+        self.own = np.vstack([own, np.ones((1, CLASSES), own.dtype)])  # a hidden state ends with a 1, which the biases multiply
+        self.match = np.exp(np.clip(self.q @ self.k.T / np.sqrt(WIDTH), -15, 15)).ravel().astype(self.v.dtype)
+        self.near = np.exp(np.clip(p["near"], -10, 10))
+        self.group = np.vstack([p["group"], p["group_bias"]]).T
+        self.inner = np.concatenate([p["class"], p["class_bias"][:, None]], 1).transpose(0, 2, 1)
 
     def attend(self, x: np.ndarray, place: np.ndarray):
-        """Hidden states of the tokens behind the first ``CONTEXT - 1`` of a window, and what they are made of.
+        """Hidden states of the tokens behind the first ``CONTEXT - 1``, with a 1 at the end, and what they are made of.
 
-        ``place`` is a token's place in its text; what lies before it is masked.
-        The values, weights and mixed values have a column per token, so that
-        weights multiply whole rows.
+        ``x`` is an index array, ``place`` a token's place in its text; what lies before it is masked.
+        All of these have a column per token, so that weights multiply whole rows.
         """
-        head = CONTEXT - 1
-        x = x.astype(np.intp)  # what indices are turned into in any case
+        head, n = CONTEXT - 1, len(x) - CONTEXT + 1
         now, at = x[head:], place[head:]
         row = now * CLASSES
         values = self.v_columns.take(x, axis=1)
-        weights, total, mixed = [], np.zeros(len(now), values.dtype), np.zeros((WIDTH, len(now)), values.dtype)
-        part = np.empty_like(mixed)
-        for r in range(CONTEXT):
-            w = self.match[r].take(row + x[head - r : len(x) - r])
+        weights = np.empty((CONTEXT, n), values.dtype)
+        early = np.flatnonzero(at < head)
+        for r, near in enumerate(self.near):
+            w = weights[r]
+            self.match.take(row + x[head - r : len(x) - r], out=w, mode="clip")
+            w *= near
             if r:
-                w[at < r] = 0
-            weights.append(w)
-            total += w
-            mixed += np.multiply(values[:, head - r : len(x) - r], w, out=part)
-        mixed /= total
-        for w in weights:
-            w /= total
-        hidden = self.own.take(now, axis=0)
-        hidden += mixed.T
+                w[early[at[early] < r]] = 0
+        weights /= weights.sum(0)
+        mixed = values[:, head:] * weights[0]
+        part = np.empty_like(mixed)
+        for r in range(1, CONTEXT):
+            mixed += np.multiply(values[:, head - r : len(x) - r], weights[r], out=part)
+        hidden = self.own.take(now, axis=1)
+        hidden[:WIDTH] += mixed
         return np.maximum(hidden, 0, out=hidden), weights, mixed, values
 
+    def logits(self, h: np.ndarray, ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the groups, and of the classes of a token's group, with a column per token.
+
+        Tokens stand in the order of their groups, which end at ``ends``.
+        """
+        outer, inner = self.group @ h, np.empty((GROUP, h.shape[1]), h.dtype)
+        for k, (a, b) in enumerate(zip([0, *ends], ends)):
+            if a < b:
+                np.matmul(self.inner[k], h[:, a:b], out=inner[:, a:b])
+        for z in (outer, inner):
+            if z.size and max(z.max(), -z.min()) > LARGE:
+                z -= z.max(0)
+        return outer, inner
+
     def log_probs(self, x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Natural logarithm of the chance of each ``y`` after its ``x``.
 
@@ -99,29 +121,21 @@ class Scorer:
         out = np.empty(len(y), np.float32)
         for at in range(0, len(y), WINDOW):
             to = min(at + WINDOW, len(y))
-            h, _, _, _ = self.attend(x[at : to + head], place[at : to + head])
-            target = y[at:to].astype(np.intp)
-            group = target >> 4
-            logits = h @ self.p["group"]
-            logits += self.p["group_bias"]
+            h, _, _, _ = self.attend(x[at : to + head].astype(np.intp), place[at : to + head])
+            order, target, ends = by_group(y[at:to])
+            outer, inner = self.logits(h.take(order, axis=1), ends)
             every = np.arange(to - at)
-            found = logits.ravel().take(every * GROUPS + group) - np.log(np.exp(logits, out=logits) @ ONES)
-            order = np.argsort(y[at:to] >> 4, kind="stable")
-            ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-            for g in range(GROUPS):
-                rows = order[ends[g - 1] if g else 0 : ends[g]]
-                if len(rows):
-                    inner = h.take(rows, axis=0) @ self.p["class"][g]
-                    inner += self.p["class_bias"][g]
-                    chosen = inner.ravel().take(every[: len(rows)] * GROUP + (target.take(rows) & 15))
-                    found[rows] += chosen - np.log(np.exp(inner, out=inner) @ ONES)
-            out[at:to] = found
+            found = outer.ravel().take((target >> 4) * (to - at) + every) + inner.ravel().take((target & 15) * (to - at) + every)
+            found -= np.log((ONES @ np.exp(outer, out=outer)) * (ONES @ np.exp(inner, out=inner)))
+            out[at + order] = found
         return out
 
 
-def _by_class(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Sums of the columns with equal class, one row per class."""
-    return np.stack([np.bincount(x, row, CLASSES) for row in columns], 1)
+def by_group(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The order of classes by their groups, the classes in this order, and where each group ends."""
+    order = np.argsort(y >> 4, kind="stable")
+    target = y.take(order).astype(np.intp)
+    return order, target, np.cumsum(np.bincount(target >> 4, minlength=GROUPS)).tolist()
 
 
 def gradients(
@@ -131,62 +145,55 @@ def gradients(
 
     Tokens that are not ``counted`` are seen by those behind them, and have no loss of their own.
     """
-    head = CONTEXT - 1
-    counted = np.ones(len(y), bool) if counted is None else counted
+    head, size = CONTEXT - 1, len(y)
+    counted = np.ones(size, bool) if counted is None else counted
     n = max(1, int(counted.sum()))
     s = Scorer(p)
-    full = np.concatenate([np.zeros(head, np.uint8), x])
+    full = np.concatenate([np.zeros(head, np.uint8), x]).astype(np.intp)
     h, weights, mixed, values = s.attend(full, np.concatenate([np.zeros(head, np.int32), place]))
     g = {name: np.zeros(shape) for name, shape in SHAPES.items()}
     # tokens that count, in the order of their groups: each group is a slice
-    order = np.flatnonzero(counted)
-    order = order.take(np.argsort(y.take(order) >> 4, kind="stable"))
-    target = y.take(order)
-    ends = np.cumsum(np.bincount(target >> 4, minlength=GROUPS)).tolist()
-    target = (target & 15).astype(np.intp)
-    h = h.take(order, axis=0)
-    ones, every = np.ones(GROUP, h.dtype), np.arange(len(order)) * GROUP
-
-    def softmax(z):
-        z -= z.max(1, keepdims=True)
+    places = np.flatnonzero(counted)
+    order, target, ends = by_group(y.take(places))
+    order = places.take(order)
+    h = h.take(order, axis=1)
+    outer, inner = s.logits(h, ends)
+    every, ones, loss = np.arange(len(order)), np.ones(GROUP, h.dtype), 0.0
+    for z, own in ((outer, target >> 4), (inner, target & 15)):
         np.exp(z, out=z)
-        z *= (1 / (z @ ones))[:, None]
-        return z
-
-    outer, loss = softmax(h @ p["group"] + p["group_bias"]), 0.0
-    for k, (a, b) in enumerate(zip([0, *ends], ends)):
-        loss -= np.log(outer[a:b, k]).sum(dtype=float)
-        outer[a:b, k] -= 1
-    g["group"], g["group_bias"] = h.T @ outer, outer.sum(0)
-    dh = outer @ p["group"].T
-    for k, (a, b) in enumerate(zip([0, *ends], ends)):
-        if a == b:
-            continue
-        inner = softmax(h[a:b] @ p["class"][k] + p["class_bias"][k])
-        own = every[: b - a] + target[a:b]
-        chosen = inner.ravel().take(own)
+        z *= 1 / (ones @ z)
+        cells = own * len(order) + every
+        chosen = z.ravel().take(cells)
         loss -= np.log(chosen).sum(dtype=float)
-        inner.ravel()[own] = chosen - 1
-        g["class"][k], g["class_bias"][k] = h[a:b].T @ inner, inner.sum(0)
-        dh[a:b] += inner @ p["class"][k].T
-    dh *= h > 0
-    g["hidden"] = dh.sum(0)
-    in_place = np.zeros((len(y), WIDTH), dh.dtype)
-    in_place[order] = dh
-    dh = np.ascontiguousarray(in_place.T)
+        z.ravel()[cells] = chosen - 1
+    d_group = h @ outer.T
+    g["group"], g["group_bias"] = d_group[:WIDTH], d_group[WIDTH]
+    dh = p["group"] @ outer
+    for k, (a, b) in enumerate(zip([0, *ends], ends)):
+        if a < b:
+            d_class = h[:, a:b] @ inner[:, a:b].T
+            g["class"][k], g["class_bias"][k] = d_class[:WIDTH], d_class[WIDTH]
+            dh[:, a:b] += p["class"][k] @ inner[:, a:b]
+    dh *= h[:WIDTH] > 0
+    g["hidden"] = dh.sum(1)
+    back = np.full(size, len(order))  # the last column, of zeros, stands for tokens that do not count
+    back[order] = every
+    dh = np.hstack([dh, np.zeros((WIDTH, 1), dh.dtype)]).take(back, axis=1)
     d_own = _by_class(x, dh)
-    d_seen, row, part = np.zeros((WIDTH, len(full)), dh.dtype), x.astype(np.intp) * CLASSES, np.empty_like(dh)
-    cells, d_cells = [], []
-    centre = np.multiply(dh, mixed, out=part).sum(0)
-    for r, w in enumerate(weights):
+    d_seen = np.zeros((WIDTH, len(full)), dh.dtype)
+    d_weights, part = np.empty((CONTEXT, size), dh.dtype), np.empty_like(dh)
+    for r in range(CONTEXT):
         behind = slice(head - r, len(full) - r)
-        d_seen[:, behind] += np.multiply(dh, w, out=part)
-        ds = w * (np.multiply(dh, values[:, behind], out=part).sum(0) - centre)
-        g["near"][r] = ds.sum(dtype=float)
-        cells.append(row + full[behind])
-        d_cells.append(ds)
+        d_seen[:, behind] += np.multiply(dh, weights[r], out=part)
+        np.einsum("it,it->t", dh, values[:, behind], out=d_weights[r])
+    d_weights -= np.einsum("it,it->t", dh, mixed)
+    d_weights *= weights
+    g["near"] = d_weights.sum(1, dtype=float)
     d_value = _by_class(full, d_seen)
-    d_match = np.bincount(np.concatenate(cells), np.concatenate(d_cells), CLASSES * CLASSES)
+    cells, row = np.empty((CONTEXT, size), np.intp), full[head:] * CLASSES
+    for r in range(CONTEXT):
+        np.add(row, full[head - r : len(full) - r], out=cells[r])
+    d_match = np.bincount(cells.ravel(), d_weights.ravel(), CLASSES * CLASSES)
     d_match = d_match.reshape(CLASSES, CLASSES) / np.sqrt(WIDTH)
     for name, d in (("query", d_match @ s.k), ("key", d_match.T @ s.q), ("value", d_value), ("own", d_own)):
         g[name] = p["embed"].T @ d
@@ -194,6 +201,11 @@ def gradients(
     return loss / n, {name: v / n for name, v in g.items()}
 
 
+def _by_class(x: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sums of the columns with equal class, one row per class."""
+    return np.stack([np.bincount(x, row, CLASSES) for row in columns], 1)
+
+
 class Trainer:
     """Adam on batches of texts."""
 

@@ -7,6 +7,10 @@ cut into blocks; tasks train on their own blocks from common parameters, which
 are then averaged.  Counts of ids and words cover all training text.  A word's
 chance is a mix of the model's, multiplied over its subwords, and of its frequency.
 
+Text is cut into words and ids once: a task writes its documents as numbers of
+words, behind a dictionary of these words with their ids and counts.  Words are
+counted, blocks made and documents scored from that.
+
 Counts of the most frequent words travel with the tasks; the others of a text
 are joined to the counts, one row per occurrence, and none of them is frequent.
 """
@@ -14,6 +18,8 @@ are joined to the counts, one row per occurrence, and none of them is frequent.
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,8 +31,11 @@ from sparkgas.llm.tokens import IdCache, default_file, read_file
 from sparkgas.plans.cluster import cut
 
 FREQUENT = 200_000  # words whose counts are known to every task
-COUNTED = 300_000  # distinct words that a task counts before it hands them on
-LEARNT = 600_000  # words that a task remembers
+LEARNT = 600_000  # words of a dictionary, after which a task begins another one
+HELD = 8_000_000  # words of documents that wait for their dictionary
+GATHERED = 8 << 20  # bytes of texts that are cut into words together
+ENTRIES = 50_000  # words of a dictionary that make a row
+TOGETHER = 1_000_000  # words of documents that are looked up together, unless one document has more
 BLOCK = 256  # token ids of a row that trains the model
 STEP = 8_192  # token ids that a training step takes together
 WARM_UP = 2_000  # about so many blocks settle the common start, a documented bound; all of them train after it
@@ -39,33 +48,163 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``(word, c)`` over all rows; the end of a text is the empty word.  Tasks count before they exchange."""
+NUMBERED = "part int, words string, seen array<bigint>, sizes binary, ids binary, doc_id bigint, held_out boolean, numbers binary"
 
-    def count(batches):
-        from collections import Counter
 
+def gathered(batches) -> Iterator:
+    """Batches put together until they hold ``GATHERED`` bytes: words that come again are met once."""
+    import pyarrow as pa
+
+    some, held = [], 0
+    for batch in batches:
+        if len(batch):
+            some.append(batch)
+            held += batch.nbytes
+        if held >= GATHERED:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, held = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
+def numbered(docs: DataFrame, spec: str, vocabulary: int) -> DataFrame:
+    """Documents as numbers of words, each task's behind a dictionary of their words.
+
+    A row of a dictionary has its ``part``, from 0 on, and up to ``ENTRIES`` words
+    one behind the other, with how often each is ``seen`` in training, the ``sizes``
+    in ids, and the ids.  Its first word is the empty one, the end of a text.
+    A row of a document has its words' ``numbers`` in the dictionary before it.
+    """
+    kind = _id_type(vocabulary)
+
+    def number(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = [f.split()[0] for f in NUMBERED.split(", ")]
+
+        class Dictionary:
+            def __init__(self):
+                self.known, self.ids, self.seen = {"": 0}, [b""], np.zeros(1 << 16, np.int64)
+                self.waiting, self.held = [], 0
+
+            def add(self, batch) -> None:
+                split = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("text")))
+                found, lengths = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy()
+                shown, at = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+                document = np.repeat(np.arange(len(lengths)), lengths)
+                if "" in shown:  # white space at the ends of a text
+                    kept = at != shown.index("")
+                    at, document = at[kept], document[kept]
+                    lengths = np.bincount(document, minlength=len(lengths))
+                own = np.fromiter(map(self.known.get, shown, repeat(-1)), np.int64, len(shown))
+                missing = np.flatnonzero(own < 0)
+                if len(missing):
+                    new = [shown[i] for i in missing.tolist()]
+                    own[missing] = np.arange(len(self.ids), len(self.ids) + len(new))
+                    self.known.update(zip(new, own[missing].tolist()))
+                    self.ids += cache.ids_of(new)
+                    if len(self.ids) > len(self.seen):
+                        self.seen = np.append(self.seen, np.zeros(len(self.ids), np.int64))
+                training = ~np.array(batch.column("held_out").to_pylist(), bool)
+                self.seen[own] += np.bincount(at[training[document]], minlength=len(own))
+                self.seen[0] += training.sum()
+                ends = np.append(0, 4 * np.cumsum(lengths)).astype(np.int32)
+                numbers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(own[at].astype("<u4").tobytes())]
+                self.waiting.append((batch.select(["doc_id", "held_out"]), pa.Array.from_buffers(pa.binary(), len(lengths), numbers)))
+                self.held += len(at)
+
+            def rows(self):
+                shown, sizes = list(self.known), np.fromiter(map(len, self.ids), np.int64, len(self.ids)) // 4
+                for part, a in enumerate(range(0, len(shown), ENTRIES)):
+                    b = min(a + ENTRIES, len(shown))
+                    ids = np.frombuffer(b"".join(self.ids[a:b]), "<u4").astype(kind).tobytes()
+                    row = [part, " ".join(shown[a:b]), self.seen[a:b].tolist(), sizes[a:b].astype("<u4").tobytes(), ids, None, None, None]
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema)
+                for batch, numbers in self.waiting:
+                    nulls = [pa.nulls(len(batch), schema.field(c).type) for c in names[:5]]
+                    columns = [*nulls, batch.column("doc_id").cast(pa.int64()), batch.column("held_out"), numbers]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        types = [pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.binary()]
+        schema = pa.schema(list(zip(names, types)))
+        gc.disable()  # nothing here refers to itself, and looking for that among many words takes long
+        att.keep_memory()
+        cache, current = IdCache(spec), Dictionary()
+        for batch in gathered(batches):
+            current.add(batch)
+            if len(current.known) > LEARNT or current.held > HELD:
+                yield from current.rows()
+                current = Dictionary()
+        if current.waiting:
+            yield from current.rows()
+        gc.enable()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(number, NUMBERED)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
 
-        found: Counter = Counter()
+def count_words(found: DataFrame) -> DataFrame:
+    """``(word, c)`` over the training documents of a numbered table; the end of a text is the empty word."""
+
+    def entries(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found.update(words(text))
-                found[b""] += 1
-            if len(found) > COUNTED:
-                yield out()
-                found = Counter()
-        if found:
-            yield out()
+            rows = pa.RecordBatch.from_arrays([pc.split_pattern(batch.column("words"), " ").flatten(), batch.column("seen").flatten()], ["word", "c"])
+            yield rows.filter(pc.greater(rows.column("c"), 0))
+
+    read = found.where("part is not null").select("words", "seen")
+    return read.mapInArrow(entries, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+class Entries:
+    """A dictionary as its rows are read: sizes, first places and ids of its words."""
 
-    return docs.mapInArrow(count, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    def __init__(self, vocabulary: int):
+        self.kind, self.rows = _id_type(vocabulary), []
+
+    def add(self, row: dict) -> None:
+        if row["part"] == 0:
+            self.rows = []
+        self.rows.append(row)
+
+    def made(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.concatenate([np.frombuffer(r["sizes"], "<u4") for r in self.rows]).astype(np.int64)
+        return size, np.cumsum(size) - size, np.concatenate([np.frombuffer(r["ids"], self.kind) for r in self.rows])
+
+
+def read_numbered(batches, vocabulary: int) -> Iterator[tuple]:
+    """``(dictionary, rows, numbers, lengths)`` for some documents at a time: the words' numbers one behind the other."""
+    import pyarrow.compute as pc
+
+    entries = Entries(vocabulary)
+    for batch in batches:
+        is_entry = pc.is_valid(batch.column("part")).to_numpy(zero_copy_only=False)
+        numbers = [x or b"" for x in batch.column("numbers").to_pylist()]
+        held = np.array([len(x) // 4 for x in numbers], np.int64)
+        a = 0
+        while a < len(batch):
+            if is_entry[a]:
+                entries.add(batch.slice(a, 1).to_pylist()[0])
+                a += 1
+                continue
+            b, words_held = a + 1, held[a]
+            while b < len(batch) and not is_entry[b] and words_held + held[b] <= TOGETHER:
+                words_held += held[b]
+                b += 1
+            yield entries, batch.slice(a, b - a), np.frombuffer(b"".join(numbers[a:b]), "<u4").astype(np.int64), held[a:b]
+            a = b
 
 
 def blocks(docs: DataFrame, spec: str, vocabulary: int) -> DataFrame:
-    """``(at, context, last, ids)``: the token ids of every document in consecutive blocks, from id ``at`` on.
+    """:func:`blocks_of` texts that all train."""
+    rows = docs.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    return blocks_of(numbered(rows, spec, vocabulary), vocabulary)
+
+
+def blocks_of(found: DataFrame, vocabulary: int) -> DataFrame:
+    """``(at, context, last, ids)``: the token ids of every training document in consecutive blocks, from id ``at`` on.
 
     The first ``context`` ids of a block repeat the end of the block before; the
     ``last`` one of a document is followed by its end.  A text without ids is one block.
@@ -75,24 +214,36 @@ def blocks(docs: DataFrame, spec: str, vocabulary: int) -> DataFrame:
     def take(batches):
         import pyarrow as pa
 
-        gc.disable()  # nothing here refers to itself, and looking for that among many words takes long
-        cache, wide = IdCache(spec), kind.itemsize
-        for batch in batches:
-            at, context, last, found = [], [], [], []
-            shown = [b" ".join(words(text)).decode() for text in batch.column("text").to_pylist()]
-            for ids in cache.batch(shown):
-                n, ids = len(ids) // 4, np.frombuffer(ids, "<u4").astype(kind).tobytes()
+        att.keep_memory()
+        wide, met, made = kind.itemsize, None, None
+        for entries, _, numbers, lengths in read_numbered(batches, vocabulary):
+            if met is not entries.rows:
+                met, made = entries.rows, entries.made()
+            size, first, pool = made
+            ids, per_word = pool.take(spread(numbers, size, first)).tobytes(), size.take(numbers)
+            sums = np.append(0, np.cumsum(per_word))
+            ends = sums.take(np.cumsum(lengths))
+            at, context, last, some = [], [], [], []
+            for begin, end in zip([0, *ends.tolist()], ends.tolist()):
+                n = end - begin
                 for own in range(0, n or 1, BLOCK):
-                    first = max(0, own - att.CONTEXT)
-                    at.append(first)
-                    context.append(own - first)
+                    start = max(0, own - att.CONTEXT)
+                    at.append(start)
+                    context.append(own - start)
                     last.append(own + BLOCK >= n)
-                    found.append(ids[wide * first : wide * (own + BLOCK)])
-            columns = [pa.array(at, pa.int64()), pa.array(context, pa.int32()), pa.array(last, pa.bool_()), pa.array(found, pa.binary())]
+                    some.append(ids[wide * (begin + start) : wide * (begin + min(own + BLOCK, n))])
+            columns = [pa.array(at, pa.int64()), pa.array(context, pa.int32()), pa.array(last, pa.bool_()), pa.array(some, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["at", "context", "last", "ids"])
-        gc.enable()
 
-    return docs.mapInArrow(take, "at bigint, context int, last boolean, ids binary")
+    read = found.where("part is not null or not held_out").select("part", "sizes", "ids", "numbers")
+    return read.mapInArrow(take, "at bigint, context int, last boolean, ids binary")
+
+
+def spread(numbers: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of the ids of words one behind the other, in the ids of their dictionary."""
+    sizes = size.take(numbers)
+    heads = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(first.take(numbers) - heads, sizes)
 
 
 def _id_type(vocabulary: int) -> str:
@@ -181,6 +332,7 @@ def train(found: DataFrame, classes: Classes, ends: int, rate: float = 0.03) ->
     def pass_over(batches):
         import pyarrow as pa
 
+        att.keep_memory()
         own = att.Trainer(att.unpack(settled), rate / 3)
         n = learn(own, (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("at", "context", "last", "ids")))))
         if n:
@@ -198,43 +350,18 @@ def train(found: DataFrame, classes: Classes, ends: int, rate: float = 0.03) ->
 
 
 class Vocabulary:
-    """What a task knows of the words it has met: their classes, the share of their ids, their frequency if it is high."""
-
-    def __init__(self, spec: str, classes: Classes, frequent: dict[bytes, int]):
-        self.cache, self.classes, self.frequent = IdCache(spec), classes, frequent
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.pool = np.zeros(0, np.uint8)
-        self.first, self.size, self.share, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-
-    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
-        if len(self.number) > LEARNT:
-            self.clear()
-        new = list(set().union(*split).difference(self.number)) if split else []
-        if new:
-            self._learn(new)
-        number = self.number.__getitem__
-        return np.concatenate([np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split])
-
-    def _learn(self, new: list[bytes]) -> None:
-        shown = [w.decode() for w in new]
-        found = self.cache._learn(shown)
+    """What a task knows of the words of a dictionary: their classes, the share of their ids, their frequency if it is high."""
+
+    def __init__(self, entries: Entries, classes: Classes, frequent: dict[bytes, int]):
+        size, heads, flat = entries.made()
+        empty = np.flatnonzero(size == 0)
         # a word that is white space to the tokenizer has no ids; it counts as the rarest id
-        rarest = np.array([int(self.classes.log_share.argmin())], "<u4").tobytes()
-        ids = [found[w] or rarest for w in shown]
-        size = np.array([len(x) // 4 for x in ids])
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        heads = np.cumsum(size) - size
-        self.number.update(zip(new, range(len(self.names), len(self.names) + len(new))))
-        self.names += new
-        self.first = np.append(self.first, heads + len(self.pool))
-        self.pool = np.append(self.pool, self.classes.of[flat])
-        self.size = np.append(self.size, size)
-        self.share = np.append(self.share, np.add.reduceat(self.classes.log_share[flat], heads))
-        self.count = np.append(self.count, [self.frequent.get(w, -1) for w in new])
+        flat = np.insert(flat.astype(np.int64), heads[empty], int(classes.log_share.argmin()))
+        size[empty] = 1
+        self.names = [w for r in entries.rows for w in r["words"].encode().split(b" ")]
+        self.pool, self.size, self.first = classes.of[flat], size, np.cumsum(size) - size
+        self.share = np.add.reduceat(classes.log_share[flat], self.first)
+        self.count = np.array([frequent.get(w, -1) for w in self.names])
 
 
 MARKED = (
@@ -243,7 +370,7 @@ MARKED = (
 )
 
 
-def _mark(docs: DataFrame, spec, classes, parameters, frequent, n: int, v: int, mix: float) -> DataFrame:
+def _mark(found: DataFrame, vocabulary: int, classes, parameters, frequent, n: int, v: int, mix: float) -> DataFrame:
     """Per document: sums over its frequent words and its end, and its other words with the model's logarithm of each."""
 
     def mark(batches):
@@ -252,46 +379,43 @@ def _mark(docs: DataFrame, spec, classes, parameters, frequent, n: int, v: int,
 
         names = [f.split()[0] for f in MARKED.split(", ")]
         gc.disable()  # nothing here refers to itself, and looking for that among many words takes long
-        vocabulary, scorer = Vocabulary(spec, classes, frequent), att.Scorer(att.unpack(parameters))
+        att.keep_memory()
+        scorer, met, words_of = att.Scorer(att.unpack(parameters)), None, None
         row = TaskContext.get().partitionId() << 40
         whole = n + 0.5 * (v + 1)
         p_end = (frequent.get(b"", 0) + 0.5) / whole
-        for batch in batches:
-            if not len(batch):
-                continue
-            split = [words(t) for t in batch.column("text").to_pylist()]
-            lengths = np.array([len(ws) for ws in split])
-            at = vocabulary.numbers(split)
-            size = vocabulary.size[at]
+        for entries, batch, at, lengths in read_numbered(batches, vocabulary):
+            if met is not entries.rows:
+                met, words_of = entries.rows, Vocabulary(entries, classes, frequent)
+            size = words_of.size.take(at)
             heads = np.cumsum(size) - size
-            tokens = np.arange(size.sum()) + np.repeat(vocabulary.first[at] - heads, size)
-            stream = vocabulary.pool[tokens]
+            stream = words_of.pool.take(spread(at, words_of.size, words_of.first))
             # every text gets one more place, for its end
-            text_of_word = np.repeat(np.arange(len(split)), lengths)
-            n_tokens = np.bincount(text_of_word, size, len(split)).astype(np.int64)
+            text_of_word = np.repeat(np.arange(len(lengths)), lengths)
+            n_tokens = np.bincount(text_of_word, size, len(lengths)).astype(np.int64)
             ends = np.cumsum(n_tokens + 1) - 1
-            y = np.zeros(len(stream) + len(split), np.uint8)
+            y = np.zeros(len(stream) + len(lengths), np.uint8)
             kept = np.ones(len(y), bool)
             kept[ends] = False
             y[kept] = stream
             x = np.append(np.uint8(0), y[:-1])
             place = (np.arange(len(y)) - np.repeat(ends - n_tokens, n_tokens + 1)).astype(np.int32)
             logs = scorer.log_probs(x, y, place).astype(float)
-            by_word = (np.add.reduceat(logs[kept], heads) if len(heads) else np.zeros(0)) + vocabulary.share[at]
-            count = vocabulary.count[at]
+            by_word = (np.add.reduceat(logs[kept], heads) if len(heads) else np.zeros(0)) + words_of.share.take(at)
+            count = words_of.count.take(at)
             is_rare = count < 0
             p = (np.maximum(count, 0) + 0.5) / whole
-            sums = lambda values: np.bincount(text_of_word, np.where(is_rare, 0, values), len(split))
+            sums = lambda values: np.bincount(text_of_word, np.where(is_rare, 0, values), len(lengths))
             base = sums(np.log10(p)) + np.log10(p_end)
             score = sums(np.log10(mix * p + (1 - mix) * np.exp(by_word))) + np.log10(mix * p_end + (1 - mix) * np.exp(logs[ends]))
             known = sums(np.ones(len(at))).astype(np.int64) + (frequent.get(b"", 0) > 0)
             rare_at = np.flatnonzero(is_rare)
-            bounds = np.searchsorted(text_of_word[rare_at], np.arange(len(split) + 1))
-            rare_names = [vocabulary.names[i] for i in at[rare_at].tolist()]
+            bounds = np.searchsorted(text_of_word[rare_at], np.arange(len(lengths) + 1))
+            rare_names = [words_of.names[i] for i in at[rare_at].tolist()]
             rare = [b" ".join(rare_names[a:b]) if b > a else None for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(row, row + len(split))),
+                    pa.array(np.arange(row, row + len(lengths))),
                     batch.column("doc_id"),
                     batch.column("held_out"),
                     pa.array(lengths + 1),
@@ -303,10 +427,10 @@ def _mark(docs: DataFrame, spec, classes, parameters, frequent, n: int, v: int,
                 ],
                 names,
             )
-            row += len(split)
+            row += len(lengths)
         gc.enable()
 
-    return docs.mapInArrow(mark, MARKED)
+    return found.drop("seen").mapInArrow(mark, MARKED)
 
 
 def frequent_words(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, int]:
@@ -348,17 +472,17 @@ def score_texts(
     bounded_batches(spark)
     spec = read_file(tokenizer_file or default_file())
     rows = texts(docs, id_col, text_col).withColumn("held_out", id_remainder(F.col("doc_id"), folds) == held_out)
-    training = rows.where("not held_out").select("text")
-    counts = cut(count_words(training))
+    vocabulary = _vocabulary_size(spec)
+    read = cut(numbered(rows, spec, vocabulary))
+    counts = cut(count_words(read))
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n), int(total.v)
     frequent = frequent_words(counts)
-    vocabulary = _vocabulary_size(spec)
-    found = cut(blocks(training, spec, vocabulary))
+    found = cut(blocks_of(read, vocabulary))
     seen, ends = id_counts(found, vocabulary)
     classes = Classes(seen)
     parameters = att.pack(train(found, classes, ends))
-    marked = cut(_mark(rows, spec, classes, parameters, frequent, n, v, mix))
+    marked = cut(_mark(read, vocabulary, classes, parameters, frequent, n, v, mix))
     whole = float(n + 0.5 * (v + 1))
     pairs = F.explode(F.arrays_zip(F.split("rare", " ").alias("word"), F.col("rare_logs").alias("ln")))
     rare = marked.where("rare is not null").select("row", pairs.alias("w")).select("row", "w.word", F.col("w.ln").cast("double").alias("ln"))

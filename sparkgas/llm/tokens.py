@@ -185,28 +185,40 @@ class IdCache:
         held, ends = ids.tobytes(), ends.tolist()
         return [held[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+    def ids_of(self, new: list[str]) -> list[bytes]:
+        """Ids of words, which are not remembered as a whole."""
         if len(self.letters) > REMEMBERED:
             self.letters = {"": b""}
-        letters, apart, whole, fresh = self.letters, [], [], {}
+        letters, cores, marks, whole, fresh = self.letters, [], [], [], {}
         for word in new:
-            core = word if word.isalpha() else word.rstrip(MARKS)
-            if core.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and not SPECIAL_CASE & set(word))):
-                low = core.lower()
-                if low not in letters:
-                    fresh[low] = None
-                apart.append((word, low, word[len(core) :] if core is not word else ""))
+            core, mark = word, ""
+            if not word.isalpha():
+                core = word.rstrip(MARKS)
+                mark = word[len(core) :]
+                if not core.isalpha():
+                    core = None
+            if core is not None and (word.isascii() or (unicodedata.is_normalized("NFC", word) and SPECIAL_CASE.isdisjoint(word))):
+                core = core.lower()
+                if core not in letters:
+                    fresh[core] = None
             else:
+                core, mark = None, ""
                 whole.append(word)
+            cores.append(core)
+            marks.append(mark)
         pieces = list(fresh)
         letters.update(zip(pieces, self._joined(pieces)))
-        marks = list({m for _, _, m in apart}.difference(letters))
-        letters.update(zip(marks, self._ids(marks)))
-        learnt = {word: letters[core] + letters[m] for word, core, m in apart}
-        learnt.update(zip(whole, self._ids(whole)))
-        for long in [x for x in (*pieces, *marks) if len(x) > LONGEST_REMEMBERED]:
+        ends = list(set(marks).difference(letters))
+        letters.update(zip(ends, self._ids(ends)))
+        others = iter(self._ids(whole))
+        found = [next(others) if c is None else letters[c] + letters[m] if m else letters[c] for c, m in zip(cores, marks)]
+        for long in [x for x in (*pieces, *ends) if len(x) > LONGEST_REMEMBERED]:
             del letters[long]
-        return learnt
+        return found
+
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        new = list(new)
+        return dict(zip(new, self.ids_of(new)))
 
     def batch(self, batch: list[str]) -> list[bytes]:
         """Words are kept for the next batches, long ones are not; those unused for a generation are forgotten."""
