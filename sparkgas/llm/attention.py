@@ -211,16 +211,16 @@ class Trainer:
 
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.steps = p, rate, 0
-        self.first, self.second = ({n: np.zeros(v.shape) for n, v in p.items()} for _ in range(2))
+        self.first, self.second = np.zeros(len(pack(p))), np.zeros(len(pack(p)))
 
     def step(self, x, y, place, counted=None) -> float:
         loss, g = gradients(self.p, x, y, place, counted)
+        d = pack(g)
         self.steps += 1
-        for name, d in g.items():
-            self.first[name] = 0.9 * self.first[name] + 0.1 * d
-            self.second[name] = 0.99 * self.second[name] + 0.01 * d * d
-            m, v = self.first[name] / (1 - 0.9**self.steps), self.second[name] / (1 - 0.99**self.steps)
-            self.p[name] = (self.p[name] - self.rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+        self.first += 0.1 * (d - self.first)
+        self.second += 0.01 * (d * d - self.second)
+        m, v = self.first / (1 - 0.9**self.steps), self.second / (1 - 0.99**self.steps)
+        self.p = unpack(pack(self.p) - self.rate * m / (np.sqrt(v) + 1e-8))
         return loss
 
 
